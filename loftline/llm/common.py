@@ -46,3 +46,30 @@ def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
+    """Join condition on equal columns where null equals null."""
+    found = left[columns[0]].eqNullSafe(right[columns[0]])
+    for c in columns[1:]:
+        found &= left[c].eqNullSafe(right[c])
+    return found
+
+
+def kept_rows(docs: DataFrame, decisions: DataFrame, digest: Column) -> DataFrame:
+    """The rows of docs that decisions (doc_id, digest, kept) keeps, with the columns of docs.
+
+    Only the ids of dropped rows are joined to docs.  Ids that several rows share are told apart by digest, which is
+    computed for those rows alone; of rows with one id and one digest one stays.
+    """
+    decisions = staged(decisions.select("doc_id", "digest", "kept"), "decisions")
+    shared = staged(decisions.groupBy("doc_id").count().where("count > 1").select("doc_id"), "shared")
+    dropped = decisions.where("not kept").select("doc_id")
+    if shared.isEmpty():
+        return docs.join(dropped, same(docs, dropped, "doc_id"), "left_anti")
+    single = docs.join(shared, same(docs, shared, "doc_id"), "left_anti")
+    single = single.join(dropped, same(single, dropped, "doc_id"), "left_anti")
+    several = docs.join(shared, same(docs, shared, "doc_id"), "left_semi").withColumn("_digest", digest)
+    stay = decisions.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).distinct()
+    several = several.join(stay, several["doc_id"].eqNullSafe(stay["_id"]) & several["_digest"].eqNullSafe(stay["_of"]), "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", "_digest"]).select(docs.columns))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import exactdedup
+from .exactdedup import op3_exact_dedup
 from .simhash import op1_simhash
+from .wavelet import op5_token_ids
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op5_token_ids": op5_token_ids,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_exact_dedup": exactdedup.SQL,
+}
