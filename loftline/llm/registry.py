@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import exactdedup
 from .exactdedup import op3_exact_dedup
+from .packing import op10_best_fit_packing
 from .simhash import op1_simhash
 from .wavelet import op5_token_ids
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_ids": op5_token_ids,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
