@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from . import exactdedup
+from . import chat, exactdedup, urlfilter
+from .chat import op7_chat_format
 from .exactdedup import op3_exact_dedup
 from .packing import op10_best_fit_packing
+from .quality_rules import op8_quality_rules
 from .simhash import op1_simhash
+from .urlfilter import op4_url_filter
 from .wavelet import op5_token_ids
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_token_ids": op5_token_ids,
+    "op7_chat_format": op7_chat_format,
+    "op8_quality_rules": op8_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 SQL: dict[str, str] = {
     "op3_exact_dedup": exactdedup.SQL,
+    "op4_url_filter": urlfilter.SQL,
+    "op7_chat_format": chat.SQL,
 }
