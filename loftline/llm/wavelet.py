@@ -22,7 +22,7 @@ from .words import VOCABULARY, encoder
 
 BITS = 16
 #: Tokens of a shard; it ends with the document that reaches this.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Rows of documents to a range of ids, and so to a task and a file, about.
 ROWS = 1 << 14
 END = 2

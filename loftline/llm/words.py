@@ -17,9 +17,9 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a Python worker remembers between batches.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Bytes of text that are cut at once.
-SLICE = 1 << 24
+SLICE = 1 << 23
 #: Marks that are one token run of their own after letters; none of them joins an apostrophe form or composes.
 MARKS = ".,!?;:*#$%&|"
 
