@@ -6,6 +6,7 @@ from . import chat, exactdedup, urlfilter
 from .chat import op7_chat_format
 from .exactdedup import op3_exact_dedup
 from .packing import op10_best_fit_packing
+from .quality_model import op6_quality_classifier
 from .quality_rules import op8_quality_rules
 from .simhash import op1_simhash
 from .urlfilter import op4_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_token_ids": op5_token_ids,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,

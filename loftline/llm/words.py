@@ -7,6 +7,7 @@ with Arrow, the distinct pieces go through the library, and the ids are gathered
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -83,15 +84,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint16) of all texts one after another, and the number of each text's ids.  Null is empty."""
-        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
-        if not len(sizes):
+        if not len(texts):
             return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        parts, lengths, lo = [], [], 0
-        for hi in [*(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE)) + 1), len(sizes)]:
-            ids, n = self._encode(texts.slice(lo, hi - lo))
-            parts.append(ids)
-            lengths.append(n)
-            lo = hi
+        parts, lengths = zip(*(self._encode(x) for _, x in slices(texts, SLICE)), strict=True)
         return np.concatenate(parts), np.concatenate(lengths)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +127,15 @@ BLANK = bytes.maketrans(bytes(range(9, 14)), b" " * 5)
 FOLD = bytes.maketrans(bytes(range(65, 91)) + bytes(range(9, 14)), bytes(range(97, 123)) + b" " * 5)
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """Whole texts, as many as make up about `most` bytes, with the index of the first."""
+    sizes, lo = np.asarray(pc.fill_null(pc.binary_length(texts), 0)), 0
+    if len(sizes):
+        for hi in [*(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1), len(sizes)]:
+            yield lo, texts.slice(lo, hi - lo)
+            lo = hi
+
+
 def _folded(texts: pa.Array) -> pa.Array:
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
