@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, exactdedup, urlfilter
+from . import chat, exactdedup, licences, urlfilter
 from .chat import op7_chat_format
 from .exactdedup import op3_exact_dedup
+from .licences import op2_licence_scan
 from .packing import op10_best_fit_packing
 from .quality_model import op6_quality_classifier
 from .quality_rules import op8_quality_rules
@@ -14,6 +15,7 @@ from .wavelet import op5_token_ids
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_licence_scan": op2_licence_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_token_ids": op5_token_ids,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_licence_scan": licences.SQL,
     "op3_exact_dedup": exactdedup.SQL,
     "op4_url_filter": urlfilter.SQL,
     "op7_chat_format": chat.SQL,
