@@ -7,6 +7,7 @@ from .chat import op7_chat_format
 from .exactdedup import op3_exact_dedup
 from .licences import op2_licence_scan
 from .packing import op10_best_fit_packing
+from .pieces import op9_sentencepiece
 from .quality_model import op6_quality_classifier
 from .quality_rules import op8_quality_rules
 from .simhash import op1_simhash
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

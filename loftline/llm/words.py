@@ -28,6 +28,9 @@ MARKS = ".,!?;:*#$%&|"
 class Encoder:
     """Encodes many texts; remembers the pieces it has met."""
 
+    #: Put before each run; and whether a run of letters may be cut from the marks after it.
+    HEAD, CUT = "", True
+
     def __init__(self, name: str = VOCABULARY):
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.no_truncation()
@@ -36,6 +39,10 @@ class Encoder:
         self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self._forget()
 
+    def _runs(self, texts: pa.Array) -> pa.Array:
+        """The texts so that a space, and nothing else, separates runs."""
+        return _folded(texts)
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
@@ -90,16 +97,19 @@ class Encoder:
         return np.concatenate(parts), np.concatenate(lengths)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        cut = pc.split_pattern(_folded(pc.fill_null(texts, "")), " ")
+        texts = pc.fill_null(texts, "")
+        cut = pc.split_pattern(self._runs(texts), " ")
         offsets = np.asarray(cut.offsets)
         coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         names = coded.dictionary
         stems = pc.utf8_rtrim(names, characters=MARKS)
-        plain = pc.match_substring_regex(names, r"^\p{L}+[.,!?;:*#$%&|]+$")
+        plain = pc.match_substring_regex(names, r"^\p{L}+[.,!?;:*#$%&|]+$" if self.CUT else r"$^x")
         split = np.asarray(plain)
         tails = [x[len(s) :] for x, s in zip(names.filter(plain).to_pylist(), stems.filter(plain).to_pylist(), strict=True)]
         tails = pa.array(tails, pa.large_string())
         heads = pc.if_else(plain, stems, names)
+        if self.HEAD:
+            heads = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (self.HEAD, heads.cast(pa.large_string()), "")))
         both = pa.concat_arrays([heads.cast(pa.large_string()), tails]).dictionary_encode()
         number = self._numbers(both.dictionary)[np.asarray(both.indices)] if len(both) else np.zeros(0, np.int64)
         # Each distinct run is one piece or two; write its ids out once.
@@ -113,6 +123,8 @@ class Encoder:
         run_start = np.cumsum(run_length) - run_length
         use = np.asarray(coded.indices)
         n = run_length[use]
+        if self.HEAD:  # a text without any character has no head
+            n[(offsets[:-1] - offsets[0])[np.asarray(pc.equal(pc.binary_length(texts), 0))]] = 0
         ids = flat[_ranges(run_start[use], n)]
         ends = np.concatenate([[0], np.cumsum(n)])[offsets - offsets[0]]
         return ids, np.diff(ends)
