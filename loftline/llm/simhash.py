@@ -19,10 +19,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_of
+from .common import kept_rows, staged, table, text_of
 from .components import connected_components
 
 #: Length, radius and generator polynomial of the perfect codes (Golay 1949, Hamming 1950).
@@ -192,19 +192,37 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+    """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), kept.
 
     docs needs doc_id and text; other columns are ignored.  A null or empty text has fingerprint zero and links like
     any other.  Rows with one text have one fingerprint; repeated rows give repeated rows.  A null doc_id stays null
-    and is never the smallest unless its component has no other.  An empty table gives no row.
+    and is never the smallest unless its component has no other.  kept marks the rows with the component's smallest
+    doc_id (if texts share that id, those with the smallest fingerprint).  An empty table gives no row.
     """
     prints = staged(fingerprints(docs, width), "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(links(distinct, threshold))
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = member.join(least, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    first = F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), F.col("fp").alias("keep_fp"))
+    least = member.groupBy("root").agg(F.min(first).alias("least")).select("root", F.col("least.id").alias("component_id"), F.col("least.keep_fp").alias("keep_fp"))
+    member = member.join(least, "root").select("fp", "component_id", (F.col("fp") == F.col("keep_fp")).alias("first"))
+    kept = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return prints.join(member, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id", kept.alias("kept"))
+
+
+def _hex(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> DataFrame:
+    """The rows of docs that stay: one of each component, that with the smallest doc_id."""
+
+    @F.arrow_udf("long")
+    def printed(texts: pa.Array) -> pa.Array:
+        return next(_fingerprints([pa.RecordBatch.from_arrays([texts, texts], ["doc_id", "text"])], width))["fp"]
+
+    found = near_duplicates(docs, width, threshold).withColumnRenamed("fingerprint", "digest")
+    return kept_rows(docs, found, _hex(printed(text_of(docs))))
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
