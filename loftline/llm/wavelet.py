@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_path, table, text_of
-from .words import VOCABULARY, encoder
+from .words import VOCABULARY, encoder, forget
 
 BITS = 16
 #: Tokens of a shard; it ends with the document that reaches this.
@@ -46,19 +46,19 @@ class WaveletMatrix:
     def build(ids: np.ndarray) -> bytes:
         planes, x = [], ids.astype(np.uint16)
         for level in range(BITS - 1, -1, -1):
-            one = (x >> level & 1).astype(bool)
+            one = (x & np.uint16(1 << level)) != 0
             planes.append(np.packbits(one, bitorder="little").tobytes())
-            x = np.concatenate([x[~one], x[one]])
+            x = np.concatenate([np.compress(~one, x), np.compress(one, x)])
         return b"".join(planes)
 
     def ids(self) -> np.ndarray:
         """The whole sequence."""
         x = np.zeros(self.n, np.uint16)
         for k in range(BITS - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
+            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").view(bool)
             before = np.empty_like(x)
-            before[~one] = x[: self.zeros[k]]
-            before[one] = x[self.zeros[k] :] | np.uint16(1 << (BITS - 1 - k))
+            before[np.flatnonzero(~one)] = x[: self.zeros[k]]
+            before[np.flatnonzero(one)] = x[self.zeros[k] :] | np.uint16(1 << (BITS - 1 - k))
             x = before
         return x
 
@@ -123,6 +123,7 @@ SHARDS = "range int, shard int, before long, n long, doc_ids array<long>, length
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by range and doc_id."""
+    forget()
     at, shard, before, docs, parts, size = None, 0, 0, [], [], 0
 
     def shard_row() -> pa.RecordBatch:
@@ -163,6 +164,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
         for r, before, n, docs, lengths, planes in zip(*(b[c] for c in ("range", "before", "n", "doc_ids", "lengths", "planes")), strict=True):
             ids = WaveletMatrix(n.as_py(), planes.as_buffer()).ids().astype("<u4").tobytes()

@@ -7,6 +7,7 @@ with Arrow, the distinct pieces go through the library, and the ids are gathered
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,7 +19,7 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a Python worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 #: Bytes of text that are cut at once.
 SLICE = 1 << 23
 #: Marks that are one token run of their own after letters; none of them joins an apostrophe form or composes.
@@ -165,3 +166,9 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 @cache
 def encoder(name: str = VOCABULARY) -> Encoder:
     return Encoder(name)
+
+
+def forget() -> None:
+    """Frees what this worker remembers, before it does other work."""
+    encoder.cache_clear()
+    gc.collect()
