@@ -64,6 +64,7 @@ def repair_flight(pdf: pd.DataFrame) -> pd.DataFrame:
 def repair_altitude(df: DataFrame, flight: str = "flight_id") -> DataFrame:
     """All flights; each is one group, as a repair depends on those before it."""
     fields = dict(df.dtypes)
+    columns = df.columns
     whole = [c for c in ALTITUDES if fields.get(c) in ("bigint", "int")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -71,7 +72,7 @@ def repair_altitude(df: DataFrame, flight: str = "flight_id") -> DataFrame:
         for c in whole:
             if not pdf[c].isna().any():
                 pdf[c] = pdf[c].astype("int64")
-        return repair_flight(pdf)[df.columns]
+        return repair_flight(pdf)[columns]
 
     return df.groupBy(flight).applyInPandas(run, df.schema)
 

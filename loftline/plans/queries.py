@@ -1,4 +1,754 @@
-"""Registered queries of the telemetry operators, with the same in SQL."""
+"""Registered queries of the telemetry operators, with the same in SQL where SQL can express them.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The event table stands in for telemetry: a user is a flight, the seconds since the user's first event are the time,
+value and k are signals.  Gaps between a user's events are hours, so time constants are hours here.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import fields, text
+from ..functions import flight as fl
+from ..operators import cleaning, geometry, ordered, phases, spline
+from ..schemas import PHASES
+from ..sources import igc
+from . import flight as plan
+from . import sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+S = """s AS (SELECT event_id, user_id AS flight_id, CAST(epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS DOUBLE) / 1e6 AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value, event_type, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)"""
+TYPES = ("view", "click", "purchase", "signup", "error")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, flight_id, t (seconds), n (position), value, event_type, k."""
+    e = table(spark, sf_dir, "events")
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
+    w = Window.partitionBy("user_id")
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+    rows = e.select("event_id", F.col("user_id").alias("flight_id"), us.alias("us"), "ts", "user_id", "value", "event_type", k.alias("k"))
+    rows = rows.withColumns({"t": (F.col("us") - F.min("us").over(w)).cast("double") / 1e6, "n": F.row_number().over(w.orderBy("ts", "event_id")).cast("long")})
+    return rows.select("event_id", "flight_id", "t", "n", "value", "event_type", "k")
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(c, digits) + F.lit(0.0)
+
+
+# Logger files
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    line = F.format_string(
+        "B%02d%02d%02d%02d%05d%s%03d%05d%s%s%05d%05d",
+        *((x).cast("int") for x in ((k * 7 + 3) % 24, (k * 11) % 60, (k * 13) % 60, k % 90, (k * 37) % 60000)), F.when(k % 3 == 0, "S").otherwise("N"),
+        (k % 180).cast("int"), ((k * 53) % 60000).cast("int"), F.when(k % 5 == 0, "W").otherwise("E"), F.when(k % 7 == 0, "V").otherwise("A"), ((k * 3) % 5000).cast("int"), ((k * 5) % 6000).cast("int"),
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("flight_id"), k.alias("line_no"), line.alias("line"))
+
+
+_LINES = """l AS (SELECT o_custkey AS flight_id, o_orderkey AS line_no, o_orderkey AS k, printf('B%02d%02d%02d%02d%05d%s%03d%05d%s%s%05d%05d', (o_orderkey * 7 + 3) % 24, (o_orderkey * 11) % 60, (o_orderkey * 13) % 60,
+  o_orderkey % 90, (o_orderkey * 37) % 60000, CASE WHEN o_orderkey % 3 = 0 THEN 'S' ELSE 'N' END, o_orderkey % 180, (o_orderkey * 53) % 60000, CASE WHEN o_orderkey % 5 = 0 THEN 'W' ELSE 'E' END,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'V' ELSE 'A' END, (o_orderkey * 3) % 5000, (o_orderkey * 5) % 6000) AS line FROM orders)"""
+
+
+@query(f"""WITH {_LINES}, f AS (SELECT flight_id, line_no, CAST(substr(line, 2, 2) AS INT) * 3600 + CAST(substr(line, 4, 2) AS INT) * 60 + CAST(substr(line, 6, 2) AS INT) AS tod,
+  round((CAST(substr(line, 8, 2) AS INT) + CAST(substr(line, 10, 5) AS INT) / 60000.0::DOUBLE) * CASE WHEN substr(line, 15, 1) = 'S' THEN -1 ELSE 1 END, 6) + 0 AS lat,
+  round((CAST(substr(line, 16, 3) AS INT) + CAST(substr(line, 19, 5) AS INT) / 60000.0::DOUBLE) * CASE WHEN substr(line, 24, 1) = 'W' THEN -1 ELSE 1 END, 6) + 0 AS lon,
+  CAST(substr(line, 26, 5) AS BIGINT) AS alt_baro_m, CAST(substr(line, 31, 5) AS BIGINT) AS alt_gps_m, substr(line, 25, 1) AS fix_validity FROM l),
+ d AS (SELECT *, CASE WHEN tod < lag(tod) OVER (PARTITION BY flight_id ORDER BY line_no) - 3600 THEN 1 ELSE 0 END AS nd FROM f),
+ a AS (SELECT *, tod + 86400 * sum(nd) OVER (PARTITION BY flight_id ORDER BY line_no) AS s FROM d)
+SELECT flight_id, line_no, tod, lat, lon, alt_baro_m, alt_gps_m, fix_validity, CAST(s - first_value(s) OVER (PARTITION BY flight_id ORDER BY line_no) AS DOUBLE) AS timestamp_s FROM a""")
+def igc_fixes(spark, sf_dir):
+    f = igc.fixes(_records(spark, sf_dir))
+    return f.select("flight_id", "line_no", "tod", r("gps_lat_deg").alias("lat"), r("gps_lon_deg").alias("lon"), "alt_baro_m", "alt_gps_m", "fix_validity", "timestamp_s")
+
+
+@query("""WITH h AS (SELECT c_nationkey AS flight_id, c_custkey AS line_no, CASE c_custkey % 3 WHEN 0 THEN 'PLT' WHEN 1 THEN 'GTY' ELSE 'GID' END AS code, CASE WHEN c_custkey % 4 = 0 THEN 'NIL' ELSE c_name END AS value FROM customer)
+SELECT flight_id, code, CASE WHEN arg_max(value, line_no) = 'NIL' THEN NULL ELSE arg_max(value, line_no) END AS value FROM h GROUP BY 1, 2""")
+def igc_headers(spark, sf_dir):
+    k = F.col("c_custkey")
+    code = F.when(k % 3 == 0, "PLT").when(k % 3 == 1, "GTY").otherwise("GID")
+    line = F.concat(F.lit("HF"), code, F.lit("NAME: "), F.when(k % 4 == 0, "NIL").otherwise(F.col("c_name")))
+    lines = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("flight_id"), k.alias("line_no"), line.alias("line"))
+    return igc.headers(lines).select("flight_id", "code", fields.not_nil(F.col("value")).alias("value"))
+
+
+@query("""SELECT o_orderkey, CAST(make_date(CASE WHEN o_orderkey % 100 < 80 THEN 2000 ELSE 1900 END + o_orderkey % 100, 1 + o_orderkey % 12, 1 + o_orderkey % 28) AS VARCHAR) AS day FROM orders""")
+def igc_dates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    written = F.format_string("%02d%02d%02d,%02d", (1 + k % 28).cast("int"), (1 + k % 12).cast("int"), (k % 100).cast("int"), (k % 9).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fields.igc_date(written).cast("string").alias("day"))
+
+
+@query("""SELECT o_orderkey, make_timestamp(2000 + o_orderkey % 60, 1 + o_orderkey % 12, 1 + o_orderkey % 28, o_orderkey % 24, o_orderkey % 60, (o_orderkey % 60) + (o_orderkey % 1000) / 1000.0) AS clock FROM orders WHERE o_orderkey % 5 <> 0
+UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 5 = 0""")
+def gps_clocks(spark, sf_dir):
+    k = F.col("o_orderkey")
+    written = F.format_string("%02d%02d%02d%02d%02d%02d.%03d", *(x.cast("int") for x in (k % 60, 1 + k % 12, 1 + k % 28, k % 24, k % 60, k % 60, k % 1000)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fields.gps_clock(F.when(k % 5 == 0, "no clock").otherwise(written)).alias("clock"))
+
+
+@query("""SELECT c_nationkey AS flight_id, count(*) AS n_rows, CAST(count(*) FILTER (WHERE c_custkey % 4 = 0) AS BIGINT) AS null_pilot, CAST(count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS BIGINT) AS enum_segment FROM customer GROUP BY 1""")
+def validation_counts(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("pilot", fields.not_nil(F.when(F.col("c_custkey") % 4 == 0, "nil").otherwise(F.col("c_name"))))
+    return c.groupBy(F.col("c_nationkey").alias("flight_id")).agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("pilot").isNull(), 1)).alias("null_pilot"), F.count(F.when(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 1)).alias("enum_segment"))
+
+
+# Cleaning
+
+
+@query(f"""WITH {S}, h AS (SELECT event_id, flight_id, floor(t / 3600) AS hour, max(floor(t / 3600)) OVER (PARTITION BY flight_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)
+SELECT event_id, flight_id, CAST(hour AS BIGINT) AS hour FROM h WHERE m IS NULL OR hour > m""")
+def strict_monotone_filter(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("event_id", "flight_id", F.floor(F.col("t") / 3600).alias("hour"))
+    return ordered.strictly_increasing(rows, "hour", "event_id")
+
+
+@query(f"""WITH {S}, d AS (SELECT *, t - lag(t) OVER w AS dt, sqrt((value - lag(value) OVER w) ** 2 + (k - lag(k) OVER w) ** 2) AS way FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY t, event_id)),
+ q AS (SELECT *, way / nullif(dt / 3600, 0) / nullif(value / 5, 0) AS ratio FROM d)
+SELECT event_id, flight_id FROM q WHERE dt IS NULL OR coalesce(ratio > 0.5 AND ratio < 2 AND dt / 3600 > 0.03, false) OR value / 5 < 7""")
+def kinematic_filter(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumns({"h": F.col("t") / 3600, "v": F.col("value") / 5, "y": F.col("k").cast("double")}).withColumn("ord", F.struct("t", "event_id"))
+    return ordered.plausible_speed(rows, "value", "y", "h", "v", "ord").select("event_id", "flight_id")
+
+
+@query(f"""WITH {S} SELECT event_id, CASE WHEN event_type = 'view' THEN 1.0::DOUBLE ELSE 0.01::DOUBLE END AS weight, round(1.0::DOUBLE / (CASE WHEN k = 0 THEN 0.1::DOUBLE ELSE k / 100.0::DOUBLE END), 6) AS dop_weight FROM s""")
+def quality_weights(spark, sf_dir):
+    validity = F.when(F.col("event_type") == "view", "A").otherwise("V")
+    return samples(spark, sf_dir).select("event_id", fields.quality_weight(validity).alias("weight"), r(fields.dilution_weight(F.col("k") / 100.0)).alias("dop_weight"))
+
+
+@query(f"""WITH {S}, v AS (SELECT flight_id, n, value, value - lag(value) OVER (PARTITION BY flight_id ORDER BY n) AS rate FROM s),
+ m AS (SELECT *, CASE WHEN rate < -30 THEN -1 WHEN rate > 30 THEN 1 END AS mark FROM v),
+ g AS (SELECT *, sum(CASE WHEN mark = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY n) AS rises, min(CASE WHEN mark = 1 THEN n END) OVER (PARTITION BY flight_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS close_n FROM m),
+ o AS (SELECT *, min(CASE WHEN mark = -1 THEN n END) OVER (PARTITION BY flight_id, rises ORDER BY n) - 1 AS open_n FROM g)
+SELECT o.flight_id, o.n, CASE WHEN o.open_n IS NOT NULL AND o.close_n IS NOT NULL THEN true ELSE false END AS repaired,
+ round(CASE WHEN o.open_n IS NOT NULL AND o.close_n IS NOT NULL THEN a.value + CAST(o.n - o.open_n AS DOUBLE) / (o.close_n - o.open_n) * (b.value - a.value) ELSE o.value END, 7) AS value_repaired
+FROM o LEFT JOIN s a ON a.flight_id = o.flight_id AND a.n = o.open_n LEFT JOIN s b ON b.flight_id = o.flight_id AND b.n = o.close_n""")
+def drop_gap_repair(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("flight_id", "n", "value", F.col("n").cast("double").alias("timestamp_s"))
+    return cleaning.bridge_drops(rows, "value").select("flight_id", "n", "repaired", r("value_repaired", 7).alias("value_repaired"))
+
+
+@query()
+def altitude_repair(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("flight_id", F.col("n").cast("double").alias("timestamp_s"), F.col("value").cast("long").alias("alt_gps_m"), F.lit(1.0).alias("weight"))
+    return cleaning.repair_altitude(rows)
+
+
+@query(f"""WITH {S}, c AS (SELECT flight_id, event_id, floor(t / 3600) AS hour, max(floor(t / 3600)) OVER (PARTITION BY flight_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM s)
+SELECT flight_id, count(*) AS n_rows, CAST(count(*) FILTER (WHERE m IS NOT NULL AND hour <= m) AS BIGINT) AS dropped FROM c GROUP BY 1""")
+def dropped_rows(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("event_id", "flight_id", F.floor(F.col("t") / 3600).alias("hour"))
+    return cleaning.dropped_report(rows, "hour", "event_id")
+
+
+@query(f"""WITH RECURSIVE {S}, f AS (SELECT flight_id, n, n AS kept_n, value AS last, true AS good FROM s WHERE n = 1
+ UNION ALL SELECT s.flight_id, s.n, CASE WHEN abs(s.value - f.last) <= 40 * (s.n - f.kept_n) THEN s.n ELSE f.kept_n END, CASE WHEN abs(s.value - f.last) <= 40 * (s.n - f.kept_n) THEN s.value ELSE f.last END, abs(s.value - f.last) <= 40 * (s.n - f.kept_n)
+ FROM f JOIN s ON s.flight_id = f.flight_id AND s.n = f.n + 1) SELECT s.flight_id, s.n, s.value FROM s JOIN f ON f.flight_id = s.flight_id AND f.n = s.n WHERE f.good""")
+def spike_filter(spark, sf_dir):
+    rows = samples(spark, sf_dir).select("flight_id", "n", "value", F.col("n").cast("double").alias("timestamp_s"))
+    return cleaning.without_spikes(rows, "value", 40.0).select("flight_id", "n", "value")
+
+
+@query(f"WITH {S} SELECT event_id FROM s WHERE (event_type = 'error' OR k <= 5) AND value BETWEEN -90 AND 90")
+def quality_bounds_filter(spark, sf_dir):
+    hdop = F.when(F.col("event_type") != "error", F.col("k"))
+    return samples(spark, sf_dir).where((hdop.isNull() | (hdop <= 5)) & F.col("value").between(-90, 90)).select("event_id")
+
+
+# Lookups and matching
+
+
+@query("""SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def registry_join(spark, sf_dir):
+    c, n, g = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(g, n["n_regionkey"] == g["r_regionkey"]).select("c_custkey", "n_name", "r_name")
+
+
+_CODES = ("W", "S", "L", "N", "M", "X", "LH", "Q")
+
+
+@query("""WITH p AS (SELECT p_partkey, list_extract(['W', 'S', 'L', 'N', 'M', 'X', 'LH', 'Q'], CAST(p_partkey % 8 + 1 AS INT)) AS code, CASE WHEN p_partkey % 10 = 0 THEN 'mlns' ELSE 'GPRO' END AS lens, list_extract([720, 1080, 1440, 2160, 999], CAST(p_partkey % 5 + 1 AS INT)) AS height FROM part)
+SELECT p_partkey, CASE WHEN lens = 'mlns' THEN 'Max Lens Mod' ELSE CASE code WHEN 'W' THEN 'Wide' WHEN 'S' THEN 'SuperView' WHEN 'L' THEN 'Linear' WHEN 'N' THEN 'Narrow' WHEN 'M' THEN 'Max SuperView' WHEN 'X' THEN 'HyperView' WHEN 'LH' THEN 'Linear + Horizon Lock' ELSE code END END AS view,
+ CASE height WHEN 720 THEN '720p' WHEN 1080 THEN '1080p' WHEN 1440 THEN '1440p' WHEN 2160 THEN '4K' ELSE '999p' END || '60' AS resolution FROM p""")
+def camera_labels(spark, sf_dir):
+    k = F.col("p_partkey")
+    code = F.get(F.array(*map(F.lit, _CODES)), (k % 8).cast("int"))
+    size = F.concat(F.lit("100x"), F.get(F.array(*map(F.lit, (720, 1080, 1440, 2160, 999))), (k % 5).cast("int")).cast("string"))
+    lens = F.when(k % 10 == 0, "mlns").otherwise("GPRO")
+    return table(spark, sf_dir, "part").select("p_partkey", text.view_text(code, lens).alias("view"), text.resolution_text(size, F.lit(59.94)).alias("resolution"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_partkey % 4 = 1 THEN 'Stab Off' WHEN p_partkey % 4 = 0 THEN 'HyperSmooth High' WHEN p_partkey % 4 = 2 THEN 'custom' ELSE 'EIS On' END AS stabilisation FROM part""")
+def stabilisation_labels(spark, sf_dir):
+    k = F.col("p_partkey")
+    method = F.when(k % 4 == 0, "HS High").when(k % 4 == 1, "hs off").when(k % 4 == 2, "custom")
+    return table(spark, sf_dir, "part").select("p_partkey", text.stabilisation_text(k % 3 != 0, method).alias("stabilisation"))
+
+
+def _two(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    s = samples(spark, sf_dir)
+    return s.where("event_type = 'click'").select("event_id", "flight_id", "t"), s.where("event_type = 'view'").select("flight_id", "t", F.col("value").alias("seen"))
+
+
+_NEAR = f"""WITH {S}, c AS (SELECT event_id, flight_id, t FROM s WHERE event_type = 'click'), v AS (SELECT flight_id, t, value FROM s WHERE event_type = 'view'),
+ b AS (SELECT c.*, v.t AS bt, v.value AS bv FROM c ASOF LEFT JOIN v ON c.flight_id = v.flight_id AND c.t >= v.t), a AS (SELECT b.*, v.t AS aft, v.value AS av FROM b ASOF LEFT JOIN v ON b.flight_id = v.flight_id AND b.t <= v.t)"""
+
+
+@query(_NEAR + " SELECT event_id, CASE WHEN aft IS NULL OR (bt IS NOT NULL AND t - bt < aft - t) THEN bv ELSE av END AS seen, round(CASE WHEN aft IS NULL OR (bt IS NOT NULL AND t - bt < aft - t) THEN bt ELSE aft END, 3) AS matched_t FROM a")
+def nearest_tie_late(spark, sf_dir):
+    left, right = _two(spark, sf_dir)
+    return ordered.nearest(left, right, "t", ["seen"]).select("event_id", "seen", r("matched_t", 3).alias("matched_t"))
+
+
+@query(_NEAR + " SELECT event_id, CASE WHEN aft IS NULL OR (bt IS NOT NULL AND t - bt <= aft - t) THEN bv ELSE av END AS seen FROM a")
+def nearest_tie_early(spark, sf_dir):
+    left, right = _two(spark, sf_dir)
+    return ordered.nearest(left, right, "t", ["seen"], later=False).select("event_id", "seen")
+
+
+@query(_NEAR + " SELECT event_id, round(bt, 3) AS before_t, round(aft, 3) AS after_t FROM a")
+def bracket_lookup(spark, sf_dir):
+    left, right = _two(spark, sf_dir)
+    return ordered.brackets(left, right, "t", ["seen"]).select("event_id", r("before.t", 3).alias("before_t"), r("after.t", 3).alias("after_t"))
+
+
+@query(_NEAR + " SELECT event_id, round(CASE WHEN bv IS NULL THEN av WHEN av IS NULL THEN bv ELSE bv + coalesce((t - bt) / nullif(aft - bt, 0), 0) * (av - bv) END, 5) AS seen FROM a")
+def bracket_lerp(spark, sf_dir):
+    left, right = _two(spark, sf_dir)
+    return ordered.interpolate(left, right, "t", ["seen"]).select("event_id", r("seen", 5).alias("seen"))
+
+
+@query(f"""WITH {S}, c AS (SELECT event_id, flight_id, row_number() OVER (PARTITION BY flight_id ORDER BY t) AS i, count(*) OVER (PARTITION BY flight_id) AS m FROM s WHERE event_type = 'click'),
+ v AS (SELECT flight_id, value AS seen, row_number() OVER (PARTITION BY flight_id ORDER BY t) AS i, count(*) OVER (PARTITION BY flight_id) AS m FROM s WHERE event_type = 'view') SELECT c.event_id, v.seen FROM c JOIN v USING (flight_id, i, m)""")
+def positional_align(spark, sf_dir):
+    left, right = _two(spark, sf_dir)
+    return ordered.align_by_position(left, right, "t", ["seen"]).select("event_id", "seen")
+
+
+@query(f"""WITH {S}, v AS (SELECT * FROM s WHERE event_type = 'view' AND flight_id % 3 = 0), c AS (SELECT * FROM s WHERE event_type = 'click')
+SELECT event_id, flight_id, 'preferred' AS source FROM v UNION ALL SELECT event_id, flight_id, 'fallback' FROM c WHERE flight_id NOT IN (SELECT flight_id FROM v)""")
+def source_fallback(spark, sf_dir):
+    from ..sources.frames import pick_source
+
+    s = samples(spark, sf_dir)
+    found = pick_source(s.where("event_type = 'view' AND flight_id % 3 = 0"), s.where("event_type = 'click'"))
+    return found.select("event_id", "flight_id", "source")
+
+
+# Windows
+
+
+def _positions(spark, sf_dir) -> DataFrame:
+    s = samples(spark, sf_dir)
+    w = Window.partitionBy("flight_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    return s.withColumns({"timestamp_s": F.col("t") / 3600, "x_m": F.sum(F.col("value").cast("decimal(18,2)")).over(w).cast("double"), "y_m": F.sum("k").over(w).cast("double"), "z_m": F.col("value")})
+
+
+_P = f"""{S}, p AS (SELECT event_id, flight_id, n, value, k, event_type, t / 3600 AS ts, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS x, CAST(sum(k) OVER w AS DOUBLE) AS y, value AS z FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n))"""
+
+
+@query(f"""WITH {_P}, q AS (SELECT event_id, x, y, ts, coalesce(last_value(x) OVER b, first_value(x) OVER f) AS xb, coalesce(first_value(x) OVER a, last_value(x) OVER f) AS xf, coalesce(last_value(y) OVER b, first_value(y) OVER f) AS yb, coalesce(first_value(y) OVER a, last_value(y) OVER f) AS yf,
+ coalesce(last_value(ts) OVER b, first_value(ts) OVER f) AS tb, coalesce(first_value(ts) OVER a, last_value(ts) OVER f) AS tf FROM p WINDOW f AS (PARTITION BY flight_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+ b AS (PARTITION BY flight_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 12 PRECEDING), a AS (PARTITION BY flight_id ORDER BY ts RANGE BETWEEN 12 FOLLOWING AND UNBOUNDED FOLLOWING))
+SELECT event_id, round(sqrt((xf - xb) ** 2 + (yf - yb) ** 2) / greatest(tf - tb, 1e-6), 4) AS speed FROM q""")
+def central_diff_outer(spark, sf_dir):
+    d = ordered.central_difference(_positions(spark, sf_dir), ["x_m", "y_m"], "timestamp_s", 12.0)
+    return d.select("event_id", r(F.sqrt(F.col("d_x_m") ** 2 + F.col("d_y_m") ** 2) / F.col("d_t"), 4).alias("speed"))
+
+
+@query(f"""WITH {_P}, q AS (SELECT event_id, last_value(z) OVER i - first_value(z) OVER i AS dz, last_value(ts) OVER i - first_value(ts) OVER i AS dt FROM p WINDOW i AS (PARTITION BY flight_id ORDER BY ts RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING))
+SELECT event_id, round(dz / greatest(dt, 1e-6), 4) AS climb FROM q""")
+def central_diff_inner(spark, sf_dir):
+    d = ordered.central_difference(_positions(spark, sf_dir), ["z_m"], "timestamp_s", 12.0, inside=True)
+    return d.select("event_id", r(F.col("d_z_m") / F.col("d_t"), 4).alias("climb"))
+
+
+_U = f"""{S}, h AS (SELECT event_id, flight_id, n, t / 3600 AS ts, value - 2 * pi() * floor(value / (2 * pi())) AS h FROM s), d AS (SELECT *, h - lag(h) OVER w AS dl FROM h WINDOW w AS (PARTITION BY flight_id ORDER BY n)),
+ e AS (SELECT *, (dl + pi()) - 2 * pi() * floor((dl + pi()) / (2 * pi())) - pi() AS m FROM d), u AS (SELECT *, sum(coalesce(CASE WHEN m = -pi() AND dl > 0 THEN pi() ELSE m END, h)) OVER (PARTITION BY flight_id ORDER BY n) AS u FROM e)"""
+
+
+@query(f"WITH {_U} SELECT event_id, round(u, 5) AS unwrapped FROM u")
+def angle_unwrap(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("h", F.pmod("value", 2 * F.pi()))
+    return ordered.unwrap(rows, "h", "u", "flight_id", "n").select("event_id", r("u", 5).alias("unwrapped"))
+
+
+@query(f"""WITH {_U}, q AS (SELECT event_id, last_value(u) OVER i - first_value(u) OVER i AS du, last_value(ts) OVER i - first_value(ts) OVER i AS dt FROM u WINDOW i AS (PARTITION BY flight_id ORDER BY ts RANGE BETWEEN 12 PRECEDING AND 12 FOLLOWING))
+SELECT event_id, round(degrees(du / greatest(dt, 1e-6)), 4) AS turn FROM q""")
+def turn_rate(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumns({"h": F.pmod("value", 2 * F.pi()), "timestamp_s": F.col("t") / 3600})
+    d = ordered.central_difference(ordered.unwrap(rows, "h", "u", "flight_id", "n"), ["u"], "timestamp_s", 12.0, inside=True)
+    return d.select("event_id", r(F.degrees(F.col("d_u") / F.col("d_t")), 4).alias("turn"))
+
+
+@query(f"WITH {S} SELECT event_id, round(median(value) OVER (PARTITION BY flight_id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM s")
+def rolling_median(spark, sf_dir):
+    return ordered.rolling_median(samples(spark, sf_dir), "value", "m", 2, "flight_id", "n").select("event_id", r("m").alias("smooth"))
+
+
+@query(f"WITH {S}, d AS (SELECT flight_id, t - lag(t) OVER (PARTITION BY flight_id ORDER BY t) AS dt FROM s) SELECT flight_id, round(CASE WHEN median(dt) < 1e-6 THEN 1.0 ELSE coalesce(median(dt), 1.0) END, 4) AS median_dt FROM d GROUP BY 1")
+def median_interval(spark, sf_dir):
+    return ordered.median_interval(samples(spark, sf_dir), "t").select("flight_id", r("median_dt", 4).alias("median_dt"))
+
+
+@query(f"WITH {S} SELECT event_id, round(coalesce((value - lag(value) OVER w) / greatest((t - lag(t) OVER w) / 3600, 1.0), 0), 5) AS rate FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n)")
+def step_rates(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("h", F.col("t") / 3600)
+    return rows.select("event_id", r(ordered.step_rate("value", "h", Window.partitionBy("flight_id").orderBy("n")), 5).alias("rate"))
+
+
+_B = f"""{S}, c AS (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY flight_id ORDER BY n) THEN 1 ELSE 0 END AS c FROM s), b AS (SELECT *, sum(c) OVER (PARTITION BY flight_id ORDER BY n) AS block FROM c),
+ i AS (SELECT flight_id, CAST(block AS BIGINT) AS block, min(event_type) AS event_type, min(t) AS start_s, max(t) AS end_s, count(*) AS n_rows FROM b GROUP BY flight_id, block)"""
+
+
+@query(f"WITH {_B} SELECT flight_id, block, event_type, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s, n_rows FROM i")
+def phase_blocks(spark, sf_dir):
+    return ordered.islands(samples(spark, sf_dir), "event_type", "t", "flight_id", "n").select("flight_id", "block", "event_type", r("start_s", 3).alias("start_s"), r("end_s", 3).alias("end_s"), "n_rows")
+
+
+@query(f"WITH {S}, l AS (SELECT flight_id, round(t, 3) AS t, lag(event_type) OVER (PARTITION BY flight_id ORDER BY n) AS from_value, event_type AS to_value FROM s) SELECT * FROM l WHERE from_value <> to_value")
+def phase_transitions(spark, sf_dir):
+    return ordered.transitions(samples(spark, sf_dir), "event_type", "t", "flight_id", "n").withColumn("t", r("t", 3))
+
+
+_SRT = "CASE WHEN {0} IS NULL THEN '' ELSE printf('%02d:%02d:%02d,%03d', CAST(floor(floor({0}) / 3600) AS BIGINT), CAST(floor({0}) AS BIGINT) % 3600 // 60, CAST(floor({0}) AS BIGINT) % 60, CAST(round_even(({0} - floor({0})) * 1000, 0) AS BIGINT)) END"
+
+
+@query(f"""WITH {_B} SELECT flight_id, string_agg(block || chr(10) || {_SRT.format('start_s')} || ' --> ' || {_SRT.format('end_s')} || chr(10) || event_type || chr(10), chr(10) ORDER BY block) AS srt FROM i GROUP BY flight_id""")
+def srt_text(spark, sf_dir):
+    return sinks.subtitles(samples(spark, sf_dir), "event_type", "t")
+
+
+@query(f"WITH {S} SELECT flight_id, event_type, count(*) AS n_rows, round(max(t) - min(t), 3) AS span_s FROM s GROUP BY 1, 2")
+def phase_summary(spark, sf_dir):
+    return samples(spark, sf_dir).groupBy("flight_id", "event_type").agg(F.count("*").alias("n_rows"), r(F.max("t") - F.min("t"), 3).alias("span_s"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1 ORDER BY 1")
+def value_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type")
+
+
+@query(f"WITH {S} SELECT flight_id, min(value) AS value_min, max(value) AS value_max, round((min(value) + max(value)) / 2, 4) AS value_mid, min(k) AS k_min, max(k) AS k_max, (min(k) + max(k)) / 2.0::DOUBLE AS k_mid FROM s GROUP BY 1")
+def bounding_box(spark, sf_dir):
+    return geometry.bounds(samples(spark, sf_dir), "value", "k").withColumn("value_mid", r("value_mid", 4))
+
+
+@query(f"WITH {S} SELECT flight_id, count(*) AS n_points, round(max(t) - min(t), 3) AS duration_s, count(*) FILTER (WHERE value < 5) AS low FROM s GROUP BY 1")
+def anomaly_counts(spark, sf_dir):
+    return samples(spark, sf_dir).groupBy("flight_id").agg(F.count("*").alias("n_points"), r(F.max("t") - F.min("t"), 3).alias("duration_s"), F.count_if(F.col("value") < 5).alias("low"))
+
+
+@query(f"WITH {S}, g AS (SELECT flight_id, lag(t) OVER (PARTITION BY flight_id ORDER BY t) AS a, t AS b FROM s) SELECT flight_id, round(a, 3) AS gap_start, round(b, 3) AS gap_end FROM g WHERE b - a > 86400")
+def gap_report(spark, sf_dir):
+    return ordered.gaps(samples(spark, sf_dir), 86400.0, "t").select("flight_id", r("gap_start", 3).alias("gap_start"), r("gap_end", 3).alias("gap_end"))
+
+
+@query(f"""WITH {S}, c AS (SELECT *, CASE WHEN (value >= 20) IS DISTINCT FROM lag(value >= 20) OVER (PARTITION BY flight_id ORDER BY n) THEN 1 ELSE 0 END AS c FROM s), b AS (SELECT *, sum(c) OVER (PARTITION BY flight_id ORDER BY n) AS block FROM c),
+ i AS (SELECT flight_id, block, bool_and(value >= 20) AS fast, min(t) AS a, max(t) AS z FROM b GROUP BY 1, 2), f AS (SELECT flight_id, min(a) FILTER (WHERE fast AND z - a >= 43200) AS takeoff, max(z) FILTER (WHERE fast) AS landing FROM i GROUP BY 1)
+SELECT flight_id, round(takeoff, 3) AS takeoff, round(landing, 3) AS landing FROM f""")
+def flight_window(spark, sf_dir):
+    runs = ordered.islands(samples(spark, sf_dir).withColumn("fast", F.col("value") >= 20), "fast", "t", "flight_id", "n")
+    long = F.col("fast") & (F.col("end_s") - F.col("start_s") >= 43200)
+    return runs.groupBy("flight_id").agg(r(F.min(F.when(long, F.col("start_s"))), 3).alias("takeoff"), r(F.max(F.when(F.col("fast"), F.col("end_s"))), 3).alias("landing"))
+
+
+# Resampling
+
+
+@query(f"""WITH {S}, g AS (SELECT flight_id, max(t) AS b FROM s GROUP BY 1) SELECT flight_id, i AS grid_i, i * 86400.0::DOUBLE AS t FROM (SELECT flight_id, unnest(range(CAST(ceil(b / 86400.0) AS BIGINT))) AS i FROM g)""")
+def resample_grid(spark, sf_dir):
+    return ordered.grid(samples(spark, sf_dir), 86400.0, "t")
+
+
+@query(f"""WITH {S}, g AS (SELECT flight_id, max(t) AS b FROM s GROUP BY 1), q AS (SELECT flight_id, i, i * 86400.0::DOUBLE AS t FROM (SELECT flight_id, unnest(range(CAST(ceil(b / 86400.0) AS BIGINT))) AS i FROM g)),
+ b AS (SELECT q.*, s.t AS bt, s.value AS bv FROM q ASOF LEFT JOIN s ON q.flight_id = s.flight_id AND q.t >= s.t), a AS (SELECT b.*, s.t AS aft, s.value AS av FROM b ASOF LEFT JOIN s ON b.flight_id = s.flight_id AND b.t <= s.t)
+SELECT flight_id, i AS grid_i, round(bv + coalesce((t - bt) / nullif(aft - bt, 0), 0) * (av - bv), 5) AS value FROM a""")
+def resample_lerp(spark, sf_dir):
+    s = samples(spark, sf_dir).select("flight_id", "t", "value")
+    return ordered.interpolate(ordered.grid(s, 86400.0, "t"), s, "t", ["value"]).select("flight_id", "grid_i", r("value", 5).alias("value"))
+
+
+@query(f"WITH {S} SELECT event_id FROM s WHERE (n - 1) % 7 = 0")
+def stride_sample(spark, sf_dir):
+    return ordered.every_nth(samples(spark, sf_dir), 7, "n").select("event_id")
+
+
+@query(f"WITH {S}, q AS (SELECT event_id, n - 1 AS i, greatest(1, count(*) OVER (PARTITION BY flight_id) // 20) AS skip FROM s) SELECT event_id FROM q WHERE i % skip = 0 AND i < skip * 20")
+def stride_cap(spark, sf_dir):
+    return ordered.stride_cap(samples(spark, sf_dir), 20, "n").select("event_id")
+
+
+_SPEEDUP = f"""{S}, q AS (SELECT *, (t - lag(t) OVER w) / nullif(CAST(k - lag(k) OVER w AS DOUBLE), 0) AS raw FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n)),
+ f AS (SELECT *, first_value(raw IGNORE NULLS) OVER (PARTITION BY flight_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sp FROM q)"""
+
+
+@query(f"WITH {_SPEEDUP} SELECT event_id, round(sp, 4) AS speedup_raw FROM f")
+def speedup_backfill(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("v", F.col("k").cast("double"))
+    return ordered.speedup(rows, "t", "v", "flight_id", "n").select("event_id", r("speedup_raw", 4).alias("speedup_raw"))
+
+
+@query(f"WITH {_SPEEDUP} SELECT event_id, round(sp, 4) AS speedup_raw FROM f WHERE n <= 5")
+def limit_after_backfill(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("v", F.col("k").cast("double"))
+    return ordered.speedup(rows, "t", "v", "flight_id", "n").where("n <= 5").select("event_id", r("speedup_raw", 4).alias("speedup_raw"))
+
+
+@query(f"WITH {S}, q AS (SELECT *, k // 10 AS frame, lag(k // 10) OVER (PARTITION BY flight_id ORDER BY n) AS before FROM s) SELECT event_id, CAST(frame AS BIGINT) AS frame FROM q WHERE frame IS DISTINCT FROM before")
+def frame_dedup(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("frame", F.floor(F.col("k") / 10))
+    return ordered.distinct_neighbours(rows, "frame", "flight_id", "n").select("event_id", "frame")
+
+
+@query(f"""WITH {S}, v AS (SELECT * FROM s WHERE event_type = 'view'), c AS (SELECT event_id, flight_id, t FROM s WHERE event_type = 'click'), b AS (SELECT c.*, v.t AS bt, v.value AS bv FROM c ASOF LEFT JOIN v ON c.flight_id = v.flight_id AND c.t > v.t),
+ a AS (SELECT b.*, v.t AS aft, v.value AS av FROM b ASOF LEFT JOIN v ON b.flight_id = v.flight_id AND b.t <= v.t)
+SELECT event_id, round(coalesce(bv, av) + (t - coalesce(bt, aft)) / greatest(coalesce(aft, bt) - coalesce(bt, aft), 1e-4) * (coalesce(av, bv) - coalesce(bv, av)), 5) AS value FROM a WHERE bt IS NOT NULL AND aft IS NOT NULL""")
+def playback_lerp(spark, sf_dir):
+    left, right = _two(spark, sf_dir)
+    found = ordered.brackets(left, right, "t", ["seen"], strict=True).where("before IS NOT NULL AND after IS NOT NULL")
+    part = (F.col("t") - F.col("before.t")) / F.greatest(F.col("after.t") - F.col("before.t"), F.lit(1e-4))
+    return found.select("event_id", r(F.col("before.seen") + part * (F.col("after.seen") - F.col("before.seen")), 5).alias("value"))
+
+
+@query(f"""WITH {S} SELECT event_id, round(atan2(avg(sin(value)) OVER w, avg(cos(value)) OVER w), 4) AS value_mean, round(avg(k) OVER w, 4) AS k_mean FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
+def circular_mean(spark, sf_dir):
+    return ordered.smoothed_circle(samples(spark, sf_dir), ["value"], ["k"], 3, "flight_id", "n").select("event_id", r("value_mean", 4).alias("value_mean"), r("k_mean", 4).alias("k_mean"))
+
+
+# Phases
+
+
+def _features(spark, sf_dir) -> DataFrame:
+    return samples(spark, sf_dir).withColumns({"h": F.col("t") / 36000, "v": F.col("value") / 3, "vz": (F.col("k") - 50) / 10, "agl": F.col("k").cast("double"), "w": F.pmod("value", F.lit(20.0)) - 10})
+
+
+_RULES = """CASE WHEN st IN (5, 6) AND agl > 30 AND v > 15 THEN 3 ELSE st END"""
+_FSM = f"""WITH RECURSIVE {S}, g AS (SELECT flight_id, n, t / 36000 AS h, value / 3 AS v, (k - 50) / 10.0::DOUBLE AS vz, CAST(k AS DOUBLE) AS agl, value - 20 * floor(value / 20) - 10 AS w FROM s),
+ d AS (SELECT *, coalesce(h - lag(h) OVER (PARTITION BY flight_id ORDER BY n), 0) AS dt FROM g),
+ m(flight_id, n, st, a, b) AS (SELECT flight_id, CAST(0 AS BIGINT), 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM d WHERE n = 1
+  UNION ALL SELECT z.flight_id, z.n,
+   CASE WHEN ca AND na >= la THEN ta WHEN cb AND nb >= lb THEN tb ELSE s0 END, CASE WHEN (ca AND na >= la) OR (cb AND nb >= lb) THEN 0 WHEN ca THEN na ELSE 0 END, CASE WHEN (ca AND na >= la) OR (cb AND nb >= lb) THEN 0 WHEN cb THEN nb ELSE 0 END
+  FROM (SELECT y.*, a0 + dt AS na, b0 + dt AS nb,
+    CASE s0 WHEN 0 THEN v > 3 WHEN 1 THEN v > 15 AND vz > 1 AND agl > 5 WHEN 2 THEN agl < 10 AND v < 30 WHEN 3 THEN agl < 10 AND v < 30 WHEN 4 THEN agl < 10 AND v < 30 WHEN 5 THEN v < 2 ELSE false END AS ca,
+    CASE s0 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 5 ELSE 4 END AS la, CASE s0 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 5 THEN 6 ELSE 5 END AS ta,
+    CASE s0 WHEN 2 THEN vz < 1 AND agl > 50 WHEN 3 THEN abs(w) > 6 WHEN 4 THEN abs(w) < 4 ELSE false END AS cb, CASE s0 WHEN 2 THEN 3 ELSE 5 END AS lb, CASE s0 WHEN 3 THEN 4 ELSE 3 END AS tb
+   FROM (SELECT d.*, CASE WHEN m.st IN (5, 6) AND agl > 30 AND v > 15 THEN 3 ELSE m.st END AS s0, CASE WHEN m.st IN (5, 6) AND agl > 30 AND v > 15 THEN 0 ELSE m.a END AS a0, CASE WHEN m.st IN (5, 6) AND agl > 30 AND v > 15 THEN 0 ELSE m.b END AS b0
+     FROM m JOIN d ON d.flight_id = m.flight_id AND d.n = m.n + 1) y) z)
+SELECT flight_id, n, list_extract({list(PHASES)}, st + 1) AS phase FROM m WHERE n > 0"""
+
+
+@query(_FSM)
+def fsm_phases(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    found = phases.label_phases(f, "h", "v", "vz", "agl", "w")
+    return f.select("flight_id", "n", "h").join(found, ["flight_id", "h"]).select("flight_id", "n", "phase")
+
+
+def _emission_sql(k: int) -> str:
+    import math
+
+    constant = -sum(math.log(d) for d in phases.DEVIATIONS[k]) - 4 * math.log(math.sqrt(2 * math.pi))
+    squares = " + ".join(f"power(({x} - ({m})) / {d}::DOUBLE, 2)" for x, m, d in zip(("value / 3", "(k - 50) / 10.0::DOUBLE", "k", "abs(value - 20 * floor(value / 20) - 10)"), phases.MEANS[k], phases.DEVIATIONS[k], strict=True))
+    return f"round(-0.5::DOUBLE * ({squares}) + ({constant!r})::DOUBLE, 5) AS b{k}"
+
+
+@query(f"WITH {S} SELECT event_id, " + ", ".join(map(_emission_sql, range(7))) + " FROM s")
+def hmm_emissions(spark, sf_dir):
+    logs = phases.emissions(*map(F.col, ("v", "vz", "agl", "w")))
+    return _features(spark, sf_dir).select("event_id", *(r(x, 5).alias(f"b{k}") for k, x in enumerate(logs)))
+
+
+@query()
+def hmm_viterbi(spark, sf_dir):
+    return phases.decode_phases(_features(spark, sf_dir), "h", "v", "vz", "agl", "w")
+
+
+def _grounded(spark, sf_dir) -> DataFrame:
+    phase = F.when(F.col("event_type") == "signup", PHASES[0]).when(F.col("event_type") == "error", PHASES[6]).otherwise(PHASES[3])
+    return samples(spark, sf_dir).withColumns({"phase": phase, "timestamp_s": F.col("t") / 3600})
+
+
+_GROUND = f"{S}, p AS (SELECT *, t / 3600 AS ts, CASE event_type WHEN 'signup' THEN 'PRE_FLIGHT' WHEN 'error' THEN 'PUSHING_GROUND' ELSE 'CRUISING' END AS phase FROM s)"
+
+
+@query(f"""WITH {_GROUND}, e AS (SELECT *, max(ts) FILTER (WHERE phase = 'PRE_FLIGHT') OVER w AS pre, min(ts) FILTER (WHERE phase = 'PUSHING_GROUND') OVER w AS post FROM p WINDOW w AS (PARTITION BY flight_id))
+SELECT event_id, phase FROM e WHERE NOT coalesce(phase = 'PRE_FLIGHT' AND ts < pre - 3, false) AND NOT coalesce(phase = 'PUSHING_GROUND' AND ts > post + 3, false)""")
+def trim_ground(spark, sf_dir):
+    return phases.trim_ground(_grounded(spark, sf_dir), "phase").select("event_id", "phase")
+
+
+_ANCHORS = f"""{_GROUND}, a AS (SELECT flight_id, """ + ", ".join(
+    f"min(value) FILTER (WHERE phase = '{p}') AS {n}_min, avg(value) FILTER (WHERE phase = '{p}') AS {n}_mean, coalesce(stddev_samp(value) FILTER (WHERE phase = '{p}'), 0) AS {n}_std, median(ts) FILTER (WHERE phase = '{p}') AS {n}_t, count(*) FILTER (WHERE phase = '{p}') AS {n}_n"
+    for n, p in (("pre", "PRE_FLIGHT"), ("post", "PUSHING_GROUND"))
+) + " FROM p GROUP BY flight_id)"
+
+
+@query(f"WITH {_ANCHORS} SELECT flight_id, " + ", ".join(f"round({n}_{c}, 7) AS {n}_{c}" for n in ("pre", "post") for c in ("min", "mean", "std", "t")) + ", pre_n, post_n FROM a")
+def phase_stats(spark, sf_dir):
+    found = phases.ground_anchors(_grounded(spark, sf_dir), "phase", "value")
+    return found.select("flight_id", *(r(f"{n}_{c}", 7).alias(f"{n}_{c}") for n in ("pre", "post") for c in ("min", "mean", "std", "t")), "pre_n", "post_n")
+
+
+@query(f"""WITH {_ANCHORS} SELECT event_id, round(value - CASE WHEN pre_t IS NOT NULL AND post_t IS NOT NULL THEN pre_min + greatest(0, least(1, coalesce((ts - pre_t) / nullif(post_t - pre_t, 0), 1))) * (post_min - pre_min) ELSE coalesce(pre_min, post_min, 0) END, 7) + 0 AS value
+FROM p JOIN a USING (flight_id)""")
+def drift_correct(spark, sf_dir):
+    return phases.correct_drift(_grounded(spark, sf_dir), "phase", "value").select("event_id", r("value", 7).alias("value"))
+
+
+@query(f"WITH {S} SELECT flight_id, round(median(value) FILTER (WHERE t <= 864000), 5) AS ground FROM s GROUP BY 1")
+def ground_level(spark, sf_dir):
+    return phases.ground_level(samples(spark, sf_dir), "value", "t", seconds=864000.0).select("flight_id", r("ground", 5).alias("ground"))
+
+
+# Texts
+
+
+@query(f"""WITH {S} SELECT event_id, CAST(CAST(round_even(greatest(value - 50, 0), 0) AS BIGINT) AS VARCHAR) AS altitude, CAST(CAST(round_even(greatest(value - 50, 0) * 3.6::DOUBLE, 0) AS BIGINT) AS VARCHAR) AS speed FROM s""")
+def overlay_values(spark, sf_dir):
+    v = F.col("value") - 50
+    return samples(spark, sf_dir).select("event_id", text.altitude_text(v).alias("altitude"), text.speed_text(v, "km/h").alias("speed"))
+
+
+@query(f"""WITH {S}, q AS (SELECT event_id, power(2, round_even(log2(greatest(value / 50, 0.001::DOUBLE)), 0)) AS p FROM s)
+SELECT event_id, regexp_replace(regexp_replace(printf('%.10f', p), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || CASE WHEN p > 1.05 THEN 'x >>' WHEN p < 0.95 THEN 'x <<' ELSE 'x' END AS speedup FROM q""")
+def overlay_speedup(spark, sf_dir):
+    return samples(spark, sf_dir).select("event_id", text.speedup_text(F.col("value") / 50, True).alias("speedup"))
+
+
+@query(f"WITH {S} SELECT event_id, 'value: ' || printf('%.3f', value) || chr(10) || 'k: ' || k AS overview FROM s")
+def overlay_overview(spark, sf_dir):
+    return samples(spark, sf_dir).select("event_id", F.concat(F.lit("value: "), F.format_string("%.3f", "value"), F.lit("\nk: "), F.col("k").cast("string")).alias("overview"))
+
+
+@query(f"WITH {S} SELECT event_id, CASE WHEN k % 2 = 0 THEN CAST(trunc(k / 100.0::DOUBLE * 3840) AS BIGINT) ELSE k END AS x FROM s")
+def coord_parse(spark, sf_dir):
+    written = F.when(F.col("k") % 2 == 0, F.concat(F.col("k").cast("string"), F.lit("%"))).otherwise(F.col("k").cast("string"))
+    return samples(spark, sf_dir).select("event_id", fields.pixel(written, F.lit(3840)).alias("x"))
+
+
+@query(f"""WITH {S}, q AS (SELECT event_id, CAST(floor(t) AS BIGINT) AS s FROM s) SELECT event_id, CASE WHEN s >= 3600 THEN CASE WHEN s % 3600 // 60 > 0 THEN printf('%dh %02dm', s // 3600, s % 3600 // 60) ELSE printf('%dh 0m', s // 3600) END WHEN s >= 60 THEN printf('%dm %02ds', s // 60, s % 60) ELSE printf('0m %ds', s) END AS duration FROM q""")
+def duration_text(spark, sf_dir):
+    return samples(spark, sf_dir).select("event_id", text.duration_text(F.col("t")).alias("duration"))
+
+
+@query("""SELECT o_orderkey, concat_ws(' · ', CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END, 'SZD (' || o_orderkey || ')', strftime(o_orderdate, '%d %b %Y'), 'Flight Time: 0m 5s') AS line FROM orders""")
+def flight_line(spark, sf_dir):
+    k = F.col("o_orderkey")
+    pilot = F.when(k % 4 != 0, F.col("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.flight_line(pilot, F.lit("SZD"), k.cast("string"), F.col("o_orderdate"), F.lit(5.7)).alias("line"))
+
+
+# Flight mechanics: value, k and price columns as velocities and accelerations
+
+
+def _motion(spark, sf_dir) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 25).alias("vx"), (F.col("l_discount") * 100 - 5).alias("vy"), (F.col("l_tax") * 100 - 4).alias("vz"), (F.col("l_extendedprice") / 20000 - 2).alias("ax"), (F.col("l_tax") * 50 - 2).alias("ay"), (F.col("l_discount") * 10).alias("az"), (F.col("l_extendedprice") / 100).alias("z"))
+
+
+_M = "m AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS vx, l_discount * 100 - 5 AS vy, l_tax * 100 - 4 AS vz, l_extendedprice / 20000 - 2 AS ax, l_tax * 50 - 2 AS ay, l_discount * 10 AS az, l_extendedprice / 100 AS z FROM lineitem)"
+_ROLL = "atan2((vy * ax - vx * ay) / greatest(sqrt(vx * vx + vy * vy), 1e-6), 9.81)"
+
+
+@query(f"""WITH {_M}, q AS (SELECT *, {_ROLL} AS roll FROM m) SELECT l_orderkey, l_linenumber, round(atan2(vy, vx), 5) + 0 AS yaw, round(roll, 5) + 0 AS roll, round(sqrt(ax * ax + ay * ay + (az + 9.81) * (az + 9.81)) / 9.81, 5) AS load_g,
+ round(atan2(vz, sqrt(vx * vx + vy * vy)) + greatest(-0.5, least(1.5, 2 * 340.0 * 9.81 / (1.225 * power(1 - 2.25577e-5 * z, 4.256) * greatest(vx * vx + vy * vy + vz * vz, 1e-6) * 12.51 * greatest(cos(roll), 0.1)))) / (2 * pi() / (1 + 2 * pi() / (pi() * 0.85 * 225.0 / 12.51))) - 0.035, 5) AS pitch FROM q""")
+def orientation(spark, sf_dir):
+    m = _motion(spark, sf_dir)
+    vx, vy, vz, ax, ay, az, z = (F.col(c) for c in ("vx", "vy", "vz", "ax", "ay", "az", "z"))
+    bank = fl.roll(vx, vy, ax, ay)
+    return m.select("l_orderkey", "l_linenumber", r(fl.yaw(vx, vy), 5).alias("yaw"), r(bank, 5).alias("roll"), r(fl.load_factor(ax, ay, az), 5).alias("load_g"), r(fl.pitch(vx, vy, vz, z, bank, 340.0, 12.51, 15.0), 5).alias("pitch"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(1.225 * power(1 - 2.25577e-5 * (l_extendedprice / 100), 4.256), 6) AS density, round((l_quantity + 3) - 2 * pi() * floor(((l_quantity + 3) + pi()) / (2 * pi())), 6) AS wrapped FROM lineitem""")
+def air_density(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select("l_orderkey", "l_linenumber", r(fl.air_density(F.col("l_extendedprice") / 100)).alias("density"), r(fl.wrapped(F.col("l_quantity") + 3)).alias("wrapped"))
+
+
+@query("""WITH q AS (SELECT s_suppkey, 20.0::DOUBLE AS v1, -0.6 - s_acctbal / 1e5 AS w1, 30.0::DOUBLE AS v2, -0.8::DOUBLE AS w2, 40.0::DOUBLE AS v3, -1.9 - s_acctbal / 2e5 AS w3 FROM supplier), a AS (SELECT *, ((w3 - w2) / (v3 - v2) - (w2 - w1) / (v2 - v1)) / (v3 - v1) AS a FROM q), b AS (SELECT *, (w2 - w1) / (v2 - v1) - a * (v1 + v2) AS b FROM a)
+SELECT s_suppkey, round(a * 1e6, 5) AS a, round(b * 1e4, 3) AS b, round(w1 - a * v1 * v1 - b * v1, 5) AS c, round(v2 * sqrt((340 + s_suppkey % 100) / 340.0::DOUBLE), 5) AS scaled, round(15.0 * 15.0 / (12 + s_suppkey % 3)::DOUBLE, 5) AS ratio FROM b""")
+def polar_fit(spark, sf_dir):
+    s = F.col("s_acctbal")
+    a, b, c = fl.polar_parabola(F.lit(20.0), -0.6 - s / 1e5, F.lit(30.0), F.lit(-0.8), F.lit(40.0), -1.9 - s / 2e5)
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", r(a * 1e6, 5).alias("a"), r(b * 1e4, 3).alias("b"), r(c, 5).alias("c"), r(fl.polar_scaled(F.lit(30.0), 340 + k % 100, F.lit(340.0)), 5).alias("scaled"), r(fl.aspect_ratio(F.lit(15.0), 12.0 + k % 3), 5).alias("ratio"))
+
+
+@query(f"WITH {_M} SELECT l_orderkey, l_linenumber, round(vx * 100, 4) AS wx, round(-vy * 100, 4) + 0.0 AS wy, round(vz * 100, 4) AS wz, round(vy * 2 * 100, 4) AS lx, round(vx * 2 * 100, 4) AS ly FROM m")
+def enu_to_world(spark, sf_dir):
+    x, y, z = (F.col(c) for c in ("vx", "vy", "vz"))
+    w, old = fl.world(x, y, z), fl.world_legacy(x, y, z, 2.0)
+    return _motion(spark, sf_dir).select("l_orderkey", "l_linenumber", r(w[0], 4).alias("wx"), r(w[1], 4).alias("wy"), r(w[2], 4).alias("wz"), r(old[0], 4).alias("lx"), r(old[1], 4).alias("ly"))
+
+
+@query(f"""WITH {_M}, q AS (SELECT *, ax AS yaw, ay AS pitch, az AS roll FROM m), b AS (SELECT *, cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll) AS bx, sin(yaw) * sin(pitch) * sin(roll) + cos(yaw) * cos(roll) AS byy, cos(pitch) * sin(roll) AS bz FROM q)
+SELECT l_orderkey, l_linenumber, round(vx + 9 * bx, 5) AS left_x, round(vy + 9 * byy, 5) AS left_y, round(vz + 9 * bz, 5) AS left_z, round(vx - 9 * bx, 5) AS right_x, round(vy - 9 * byy, 5) AS right_y, round(vz - 9 * bz, 5) AS right_z FROM b""")
+def wing_tips(spark, sf_dir):
+    tips = fl.wing_tips(*(F.col(c) for c in ("vx", "vy", "vz", "ax", "ay", "az")), 18.0)
+    return _motion(spark, sf_dir).select("l_orderkey", "l_linenumber", *(r(c, 5).alias(n) for n, c in tips.items()))
+
+
+@query(f"WITH {S} SELECT event_id, round(CASE WHEN value * 4 - 100 < 0 THEN 0 WHEN value * 4 - 100 <= 360 THEN 1 ELSE greatest(0.5, 1 - (value * 4 - 100 - 360) / 240 * 0.5) END, 6) AS opacity FROM s")
+def opacity_timeline(spark, sf_dir):
+    return samples(spark, sf_dir).select("event_id", r(fl.opacity(F.col("value") * 4 - 100)).alias("opacity"))
+
+
+@query(f"""WITH {_M}, q AS (SELECT *, az AS roll, sqrt(vx * vx + vy * vy + vz * vz) AS nf FROM m), f AS (SELECT *, CASE WHEN nf > 1e-8 THEN vx / nf ELSE 1 END AS fx, CASE WHEN nf > 1e-8 THEN -vy / nf ELSE 0 END AS fy, CASE WHEN nf > 1e-8 THEN vz / nf ELSE 0 END AS fz FROM q),
+ g AS (SELECT *, sqrt(fx * fx + fy * fy) AS nr FROM f), h AS (SELECT *, CASE WHEN nr > 1e-8 THEN -fy / nr ELSE 0 END AS rx, CASE WHEN nr > 1e-8 THEN fx / nr ELSE 1 END AS ry FROM g)
+SELECT l_orderkey, l_linenumber, round(fx, 5) + 0 AS fx, round(fy, 5) + 0 AS fy, round(rx * cos(-roll) + (0 - fz * ry) * sin(-roll) + fx * (fx * rx + fy * ry) * (1 - cos(-roll)), 5) + 0 AS rx, round(ry * cos(-roll) + fz * rx * sin(-roll) + fy * (fx * rx + fy * ry) * (1 - cos(-roll)), 5) + 0 AS ry,
+ round((fx * ry - fy * rx) * sin(-roll) + fz * (fx * rx + fy * ry) * (1 - cos(-roll)), 5) + 0 AS rz FROM h""")
+def banked_axes(spark, sf_dir):
+    f, s = fl.banked_axes(*(F.col(c) for c in ("vx", "vy", "vz", "az")))
+    return _motion(spark, sf_dir).select("l_orderkey", "l_linenumber", r(f[0], 5).alias("fx"), r(f[1], 5).alias("fy"), *(r(x, 5).alias(n) for x, n in zip(s, ("rx", "ry", "rz"), strict=True)))
+
+
+@query(f"WITH {_M} SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS norm FROM m")
+def quaternion_norm(spark, sf_dir):
+    q = fl.quaternion(*fl.banked_axes(*(F.col(c) for c in ("vx", "vy", "vz", "az"))))
+    return _motion(spark, sf_dir).select("l_orderkey", "l_linenumber", r(F.sqrt(q["qw"] ** 2 + q["qx"] ** 2 + q["qy"] ** 2 + q["qz"] ** 2), 4).alias("norm"))
+
+
+@query(f"""WITH {S}, q AS (SELECT event_id, (value - 2 * pi() * floor(value / (2 * pi()))) / 2 AS ha, k / 40.0::DOUBLE AS hb FROM s), d AS (SELECT *, abs(cos(ha - hb)) AS nd, CASE WHEN cos(ha - hb) < 0 THEN -1 ELSE 1 END AS sg FROM q), o AS (SELECT *, acos(least(nd, 1)) AS om FROM d),
+ w AS (SELECT *, CASE WHEN nd > 0.9999 THEN 0.7 ELSE sin(0.7 * om) / nullif(sin(om), 0) END AS wa, sg * CASE WHEN nd > 0.9999 THEN 0.3 ELSE sin(0.3 * om) / nullif(sin(om), 0) END AS wb FROM o), m AS (SELECT *, wa * cos(ha) + wb * cos(hb) AS c, wa * sin(ha) + wb * sin(hb) AS z FROM w)
+SELECT event_id, round(c / sqrt(c * c + z * z), 4) AS qw, round(z / sqrt(c * c + z * z), 4) AS qz FROM m""")
+def slerp(spark, sf_dir):
+    ha, hb = F.pmod("value", 2 * F.pi()) / 2, F.col("k") / 40.0
+    zero = F.lit(0.0)
+    q = fl.slerp([F.cos(ha), zero, zero, F.sin(ha)], [F.cos(hb), zero, zero, F.sin(hb)], F.lit(0.3))
+    return samples(spark, sf_dir).select("event_id", r(q[0], 4).alias("qw"), r(q[3], 4).alias("qz"))
+
+
+# Geometry
+
+
+@query(f"""WITH {S}, i AS (SELECT flight_id, n - 1 AS i, count(*) OVER (PARTITION BY flight_id) AS m FROM s), e AS (SELECT * FROM i WHERE i < m - 1) SELECT flight_id, 2 * i AS triangle, 2 * i AS a, 2 * i + 2 AS b, 2 * i + 1 AS c FROM e UNION ALL SELECT flight_id, 2 * i + 1, 2 * i + 1, 2 * i + 2, 2 * i + 3 FROM e""")
+def ribbon_triangles(spark, sf_dir):
+    return geometry.ribbon_triangles(samples(spark, sf_dir), "n")
+
+
+@query(f"""WITH {_P}, d AS (SELECT *, coalesce(lead(x) OVER w - x, x - lag(x) OVER w, 0) AS dx, coalesce(lead(y) OVER w - y, y - lag(y) OVER w, 0) AS dy, coalesce(lead(z) OVER w - z, z - lag(z) OVER w, 0) AS dz FROM p WINDOW w AS (PARTITION BY flight_id ORDER BY n)),
+ u AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS nn FROM d), f AS (SELECT *, CASE WHEN nn > 1e-8 THEN dx / nn ELSE 1 END AS fx, CASE WHEN nn > 1e-8 THEN dy / nn ELSE 0 END AS fy FROM u), g AS (SELECT *, sqrt(fx * fx + fy * fy) AS nr FROM f),
+ h AS (SELECT *, CASE WHEN nr > 1e-8 THEN -fy / nr ELSE 0 END AS rx, CASE WHEN nr > 1e-8 THEN fx / nr ELSE 1 END AS ry FROM g)
+SELECT flight_id, 2 * (n - 1) + b AS vertex, n AS u, 1.0::DOUBLE - b AS v, round(x + (1 - 2 * b) * 7.5 * rx, 3) AS vx, round(y + (1 - 2 * b) * 7.5 * ry, 3) AS vy, round(z, 3) AS vz FROM h, (VALUES (0), (1)) k(b)""")
+def ribbon_vertices(spark, sf_dir):
+    rows = _positions(spark, sf_dir).withColumn("roll_rad", F.lit(0.0))
+    v = geometry.ribbon_vertices(rows, "n", 15.0)
+    return v.select("flight_id", "vertex", "u", "v", *(r(c, 3).alias(c) for c in ("vx", "vy", "vz")))
+
+
+@query(f"WITH {S} SELECT flight_id, count(*) AS n_points, round(CAST(sum(CAST(value AS DECIMAL(18,2)) * n) AS DOUBLE), 2) AS checksum FROM s GROUP BY 1")
+def geojson_lines(spark, sf_dir):
+    lines = geometry.lines(samples(spark, sf_dir), "n", "value", "t")
+    total = F.aggregate(F.transform("coordinates", lambda c, i: c[0].cast("decimal(18,2)") * (i + 1)), F.lit(0).cast("decimal(30,2)"), lambda a, x: (a + x).cast("decimal(30,2)"))
+    return lines.select("flight_id", F.size("coordinates").cast("long").alias("n_points"), r(total.cast("double"), 2).alias("checksum"))
+
+
+@query(f"WITH {S} SELECT flight_id, count(DISTINCT event_type) AS n_features FROM s GROUP BY 1")
+def layer_union(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    layers = None
+    for kind in TYPES:
+        one = geometry.lines(s.where(F.col("event_type") == kind), "n", "value", "t").withColumn("layer", F.lit(kind))
+        layers = one if layers is None else layers.unionByName(one)
+    found = sinks.feature_collection(layers, "flight_id")
+    return found.select("flight_id", F.size(F.from_json("geojson", "features array<struct<type:string>>")["features"]).cast("long").alias("n_features"))
+
+
+@query(f"""WITH {S}, q AS (SELECT event_id, radians(value / 10) AS la, radians(CAST(k AS DOUBLE)) AS lo, radians(lag(value / 10) OVER w) AS la0, radians(lag(CAST(k AS DOUBLE)) OVER w) AS lo0 FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n))
+SELECT event_id, round(12742000.0::DOUBLE * asin(sqrt(least(1, power(sin((la - la0) / 2), 2) + cos(la0) * cos(la) * power(sin((lo - lo0) / 2), 2)))), 2) AS metres FROM q""")
+def haversine_steps(spark, sf_dir):
+    from ..functions.geodesy import haversine
+
+    w = Window.partitionBy("flight_id").orderBy("n")
+    lat, lon = F.col("value") / 10, F.col("k").cast("double")
+    rows = samples(spark, sf_dir).select("event_id", lat.alias("lat"), lon.alias("lon"), F.lag(lat).over(w).alias("lat0"), F.lag(lon).over(w).alias("lon0"))
+    return rows.select("event_id", r(haversine(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), 2).alias("metres"))
+
+
+@query(f"WITH {S} SELECT event_id, round(52 + value / 1000, 7) AS lat_deg, round(20 + k / 100.0::DOUBLE, 7) AS lon_deg FROM s")
+def projection_round_trip(spark, sf_dir):
+    from ..functions import geodesy
+
+    rows = samples(spark, sf_dir).select("event_id", (52 + F.col("value") / 1000).alias("lat"), (20 + F.col("k") / 100.0).alias("lon"))
+    local = geodesy.to_local(rows, "lat", "lon", F.lit(52.27), F.lit(20.91))
+    back = geodesy.to_globe(local, "x_m", "y_m", F.lit(52.27), F.lit(20.91))
+    return back.select("event_id", r("lat_deg", 7).alias("lat_deg"), r("lon_deg", 7).alias("lon_deg"))
+
+
+@query()
+def gaussian_smooth(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("i", F.col("n").cast("double"))
+    return spline.smooth(rows, ["value"], 1.5, "i")
+
+
+@query()
+def spline_fit(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumns({"i": F.col("n").cast("double"), "y": F.col("k").cast("double")})
+    return spline.fit_splines(rows, ["value", "y"], 5, 500.0, "i")
+
+
+@query()
+def trajectory_60hz(spark, sf_dir):
+    """At one sample a second, as events are rare."""
+    rows = samples(spark, sf_dir).select("flight_id", F.col("n").cast("double").alias("timestamp_s"), F.col("value").alias("x_m"), F.col("k").cast("double").alias("y_m"), F.col("value").alias("z_m"), F.lit(1.0).alias("weight"), F.lit(PHASES[3]).alias("phase"))
+    return plan.trajectories(rows, fps=1.0, smoothing=(300.0, 300.0))
+
+
+def _payloads(spark, sf_dir) -> DataFrame:
+    """Events of a user as sensor streams in payloads of up to 10 samples."""
+    s = samples(spark, sf_dir).withColumn("payload", F.floor((F.col("n") - 1) / 10).cast("int"))
+    many = s.groupBy("flight_id", "payload").agg(F.array_sort(F.collect_list(F.struct("n", F.round(F.col("value") * 100).cast("int").alias("a"), F.col("k").cast("int").alias("b")))).alias("rows"))
+    import struct as pack
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def item(key: bytes, kind: bytes, size: int, repeat: int, body: bytes) -> bytes:
+        return pack.pack(">4scBH", key, kind, size, repeat) + body + b"\0" * (-len(body) % 4)
+
+    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for p in pdf.itertuples():
+                body = b"".join(pack.pack(">iii", x["a"], x["b"], -x["b"]) for x in p.rows)
+                stream = item(b"SCAL", b"s", 2, 1, pack.pack(">h", 100)) + item(b"STMP", b"J", 8, 1, pack.pack(">Q", p.payload * 1_000_000)) + item(b"ORIN", b"c", 3, 1, b"YxZ") + item(b"ACCL", b"l", 12, len(p.rows), body)
+                nested = item(b"STRM", b"\0", 1, len(stream), stream)
+                out.append((str(p.flight_id), p.payload, float(p.payload), 1.0, item(b"DEVC", b"\0", 1, len(nested), nested)))
+            yield pd.DataFrame(out, columns=["flight_id", "payload", "pts", "duration", "data"])
+
+    return many.mapInPandas(build, "flight_id string, payload int, pts double, duration double, data binary")
+
+
+@query(f"""WITH {S}, q AS (SELECT *, (n - 1) // 10 AS payload, (n - 1) % 10 AS i FROM s), c AS (SELECT *, count(*) OVER (PARTITION BY flight_id, payload) AS m FROM q)
+SELECT CAST(flight_id AS VARCHAR) AS flight_id, CAST(payload AS INT) AS payload, CAST(i AS INT) AS i, round(payload + i / m::DOUBLE, 6) AS timestamp_s, round(-k / 100.0::DOUBLE, 6) + 0.0 AS x, round(round(value * 100, 0) / 100.0::DOUBLE, 6) AS y, round(-k / 100.0::DOUBLE, 6) + 0.0 AS z FROM c""")
+def gpmf_samples(spark, sf_dir):
+    from ..sources import gpmf
+
+    found = gpmf.samples(gpmf.parse_payloads(_payloads(spark, sf_dir)), "ACCL", ["x", "y", "z"])
+    return found.select("flight_id", "payload", "i", r("timestamp_s").alias("timestamp_s"), r("x").alias("x"), r("y").alias("y"), r("z").alias("z"))
