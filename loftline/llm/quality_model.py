@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
-from .words import _folded, slices
+from .words import _folded, encoder, forget, slices
 
 #: Labelled documents of each label that the model is fitted on: those with the smallest hash of their id.
 SAMPLE = 2048
@@ -43,8 +43,10 @@ CLASS = _classes()
 
 def _terms(texts: pa.Array) -> np.ndarray:
     """One row of term weights for each text; zeros for a text without words."""
+    if encoder.cache_info().currsize:
+        forget()
     out = np.zeros((len(texts), CLASSES * CLASSES + 2 * GAPS), np.float32)
-    for lo, part in slices(pc.fill_null(texts, "").cast(pa.large_string()), 1 << 22):
+    for lo, part in slices(pc.fill_null(texts, "").cast(pa.large_string()), 1 << 21):
         n = len(part)
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
         data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
