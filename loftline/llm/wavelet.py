@@ -22,9 +22,11 @@ from .words import VOCABULARY, encoder, forget
 
 BITS = 16
 #: Tokens of a shard; it ends with the document that reaches this.
-SHARD = 1 << 19
-#: Rows of documents to a range of ids, and so to a task and a file, about.
-ROWS = 1 << 14
+SHARD = 1 << 17
+#: Rows of documents to a range of ids, about, unless that makes more than RANGES; ranges to a file, about.
+ROWS, RANGES, PER_FILE = 1 << 12, 1 << 17, 2
+#: Bytes of a row group: a reader holds one at a time.
+GROUP = 4 << 20
 END = 2
 
 
@@ -107,15 +109,16 @@ class WaveletMatrix:
         return i
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], bounds: np.ndarray, vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        at = np.searchsorted(bounds, np.asarray(b["doc_id"].fill_null(-(1 << 63))), side="left").astype(np.int32)
         ids, n = encoder(vocabulary).encode(b["text"])
         to = np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)
         out = np.full(len(ids) + len(n), end, "<u2")
         out[to] = ids
         offsets = np.concatenate([[0], np.cumsum(2 * (n + 1))]).astype(np.int64)
         data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(out)])
-        yield pa.RecordBatch.from_arrays([b["range"], b["doc_id"], data.cast(pa.binary())], ["range", "doc_id", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), b["doc_id"], data.cast(pa.binary())], ["range", "doc_id", "ids"])
 
 
 SHARDS = "range int, shard int, before long, n long, doc_ids array<long>, lengths array<long>, planes binary"
@@ -153,14 +156,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
     doc_id sorts first; rows of one doc_id are written one after the other.  An empty table gives an empty file.
     """
     rows = docs.count()
-    ranges = max(1, rows // ROWS)
-    bounds = docs.select(F.coalesce("doc_id", F.lit(-(1 << 62))).cast("double").alias("d")).approxQuantile("d", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if rows and ranges > 1 else []
-    bounds = sorted({int(x) for x in bounds})
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<long>"), lambda x: x < F.col("doc_id")))) if bounds else F.lit(0)
-    cut = docs.select(place.cast("int").alias("range"), "doc_id", text_of(docs).alias("text"))
-    tokens = cut.mapInArrow(partial(_tokens, vocabulary=vocabulary, end=end), "range int, doc_id long, ids binary")
-    ordered = tokens.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "ids")
-    ordered.mapInArrow(_shards, SHARDS).write.option("compression", "zstd").parquet(path)
+    ranges = max(1, min(RANGES, rows // ROWS))
+    places = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
+    bounds = np.array(sorted({int(x) for x in places}), np.int64)
+    cut = docs.select("doc_id", text_of(docs).alias("text"))
+    tokens = cut.mapInArrow(partial(_tokens, bounds=bounds, vocabulary=vocabulary, end=end), "range int, doc_id long, ids binary")
+    ordered = tokens.repartition(-(-(len(bounds) + 1) // PER_FILE), "range").sortWithinPartitions("range", F.asc_nulls_first("doc_id"), "ids")
+    ordered.mapInArrow(_shards, SHARDS).write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
