@@ -133,9 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"].cast(pa.int32()), pa.array(terms, pa.binary())], ["doc_id", "quality", "terms"])
 
     found = rows.mapInArrow(weighed, dtype).groupBy("doc_id", "quality").agg(F.min("terms").alias("terms")).toPandas().sort_values("doc_id")
-    terms = np.array([np.frombuffer(x, np.float32) for x in found["terms"]], np.float32).reshape(len(found), -1)
-    if not len(found):
-        terms = np.zeros((0, CLASSES * CLASSES + 2 * GAPS), np.float32)
+    terms = np.array([np.frombuffer(x, np.float32) for x in found["terms"]], np.float32).reshape(len(found), CLASSES * CLASSES + 2 * GAPS)
     return Model(terms, found["quality"].to_numpy(), counts.get(1, 0) / total if total else 0.5)
 
 

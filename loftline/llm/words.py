@@ -8,6 +8,7 @@ with Arrow, the distinct pieces go through the library, and the ids are gathered
 from __future__ import annotations
 
 import gc
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,6 +25,8 @@ REMEMBERED = 700_000
 SLICE = 1 << 23
 #: Marks that are one token run of their own after letters; none of them joins an apostrophe form or composes.
 MARKS = ".,!?;:*#$%&|"
+#: Letters that are still letters when normalised and in lower case; U+0130 is not.
+LETTERS = r"A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{410}-\x{44F}"
 
 
 class Encoder:
@@ -104,7 +107,7 @@ class Encoder:
         coded = cut.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         names = coded.dictionary
         stems = pc.utf8_rtrim(names, characters=MARKS)
-        plain = pc.match_substring_regex(names, r"^\p{L}+[.,!?;:*#$%&|]+$" if self.CUT else r"$^x")
+        plain = pc.match_substring_regex(names, f"^[{LETTERS}]+[{re.escape(MARKS)}]+$" if self.CUT else r"$^x")
         split = np.asarray(plain)
         tails = [x[len(s) :] for x, s in zip(names.filter(plain).to_pylist(), stems.filter(plain).to_pylist(), strict=True)]
         tails = pa.array(tails, pa.large_string())
