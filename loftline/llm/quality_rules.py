@@ -62,8 +62,14 @@ def _covered(places: Column) -> Column:
 def _exact_places(words: Column) -> Column:
     """Places of repeated windows by the words themselves; for texts where two hashes meet."""
     pairs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.struct(F.slice(words, i + 1, 5).alias("w"), i.alias("i"))))
-    some = F.transform(pairs, lambda x, k: F.struct(x["i"].alias("i"), (F.coalesce(x["w"] == F.get(pairs, k + 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(pairs, k - 1)["w"], F.lit(False))).alias("t")))
-    return F.sort_array(F.transform(F.filter(some, lambda x: x["t"]), lambda x: x["i"].cast("long")))
+
+    def repeated(sorted_pairs: Column) -> Column:
+        near = lambda x, other: F.coalesce(x["w"] == other["w"], F.lit(False))
+        return F.filter(sorted_pairs, lambda x, k: near(x, F.get(sorted_pairs, k + 1)) | near(x, F.get(sorted_pairs, k - 1)))
+
+    # As an element of an array the sorted pairs are made once, not for each element that looks at its neighbours.
+    found = F.transform(F.array(pairs), repeated)[0]
+    return F.sort_array(F.transform(found, lambda x: x["i"].cast("long")))
 
 
 def features(docs: DataFrame, exact: bool = False) -> DataFrame:
