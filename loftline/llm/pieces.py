@@ -145,6 +145,7 @@ class PieceEncoder(Encoder):
     """Whole texts of Arrow batches; runs between spaces are remembered."""
 
     HEAD = SPACE
+    REMEMBERED = 350_000
 
     def __init__(self, name: str = VOCABULARY):
         self.of = vocabulary(name)

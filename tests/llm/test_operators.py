@@ -243,7 +243,7 @@ def test_token_files(spark, hard, none, bpe, tmp_path, monkeypatch):
     wavelet.write_tokens(hard, str(tmp_path / "t"))
     got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_tokens(spark, str(tmp_path / "t")).collect()))
     ids = lambda t: np.array([*bpe.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-    rows = sorted(((-1 if i is None else i), ids(t).astype("<u2").tobytes(), i, ids(t)) for i, t in HARD) if False else sorted(((-1 if i is None else i, ids(t).astype("<u2").tobytes(), i) for i, t in HARD), key=lambda x: x[:2])
+    rows = sorted(((-1 if i is None else i, ids(t).astype("<u2").tobytes(), i) for i, t in HARD), key=lambda x: x[:2])
     start, want = 0, []
     for _, data, i in rows:
         n = len(data) // 2
