@@ -13,7 +13,7 @@ def directions(df: DataFrame, order: str, flight: str = "flight_id") -> DataFram
     w = Window.partitionBy(flight).orderBy(order)
     step = {a: F.coalesce(F.lead(f"{a}_m").over(w) - F.col(f"{a}_m"), F.col(f"{a}_m") - F.lag(f"{a}_m").over(w)) for a in "xyz"}
     df = df.withColumns({f"_d{a}": F.coalesce(s, F.lit(0.0)) for a, s in step.items()})
-    unit = fl._unit([F.col(f"_d{a}") for a in "xyz"], (1.0, 0.0, 0.0))
+    unit = fl.forward_axis(F.col("_dx"), -F.col("_dy"), F.col("_dz"))
     return df.withColumns({f"dir_{a}": u for a, u in zip("xyz", unit, strict=True)}).drop("_dx", "_dy", "_dz")
 
 
@@ -21,10 +21,8 @@ def ribbon_vertices(df: DataFrame, order: str, span: float, flight: str = "fligh
     """Two vertices for each point, half a span to the right and left along the bank: vertex, position, u, v."""
     rows = directions(df, order, flight)
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(flight).orderBy(order)) - 1)
-    _, right = fl.banked_axes(F.col("dir_x"), -F.col("dir_y"), F.col("dir_z"), F.col("roll_rad"))
-    side = lambda sign, v: F.struct(F.lit(v).alias("v"), *(
-        (F.col(f"{a}_m") + sign * span / 2 * r).alias(f"v{a}") for a, r in zip("xyz", right, strict=True)
-    ))
+    rows = fl.with_banked_axes(rows, F.col("dir_x"), -F.col("dir_y"), F.col("dir_z"), F.col("roll_rad"))
+    side = lambda sign, v: F.struct(F.lit(v).alias("v"), *((F.col(f"{a}_m") + sign * span / 2 * F.col(f"r{a}")).alias(f"v{a}") for a in "xyz"))
     both = F.posexplode(F.array(side(1, 1.0), side(-1, 0.0))).alias("_k", "_s")
     return rows.select(flight, "_i", F.col(order).alias("u"), both).select(flight, (2 * F.col("_i") + F.col("_k")).cast("long").alias("vertex"), "u", "_s.*")
 

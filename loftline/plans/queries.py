@@ -624,14 +624,15 @@ def opacity_timeline(spark, sf_dir):
 SELECT l_orderkey, l_linenumber, round(fx, 5) + 0 AS fx, round(fy, 5) + 0 AS fy, round(rx * cos(-roll) + (0 - fz * ry) * sin(-roll) + fx * (fx * rx + fy * ry) * (1 - cos(-roll)), 5) + 0 AS rx, round(ry * cos(-roll) + fz * rx * sin(-roll) + fy * (fx * rx + fy * ry) * (1 - cos(-roll)), 5) + 0 AS ry,
  round((fx * ry - fy * rx) * sin(-roll) + fz * (fx * rx + fy * ry) * (1 - cos(-roll)), 5) + 0 AS rz FROM h""")
 def banked_axes(spark, sf_dir):
-    f, s = fl.banked_axes(*(F.col(c) for c in ("vx", "vy", "vz", "az")))
-    return _motion(spark, sf_dir).select("l_orderkey", "l_linenumber", r(f[0], 5).alias("fx"), r(f[1], 5).alias("fy"), *(r(x, 5).alias(n) for x, n in zip(s, ("rx", "ry", "rz"), strict=True)))
+    rows = fl.with_banked_axes(_motion(spark, sf_dir), *map(F.col, ("vx", "vy", "vz", "az")))
+    return rows.select("l_orderkey", "l_linenumber", *(r(c, 5).alias(c) for c in ("fx", "fy", "rx", "ry", "rz")))
 
 
 @query(f"WITH {_M} SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS norm FROM m")
 def quaternion_norm(spark, sf_dir):
-    q = fl.quaternion(*fl.banked_axes(*(F.col(c) for c in ("vx", "vy", "vz", "az"))))
-    return _motion(spark, sf_dir).select("l_orderkey", "l_linenumber", r(F.sqrt(q["qw"] ** 2 + q["qx"] ** 2 + q["qy"] ** 2 + q["qz"] ** 2), 4).alias("norm"))
+    rows = fl.with_banked_axes(_motion(spark, sf_dir), *map(F.col, ("vx", "vy", "vz", "az")))
+    rows = rows.withColumns(fl.quaternion([F.col(c) for c in ("fx", "fy", "fz")], [F.col(c) for c in ("rx", "ry", "rz")]))
+    return rows.select("l_orderkey", "l_linenumber", r(F.sqrt(F.col("qw") ** 2 + F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2), 4).alias("norm"))
 
 
 @query(f"""WITH {S}, q AS (SELECT event_id, (value - 2 * pi() * floor(value / (2 * pi()))) / 2 AS ha, k / 40.0::DOUBLE AS hb FROM s), d AS (SELECT *, abs(cos(ha - hb)) AS nd, CASE WHEN cos(ha - hb) < 0 THEN -1 ELSE 1 END AS sg FROM q), o AS (SELECT *, acos(least(nd, 1)) AS om FROM d),
