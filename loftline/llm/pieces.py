@@ -34,7 +34,7 @@ class Vocabulary:
     """Pieces and scores of a model file."""
 
     #: Answers about neighbouring pieces that are remembered.
-    REMEMBERED = 400_000
+    REMEMBERED = 250_000
 
     def __init__(self, name: str = VOCABULARY):
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
@@ -145,7 +145,7 @@ class PieceEncoder(Encoder):
     """Whole texts of Arrow batches; runs between spaces are remembered."""
 
     HEAD = SPACE
-    REMEMBERED = 350_000
+    REMEMBERED = 650_000
 
     def __init__(self, name: str = VOCABULARY):
         self.of = vocabulary(name)
