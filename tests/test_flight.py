@@ -135,9 +135,9 @@ def test_whole_flight(spark):
     x = np.cumsum(v)
     alt = np.rint(130 + np.clip((t - 45) * 3, 0, 300) * np.clip((260 - t) / 100, 0, 1)).astype(int)
     lat, lon = geodesy.direct(52.2, 20.9, x, np.zeros(300))
-    rows = [("f", "epbc", i, float(s), float(a), float(o), 0, int(h), "A") for i, (s, a, o, h) in enumerate(zip(t, lat, lon + r.normal(0, 1e-7, 300), alt, strict=True))]
+    rows = [("f", "home", i, float(s), float(a), float(o), 0, int(h), "A") for i, (s, a, o, h) in enumerate(zip(t, lat, lon + r.normal(0, 1e-7, 300), alt, strict=True))]
     fixes = spark.createDataFrame(rows, "flight_id string, airfield_id string, line_no long, timestamp_s double, gps_lat_deg double, gps_lon_deg double, alt_baro_m long, alt_gps_m long, fix_validity string")
-    fields = spark.createDataFrame([("epbc", 52.2, 20.9, 130.0)], "airfield_id string, lat double, lon double, alt double")
+    fields = spark.createDataFrame([("home", 52.2, 20.9, 130.0)], "airfield_id string, lat double, lon double, alt double")
     track = flight.track(fixes, fields).cache()
     assert track.select("phase").distinct().count() >= 3
     out = flight.trajectories(validate(track, TRACK_SPEC), fps=5.0).toPandas()
