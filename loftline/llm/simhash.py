@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import kept_rows, staged, table, text_of
 from .components import connected_components
+from .similar import similar_roots
 
 #: Length, radius and generator polynomial of the perfect codes (Golay 1949, Hamming 1950).
 BLOCKS = ((23, 3, 0b101011100011), (23, 3, 0b101011100011), (15, 1, 0b10011), (3, 1, 0b111))
@@ -52,7 +53,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         prints = np.array([fingerprint(x.as_buffer().to_pybytes(), width) if x.is_valid else 0 for x in b["text"].cast(pa.large_binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(prints.view(np.int64))], [*names, "fp"])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -191,17 +193,25 @@ def links(prints: DataFrame, threshold: int = 3) -> DataFrame:
     return rows.mapInArrow(partial(_compared, threshold=threshold), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, similarity: float | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), kept.
 
     docs needs doc_id and text; other columns are ignored.  A null or empty text has fingerprint zero and links like
     any other.  Rows with one text have one fingerprint; repeated rows give repeated rows.  A null doc_id stays null
     and is never the smallest unless its component has no other.  kept marks the rows with the component's smallest
-    doc_id (if texts share that id, those with the smallest fingerprint).  An empty table gives no row.
+    doc_id (if texts share that id, those with the smallest fingerprint).  An empty table gives no row.  With a
+    similarity, texts whose five-word shingles have that Jaccard similarity link too, however many bits differ.
     """
-    prints = staged(fingerprints(docs, width), "prints")
+    if similarity is None:
+        prints = staged(fingerprints(docs, width), "prints")
+    else:
+        text = text_of(docs).alias("text")
+        prints = docs.select("doc_id", F.xxhash64(text).alias("tid"), text).mapInArrow(partial(_fingerprints, width=width), "doc_id long, tid long, fp long")
+        prints = staged(prints, "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(links(distinct, threshold))
+    if similarity is not None:
+        roots = similar_roots(docs, prints.select("tid", "fp").distinct(), roots, similarity)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), F.col("fp").alias("keep_fp"))
     least = member.groupBy("root").agg(F.min(first).alias("least")).select("root", F.col("least.id").alias("component_id"), F.col("least.keep_fp").alias("keep_fp"))
@@ -214,14 +224,14 @@ def _hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay: one of each component, that with the smallest doc_id."""
 
     @F.arrow_udf("long")
     def printed(texts: pa.Array) -> pa.Array:
         return next(_fingerprints([pa.RecordBatch.from_arrays([texts, texts], ["doc_id", "text"])], width))["fp"]
 
-    found = near_duplicates(docs, width, threshold).withColumnRenamed("fingerprint", "digest")
+    found = near_duplicates(docs, width, threshold, similarity).withColumnRenamed("fingerprint", "digest")
     return kept_rows(docs, found, _hex(printed(text_of(docs))))
 
 
