@@ -6,7 +6,7 @@ binomial bound (Clopper and Pearson, 1934) shows its false rejection rate to be
 in a fixed order needs no correction along the ladder (as in Learn then Test: Angelopoulos et al., 2021); Bonferroni
 divides ERROR by strata times rules.  So with probability 1 - ERROR all strata lose at most RISK of their good documents.
 Of the cutoffs that pass, the one is used that gains most (low documents rejected, less PENALTY for each good one).
-Strata with too few labels for any cutoff to pass are tested as one.
+A stratum with too few labels for any cutoff to pass has none: only the base rule rejects there.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ RISK, ERROR, PENALTY = 0.02, 0.05, 5
 STEPS = 50
 RULES = {"symbols": 0.01, "duplicate_lines": 0.02, "repeated_words": 0.004, "capitals": 0.02, "long_words": 0.5, "same_words": 0.02}
 WHITE = " \t\n\x0b\x0c\r"
-POOLED = "*"
 
 
 def words_of(text: Column) -> Column:
@@ -125,24 +124,21 @@ def cutoffs(found: DataFrame, labels: DataFrame, risk: float = RISK, error: floa
     risk_each = risk / len(RULES)
     good = F.col("quality") == 1
     marked = found.join(labels.groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IS NOT NULL"), "doc_id").where("NOT base_failed")
-    counts = marked.groupBy("stratum").agg(F.count(F.when(good, 1)).alias("n"))
-    # Even without one false rejection a smaller stratum passes no cutoff.
-    all_strata = found.groupBy("stratum").count().select("stratum").join(counts, "stratum", "left")
+    # With n good documents the bound is at least (1 - risk_each)^n, so a small stratum passes no cutoff by itself.
     tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * len(RULES)
-    group = F.when(F.col("n") >= F.log(error / tests) / math.log1p(-risk_each), F.col("stratum")).otherwise(F.lit(POOLED))
-    groups = staged(all_strata.select("stratum", group.alias("group"), (error / tests).alias("level")), "groups")
-    ranked = marked.join(groups, "stratum").select("group", "level", "quality", F.posexplode("ranks").alias("rule", "rank"))
-    steps = ranked.groupBy("group", "rule", "rank").agg(F.max("level").alias("level"), F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("low"))
-    # At most rules x (STEPS + 1) rows for each group.
-    down = Window.partitionBy("group", "rule").orderBy(F.desc("rank"))
-    everything = Window.partitionBy("group", "rule")
-    steps = steps.select("group", "rule", "rank", "level", F.sum("good").over(down).alias("lost"), F.sum("low").over(down).alias("won"), F.sum("good").over(everything).alias("n"))
+    strata = staged(found.groupBy("stratum").count().select("stratum", (error / tests).alias("level")), "strata")
+    ranked = marked.join(strata, "stratum").select("stratum", "level", "quality", F.posexplode("ranks").alias("rule", "rank"))
+    steps = ranked.groupBy("stratum", "rule", "rank").agg(F.max("level").alias("level"), F.count(F.when(good, 1)).alias("good"), F.count(F.when(~good, 1)).alias("low"))
+    # At most rules x (STEPS + 1) rows for each stratum.
+    down = Window.partitionBy("stratum", "rule").orderBy(F.desc("rank"))
+    everything = Window.partitionBy("stratum", "rule")
+    steps = steps.select("stratum", "rule", "rank", "level", F.sum("good").over(down).alias("lost"), F.sum("low").over(down).alias("won"), F.sum("good").over(everything).alias("n"))
     safe = F.when(F.col("lost") > F.col("n") * risk_each, F.lit(False)).otherwise(_tail(F.col("n"), F.col("lost"), risk_each) <= F.col("level"))
     steps = steps.withColumn("safe", safe).withColumn("passed", F.min(F.col("safe").cast("int")).over(down))
     steps = steps.where("passed = 1 AND rank > 0").withColumn("gain", F.col("won") - PENALTY * F.col("lost")).where("gain > 0")
-    best = steps.groupBy("group", "rule").agg(F.max_by("rank", F.struct("gain", "rank")).alias("cut"))
-    cuts = best.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
-    return groups.join(cuts, "group", "left").select("stratum", F.array(*(F.try_element_at("cuts", F.lit(i)) for i in range(len(RULES)))).alias("cuts"))
+    best = steps.groupBy("stratum", "rule").agg(F.max_by("rank", F.struct("gain", "rank")).alias("cut"))
+    cuts = best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cut"))).alias("cuts"))
+    return strata.join(cuts, "stratum", "left").select("stratum", F.array(*(F.try_element_at("cuts", F.lit(i)) for i in range(len(RULES)))).alias("cuts"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -342,6 +342,16 @@ def test_cutoffs_by_brute_force(spark):
             assert got[s][rule] == (best and best[1])
 
 
+def test_small_strata_have_no_cutoffs(spark):
+    """Each would lose two of its 20 good documents, or all, by cutoffs of a pool."""
+    rows = [(s, int(k >= 500), [50 if k < 500 or s == "c" and k < 502 else 0, 0, 0, 0, 0, 0]) for s, n in (("a", 1700), ("b", 1700), ("c", 20), ("d", 2500)) for k in range(500, 500 + n)]
+    rows += [(s, 0, [50, 0, 0, 0, 0, 0]) for s in "abcd" for _ in range(500)] + [("e", None, [50, 0, 0, 0, 0, 0])] * 30
+    found = spark.createDataFrame([(i, s, ranks, False) for i, (s, _, ranks) in enumerate(rows)], "doc_id long, stratum string, ranks array<int>, base_failed boolean")
+    labels = spark.createDataFrame([(i, q) for i, (_, q, _) in enumerate(rows) if q is not None], "doc_id long, quality int")
+    got = {x["stratum"]: x["cuts"] for x in quality_rules.cutoffs(found, labels).collect()}
+    assert {s: cuts[0] for s, cuts in got.items()} == {"a": None, "b": None, "c": None, "d": 50, "e": None}
+
+
 def test_rules_drop_rows(spark, hard, none):
     labels = spark.createDataFrame([(7, 0)], "doc_id long, quality int")
     kept = quality_rules.drop_rejected(hard, labels)
