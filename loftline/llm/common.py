@@ -19,9 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a new local one where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset a local master gets a new local folder; with any other master that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -40,7 +45,24 @@ def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.staged_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for df in tables:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:
@@ -57,7 +79,7 @@ def same(left: DataFrame, right: DataFrame, *columns: str) -> Column:
 
 
 def kept_rows(docs: DataFrame, decisions: DataFrame, digest: Column) -> DataFrame:
-    """The rows of docs that decisions (doc_id, digest, kept) keeps, with the columns of docs.
+    """For deduplication: the rows of docs that decisions (doc_id, digest, kept) keeps, with the columns of docs.
 
     Only the ids of dropped rows are joined to docs.  Ids that several rows share are told apart by digest, which is
     computed for those rows alone; of rows with one id and one digest one stays.
@@ -69,7 +91,8 @@ def kept_rows(docs: DataFrame, decisions: DataFrame, digest: Column) -> DataFram
         return docs.join(dropped, same(docs, dropped, "doc_id"), "left_anti")
     single = docs.join(shared, same(docs, shared, "doc_id"), "left_anti")
     single = single.join(dropped, same(single, dropped, "doc_id"), "left_anti")
-    several = docs.join(shared, same(docs, shared, "doc_id"), "left_semi").withColumn("_digest", digest)
-    stay = decisions.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_of")).distinct()
-    several = several.join(stay, several["doc_id"].eqNullSafe(stay["_id"]) & several["_digest"].eqNullSafe(stay["_of"]), "left_semi")
-    return single.unionByName(several.dropDuplicates(["doc_id", "_digest"]).select(docs.columns))
+    name = unused(docs, "_digest")
+    several = docs.join(shared, same(docs, shared, "doc_id"), "left_semi").withColumn(name, digest)
+    stay = decisions.where("kept").select("doc_id", F.col("digest").alias(name)).distinct()
+    several = several.join(stay, same(several, stay, "doc_id", name), "left_semi")
+    return single.unionByName(several.dropDuplicates(["doc_id", name]).select(docs.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = staged(large, "edges")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         moved = large.join(least, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = staged(moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        last, edges = edges, staged(moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "edges")
+        discard(last, large)
         now = _digest(edges)
         if now == before:
             break

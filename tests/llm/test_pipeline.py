@@ -6,7 +6,9 @@ import re
 import corpus_pipeline
 from loftline.llm import quality_model, quality_rules
 from loftline.llm.common import staged, table
-from tests.llm.test_operators import brute_components, brute_print, check_packed
+from pyspark.sql import functions as F
+from tests.llm.test_operators import HARD, check_packed, docs_of
+from tests.llm.test_similar import brute_kept
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -32,8 +34,7 @@ def test_stages(spark, sf_dir):
                 groups[re.sub("[ \t-\r]", "", t or "")].append((-len(t or ""), i))
             want = {min(g)[1] for g in groups.values()}
         elif name == "near_dedup":
-            ids = sorted(before)
-            want = set(brute_components(ids, [brute_print(before[i]) for i in ids]))
+            want = brute_kept(list(before.items()))
         else:
             check_packed(out.collect(), list(before.items()), Tokenizer.from_file(public_tokenizers.path(VOCABULARY)))
             break
@@ -42,3 +43,17 @@ def test_stages(spark, sf_dir):
         assert sorted(got) == sorted(want)
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
+
+
+def test_stages_on_hard_rows(spark, sf_dir):
+    """Null ids and texts, repeated rows, clashing columns, a very long text, no row at all."""
+    long_text = " ".join(f"w{k}" for k in range(40_000))
+    rows = [*HARD, (20, long_text), (20, long_text), (None, long_text + " more"), (21, None), (22, " ".join(f"v{k}" for k in range(40)))]
+    names = ("_digest", "_score", "digest", "doc", "stratum", "fp", "root", "kept", "rank", "seq")
+    for docs in (docs_of(spark, rows).withColumns({c: F.lit("x") for c in names}), docs_of(spark, []).withColumn("_digest", F.lit(1))):
+        many = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            assert name == "best_fit_packing" or out.columns == docs.columns
+            assert out.count() <= many or name == "best_fit_packing"
+            assert many or not out.count()
