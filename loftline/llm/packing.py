@@ -1,18 +1,20 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences of a fixed size.
 
-Documents and gaps are kept in order of size.  All pieces of one length are interchangeable, and so are all gaps of
-one size, so both orders are held as runs (size, number): at most `capacity` runs each, however many documents there
-are.  A round takes the longest run of pieces left and sweeps the gaps upward from their successor, the smallest gap
-that holds the piece.  Ranks settle conflicts: the i-th piece of the run gets the i-th free gap of the sweep.  Then the
-gaps are updated, what is left over opens new sequences, and the next round begins.  Every round works on a whole run,
-so there are as many rounds as lengths.  The result is an interval of ranks for each match; the tasks that hold the
-pieces know their ranks (count by task and length, summed over tasks) and look up their sequence and offset.
+All pieces of one length are interchangeable, and so are gaps of one size, so both are held as runs (size, number), in one
+table: at most `capacity` runs of pieces, and about as many of gaps, however many documents there are.  At first as
+many empty sequences are open as the tokens need at least.  In a round the runs are range-sorted by size, and every
+partition sweeps its range downward: a run of pieces takes its successor, the smallest gap that holds it, as often as
+it fits.  Ranks settle conflicts: longer pieces come first, and the i-th piece of a run gets the i-th place of its gaps.
+A gap is updated where it is taken; if it still lies in the range, later pieces of the sweep see it, else it goes to the
+next round.  What has no gap waits for the next round too.  Each round has half as many ranges, so that ranges meet; if the
+last one has pieces left, new sequences are opened for them.  Each match is an interval of ranks, and the pieces, whose
+ranks their tasks know (count by task and length, summed over tasks), are joined to the intervals of their length.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,6 +29,11 @@ from .words import VOCABULARY, encoder
 
 CAPACITY = 2048
 END = 0
+#: Ranges of the first round.
+RANGES = 8
+#: kind: a gap (start: its first sequence), pieces without a place (start: their first rank), or a match.
+GAP, PIECES, MATCH = 0, 1, 2
+RUNS = "kind byte, size int, start long, n long, first long, each int, offset int"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
@@ -54,56 +61,70 @@ def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str, e
         yield pa.RecordBatch.from_arrays(cols, ["task", "doc_id", "piece", "start", "length", "ids_crc32", "rank"])
 
 
-def match(runs: dict[int, int], capacity: int) -> np.ndarray:
-    """runs: number of pieces by length.  Rows (length, first rank, sequence of that rank, offset), in order."""
-    free: dict[int, list[tuple[int, int]]] = {}  # by gap: runs of sequences (first, number)
-    gaps: list[int] = []
-    rows, opened = [], 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in free:
-                free[gap] = []
-                insort(gaps, gap)
-            free[gap].append((first, n))
-
-    for length in sorted(runs, reverse=True):
-        rank, left = 0, runs[length]
-        while left and (at := bisect_left(gaps, length)) < len(gaps):
-            gap = gaps[at]
-            first, n = free[gap].pop()
-            take = min(n, left)
-            rows.append((length, rank, first, capacity - gap))
-            if take < n:
-                free[gap].append((first + take, n - take))
-            if not free[gap]:
-                del free[gap]
-                gaps.pop(at)
-            add(gap - length, first, take)
-            rank, left = rank + take, left - take
-        if left:
-            each = capacity // length
-            full, rest = divmod(left, each)
-            for k in range(each if full else 0):
-                rows.append((length, rank + k * full, opened, k * length))
-            add(capacity - each * length, opened, full) if full else None
-            rank, opened = rank + each * full, opened + full
-            for k in range(rest):
-                rows.append((length, rank + k, opened, k * length))
-            if rest:
-                add(capacity - rest * length, opened, 1)
-                opened += 1
-    return np.array(sorted(rows), np.int64).reshape(-1, 4)
-
-
-def _placed(batches: Iterator[pa.RecordBatch], plan: np.ndarray) -> Iterator[pa.RecordBatch]:
-    keys = plan[:, 0] << 44 | plan[:, 1]
-    for b in batches:
-        rank, length = (b[c].to_numpy(zero_copy_only=False) for c in ("rank", "length"))
-        at = np.searchsorted(keys, length << 44 | rank, side="right") - 1
-        cols = [b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        sequence = plan[at, 2] + rank - plan[at, 1]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence), pa.array(plan[at, 3])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+def sweep(runs: list[tuple[int, int, int, int]], capacity: int) -> list[tuple]:
+    """runs (kind, size, start, n) of one range.  Rows of RUNS: the gaps and pieces that are left, and the matches."""
+    lowest = min(size for _, size, _, _ in runs)
+    todo = [(-size, kind, start, n) for kind, size, start, n in runs]
+    heapq.heapify(todo)
+    gaps: list[tuple[int, int, int]] = []  # those met so far, the smallest last
+    out = []
+    while todo:
+        size, kind, start, n = heapq.heappop(todo)
+        size = -size
+        if kind == GAP:
+            gaps.append((size, start, n))
+            continue
+        while n and gaps:
+            gap, first, many = gaps.pop()
+            each = min(n, gap // size)
+            took = min(many, n // each)
+            out.append((MATCH, size, start, took * each, first, each, capacity - gap))
+            start, n = start + took * each, n - took * each
+            if took < many:
+                gaps.append((gap, first + took, many - took))
+            left = gap - each * size
+            if left >= lowest:  # found again, in this sweep, by what it holds
+                heapq.heappush(todo, (-left, GAP, first, took))
+            elif left:
+                out.append((GAP, left, first, took, None, None, None))
+            if left > size:  # only if fewer than fit were left, so n is 0
+                gaps.sort(reverse=True)
+        if n:
+            out.append((PIECES, size, start, n, None, None, None))
+    return out + [(GAP, *gap, None, None, None) for gap in gaps]
+
+
+def _swept(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
+    rows = [x for b in batches for x in zip(*(b[c].to_pylist() for c in ("kind", "size", "start", "n")), strict=True)]
+    if rows:
+        names = [x.split()[0] for x in RUNS.split(", ")]
+        types = [pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        cols = zip(*sweep(rows, capacity), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+
+def match(counts: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) -> DataFrame:
+    """counts (length, n).  (length, rank, n, first, each, offset): pieces rank .. rank + n - 1 of that length, `each`
+    to a sequence, from sequence first and place offset on."""
+    spark = counts.sparkSession
+    runs = counts.select(F.lit(PIECES).cast("byte").alias("kind"), F.col("length").cast("int").alias("size"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("n"))
+    runs = runs.withColumns({"first": F.lit(None).cast("long"), "each": F.lit(None).cast("int"), "offset": F.lit(None).cast("int")})
+    opened, matches = 0, []
+    left = runs.agg(F.sum(F.col("size") * F.col("n")).alias("tokens")).first()["tokens"]
+    while left:
+        if not matches or ranges == 1:  # as many new sequences as what is left needs at least
+            more = -(-left // capacity)
+            runs = runs.unionByName(spark.range(1).select(F.lit(GAP).cast("byte").alias("kind"), F.lit(capacity).alias("size"), F.lit(opened).cast("long").alias("start"), F.lit(more).cast("long").alias("n")), allowMissingColumns=True)
+            opened += more
+        ranges = max(1, ranges // 2) if matches else ranges
+        found = staged(runs.repartitionByRange(ranges, F.desc("size")).mapInArrow(partial(_swept, capacity=capacity), RUNS), "sweep")
+        matches.append(found.where(F.col("kind") == MATCH))
+        runs = found.where(F.col("kind") != MATCH)
+        left = runs.where(F.col("kind") == PIECES).agg(F.sum(F.col("size") * F.col("n")).alias("tokens")).first()["tokens"]
+    matches = matches or [runs]
+    for more in matches[1:]:
+        matches[0] = matches[0].unionByName(more)
+    return matches[0].select(F.col("size").alias("length"), F.col("start").alias("rank"), "n", "first", "each", "offset")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
@@ -118,11 +139,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     pieces = staged(pieces, "pieces")
     counts = staged(pieces.groupBy("task", "length").agg(F.count("*").alias("n")), "counts")
     earlier = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
-    shifts = counts.select("task", "length", earlier.alias("earlier"))
-    # At most one row for each length from 1 to capacity.
-    plan = match({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)
-    ranked = pieces.join(shifts, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("earlier")).drop("earlier", "task")
-    return ranked.mapInArrow(partial(_placed, plan=plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # At most one row for each task, of at most `capacity` numbers; and one row for each length.
+    shifts = counts.select("task", F.struct("length", earlier.alias("earlier")).alias("x")).groupBy("task").agg(F.map_from_entries(F.collect_list("x")).alias("earlier"))
+    plan = match(counts.groupBy("length").agg(F.sum("n").alias("n")), capacity)
+    plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("rank", "n", "first", "each", "offset"))).alias("places"))
+    ranked = pieces.join(staged(shifts, "shifts"), "task").withColumn("rank", F.col("rank") + F.element_at("earlier", F.col("length"))).drop("earlier", "task")
+    place = F.filter("places", lambda x: (x["rank"] <= F.col("rank")) & (F.col("rank") < x["rank"] + x["n"]))[0]
+    found = ranked.join(staged(plan, "plan").withColumn("length", F.col("length").cast("long")), "length").withColumn("place", place).withColumn("k", F.col("rank") - F.col("place.rank"))
+    sequence = F.col("place.first") + F.floor(F.col("k") / F.col("place.each"))
+    offset = F.col("place.offset") + F.pmod("k", F.col("place.each")) * F.col("length")
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:

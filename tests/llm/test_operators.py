@@ -1,5 +1,6 @@
 """Each operator against brute force, and its defined results for nulls, empty and long texts, ties and repeated rows."""
 
+import bisect
 import collections
 import hashlib
 import random
@@ -471,26 +472,58 @@ def check_packed(got, want, bpe, capacity=2048):
 def test_packing(spark, sf_dir, hard, none, bpe):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(hard.select("doc_id", "text"))
     n, total = check_packed(packing.pack(docs).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], bpe)
-    assert n <= -(-total // 2048) + 1
+    assert n <= best_fit((r["length"] for r in packing.pack(docs).collect()), 2048)
     assert packing.pack(none).count() == 0
 
 
-def test_matching_is_best_fit():
+def best_fit(sizes, capacity):
+    """Sequences that best fit takes, the longest pieces first."""
+    gaps, n = [], 0
+    for x in sorted(sizes, reverse=True):
+        fit = bisect.bisect_left(gaps, x)
+        n += fit == len(gaps)
+        gap = gaps.pop(fit) if fit < len(gaps) else capacity
+        if gap > x:
+            bisect.insort(gaps, gap - x)
+    return n
+
+
+def check_plan(plan, runs, capacity):
+    """Every rank has one place, no two places overlap, each sequence is filled from 0 without gaps; the number of sequences."""
+    used, ranks = collections.defaultdict(list), collections.defaultdict(list)
+    for length, rank, n, first, each, offset in plan:
+        for i in range(n):
+            ranks[length].append(rank + i)
+            used[first + i // each].append((offset + i % each * length, length))
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in runs.items()}
+    for parts in used.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(used)
+
+
+def test_sweeps_are_best_fit():
     r = random.Random(0)
-    for _ in range(30):
-        runs = collections.Counter(r.randrange(1, 101) for _ in range(r.randrange(1, 400)))
-        gaps, bins = [], 0
-        for x in sorted(runs.elements(), reverse=True):
-            fit = min((g for g in gaps if g >= x), default=None)
-            if fit is None:
-                bins += 1
-                gaps.append(100 - x)
-            else:
-                gaps.remove(fit)
-                gaps.append(fit - x)
-        plan = packing.match(dict(runs), 100)
-        got = set()
-        for k, row in enumerate(plan):
-            end = plan[k + 1][1] if k + 1 < len(plan) and plan[k + 1][0] == row[0] else runs[int(row[0])]
-            got.update(int(row[2]) + i for i in range(int(end - row[1])))
-        assert len(got) <= bins + 1
+    for _ in range(100):
+        runs = collections.Counter(min(100, r.randrange(1, r.choice((20, 101)))) for _ in range(r.randrange(1, 400)))
+        todo, opened, plan = [(packing.PIECES, k, 0, n) for k, n in runs.items()], 0, []
+        while left := sum(k * n for kind, k, _, n in todo if kind == packing.PIECES):
+            todo.append((packing.GAP, 100, opened, -(-left // 100)))
+            opened += -(-left // 100)
+            rows = packing.sweep(todo, 100)
+            plan += [x[1:] for x in rows if x[0] == packing.MATCH]
+            todo = [x[:4] for x in rows if x[0] != packing.MATCH]
+        n, want = check_plan(plan, runs, 100), best_fit(runs.elements(), 100)
+        assert n <= want + max(1, want // 50)
+
+
+@pytest.mark.parametrize("ranges", [1, 8])
+def test_rounds_over_ranges(spark, ranges):
+    r = random.Random(5)
+    runs = collections.Counter([r.randrange(1, 1500) for _ in range(4000)] + [1] * 3000 + [2048] * 50 + [1100] * 999)
+    plan = packing.match(spark.createDataFrame(list(runs.items()), "length int, n long"), 2048, ranges).collect()
+    n, want = check_plan([tuple(x) for x in plan], runs, 2048), best_fit(runs.elements(), 2048)
+    assert n <= want + want // 200
