@@ -1,9 +1,11 @@
 """Exact duplicates by counting quotient filters (Pandey et al., 2017).
 
 A text's fingerprint has q quotient bits and 16 remainder bits, q following the number of rows.  Each partition counts
-its fingerprints and writes them as counting quotient filters, one for each range of quotients: a bit for each
-occupied quotient, a bit for each slot that ends a run, the sorted remainders, and counters for the repeated ones.
-Filters of a range merge by their sorted remainders and lose nothing, whatever the order.  A fingerprint that is
+its fingerprints and writes them as counting quotient filters, one for each range of quotients that it meets: the
+occupied quotients, a bit for each slot that ends a run, the sorted remainders, and counters for the repeated ones.
+Occupied quotients are a bit each where they are dense, and steps from one to the next where they are sparse, so a
+fingerprint takes about as many bytes however many rows the table has.  Filters of a range merge by their sorted
+remainders and lose nothing, whatever the order; a task holds one range at a time and merges it as filters come.  A fingerprint
 counted once is a text without copies.  The others are routed to byte verification: whole normalised texts are grouped.
 """
 
@@ -14,7 +16,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ WHITE = bytes([9, 10, 11, 12, 13, 32])
 REMAINDER = 16
 #: Fingerprints in a merged filter, about.
 RANGE = 1 << 17
+#: Bytes of a range's filters that a task holds before it merges them.
+HELD = 1 << 24
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], bits: int, body: bool) -> Iterator[pa.RecordBatch]:
@@ -48,23 +51,31 @@ def signatures(docs: DataFrame, bits: int, body: bool = False) -> DataFrame:
 def pack_filter(prints: np.ndarray, counts: np.ndarray, base: int, quotients: int) -> bytes:
     """A counting quotient filter of sorted, distinct fingerprints whose quotients lie in base .. base + quotients - 1."""
     quotient = (prints >> REMAINDER) - base
-    occupied = np.zeros(quotients, np.uint8)
-    occupied[quotient] = 1
-    ends = np.append(np.diff(quotient) != 0, True).astype(np.uint8)
+    ends = np.append(np.diff(quotient) != 0, True)
+    runs = quotient[ends]
+    sparse = 4 * len(runs) < -(-quotients // 8)
+    if sparse:
+        occupied = np.diff(runs, prepend=0).astype("<u4")
+    else:
+        occupied = np.zeros(quotients, np.uint8)
+        occupied[runs] = 1
+        occupied = np.packbits(occupied)
     several = counts > 1
-    head = np.array([len(prints), several.sum()], "<u4").tobytes()
-    parts = [np.packbits(occupied), np.packbits(ends), np.packbits(several), (prints & ((1 << REMAINDER) - 1)).astype("<u2"), counts[several].astype("<u8")]
+    head = np.array([len(prints), several.sum(), len(runs) if sparse else 0], "<u4").tobytes()
+    parts = [occupied, np.packbits(ends), np.packbits(several), (prints & ((1 << REMAINDER) - 1)).astype("<u2"), counts[several].astype("<u8")]
     return head + b"".join(x.tobytes() for x in parts)
 
 
 def unpack_filter(data: bytes, base: int, quotients: int) -> tuple[np.ndarray, np.ndarray]:
     """The filter's fingerprints, sorted, and their counts."""
-    n, m = (int(x) for x in np.frombuffer(data, "<u4", 2))
-    sizes = [-(-quotients // 8), -(-n // 8), -(-n // 8), 2 * n, 8 * m]
-    at = np.cumsum([8, *sizes])
-    occupied, ends, several = (np.unpackbits(np.frombuffer(data, np.uint8, sizes[i], at[i]), count=c) for i, c in ((0, quotients), (1, n), (2, n)))
-    run = np.cumsum(ends) - ends
-    quotient = np.flatnonzero(occupied)[run] + base
+    n, m, runs = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    at = np.cumsum([12, 4 * runs or -(-quotients // 8), -(-n // 8), -(-n // 8), 2 * n, 8 * m])
+    if runs:
+        occupied = np.cumsum(np.frombuffer(data, "<u4", runs, 12).astype(np.int64))
+    else:
+        occupied = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, at[1] - 12, 12), count=quotients))
+    ends, several = (np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at[i]), count=n) for i in (1, 2))
+    quotient = occupied[np.cumsum(ends) - ends] + base
     counts = np.ones(n, np.int64)
     counts[several.astype(bool)] = np.frombuffer(data, "<u8", m, at[4])
     return quotient << REMAINDER | np.frombuffer(data, "<u2", n, at[3]), counts
@@ -74,10 +85,7 @@ def merge_filters(filters: list[bytes], base: int, quotients: int) -> tuple[np.n
     """Sorted runs are merged; counts of one fingerprint add up."""
     both = [unpack_filter(x, base, quotients) for x in filters]
     prints, counts = (np.concatenate(x) for x in zip(*both, strict=True))
-    order = np.argsort(prints, kind="stable")
-    prints, counts = prints[order], counts[order]
-    first = np.flatnonzero(np.append(True, np.diff(prints) != 0))
-    return prints[first], np.add.reduceat(counts, first)
+    return _summed(prints, counts)
 
 
 def _filters(batches: Iterator[pa.RecordBatch], quotients: int) -> Iterator[pa.RecordBatch]:
@@ -112,16 +120,34 @@ def fingerprint_bits(rows: int) -> int:
     return min(60, max(8, (2 * rows - 1).bit_length()) + REMAINDER)
 
 
-def repeated(prints: DataFrame, bits: int) -> DataFrame:
+def repeated(prints: DataFrame, bits: int, held: int = HELD) -> DataFrame:
     """prints (fp).  The fingerprints of `bits` bits that two rows or more have."""
     quotients = min(2 * RANGE, 1 << (bits - REMAINDER))
     filters = prints.select("fp").mapInArrow(partial(_filters, quotients=quotients), "range long, filter binary")
+    return filters.repartition("range").sortWithinPartitions("range").mapInArrow(partial(_merged, quotients=quotients, held_bytes=held), "fp long")
+
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        prints, counts = merge_filters(list(pdf["filter"]), int(pdf["range"].iloc[0]) * quotients, quotients)
-        return pd.DataFrame({"fp": prints[counts > 1]})
+def _merged(batches: Iterator[pa.RecordBatch], quotients: int, held_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Filters come sorted by range.  The fingerprints that count more than once."""
+    at, held, size = None, [], 0
 
-    return filters.groupBy("range").applyInPandas(merge, "fp long")
+    def found() -> pa.RecordBatch:
+        prints, counts = merge_filters(held, at * quotients, quotients)
+        return pa.RecordBatch.from_arrays([pa.array(prints[counts > 1])], ["fp"])
+
+    for b in batches:
+        for r, x in zip(b["range"].to_pylist(), b["filter"], strict=True):
+            if r != at and held:
+                yield found()
+                held, size = [], 0
+            at = r
+            held.append(x.as_buffer())
+            size += x.as_buffer().size
+            if size > held_bytes:  # one filter instead of many: no more than a range holds
+                held = [pack_filter(*merge_filters(held, at * quotients, quotients), at * quotients, quotients)]
+                size = 0
+    if held:
+        yield found()
 
 
 def exact_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:

@@ -160,6 +160,34 @@ def test_exact_hard_cases(hard, none, bits):
     assert exactdedup.exact_duplicates(none).count() == 0
 
 
+def test_filter_bytes_follow_the_fingerprints():
+    """A partition of 10,000 texts takes as many bytes in a table of 10^6 rows as in one of 10^10."""
+    sizes = {}
+    for rows in (10**6, 10**8, 10**10):
+        bits = exactdedup.fingerprint_bits(rows)
+        prints = np.random.default_rng(1).integers(0, 1 << bits, 10_000)
+        batch = pa.RecordBatch.from_arrays([pa.array(prints)], ["fp"])
+        quotients = min(2 * exactdedup.RANGE, 1 << (bits - exactdedup.REMAINDER))
+        out = list(exactdedup._filters([batch], quotients))
+        sizes[rows] = sum(len(f) + 8 for b in out for f in b["filter"].to_pylist()) / 10_000
+        for b in out:
+            for r, f in zip(b["range"].to_pylist(), b["filter"].to_pylist(), strict=True):
+                again, counts = exactdedup.unpack_filter(f, r * quotients, quotients)
+                assert set(again.tolist()) <= set(prints.tolist()) and counts.sum() >= len(again)
+    assert max(sizes.values()) < 32, sizes
+
+
+@pytest.mark.parametrize("held", [1 << 24, 50])
+def test_repeated_fingerprints(spark, held, monkeypatch):
+    monkeypatch.setattr(exactdedup, "RANGE", 64)
+    r = random.Random(3)
+    bits = exactdedup.fingerprint_bits(4000)
+    prints = [r.randrange(1 << bits) for _ in range(2000)]
+    prints += prints[:500] + [prints[600]] * 1500
+    got = [x["fp"] for x in exactdedup.repeated(spark.createDataFrame([(p,) for p in prints], "fp long").repartition(7), bits, held).collect()]
+    assert sorted(got) == sorted(p for p, n in collections.Counter(prints).items() if n > 1)
+
+
 def test_filters_merge_without_loss():
     r = np.random.default_rng(0)
     parts = [r.integers(1 << 16, 1 << 20, n) for n in (1, 50, 3000)]
