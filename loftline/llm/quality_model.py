@@ -1,13 +1,19 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are pairs of neighbouring character classes and, for each word, how long ago it came last (long and
-short words apart).  Square roots of term shares, less their mean, are projected on the first singular vectors of
-labelled documents (latent semantic analysis: Deerwester et al., 1990).  The labelled vectors, at most SAMPLE of each
-label, are broadcast; every document is compared with all of them in blocks, and the nearest ones vote by cosine.
+A document's terms are its words, its pairs of neighbouring bytes (spelling, case and marks), both hashed to a fixed number
+of columns, and how long ago each word came last (long and short words apart).  Square roots of term shares, weighted
+by inverse document frequency and less their mean, are projected on the first singular vectors of labelled documents (latent
+semantic analysis: Deerwester et al., 1990).  The labelled vectors, at most SAMPLE of each label, are broadcast; every
+document is compared with all of them in blocks, and the nearest ones vote by cosine.
+
+Terms, axes and vectors are rounded to whole numbers before they are multiplied, so small that sums of products are exact
+in double precision.  So a score depends on the text alone, not on the block that the text is in.
 """
 
 from __future__ import annotations
 
+from zlib import compress, crc32, decompress
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,63 +29,56 @@ SAMPLE = 2048
 DIMENSIONS, NEIGHBOURS, POWER = 24, 15, 8
 #: Documents compared at once.
 BLOCK = 512
-#: Weight of the recurrence terms against the character terms.
-RECURRENCE = 0.5
-CLASSES, GAPS = 32, 5
-
-
-def _classes() -> np.ndarray:
-    found = np.full(256, 30, np.uint8)
-    found[97:123] = 1 + np.arange(26) % 16  # small letters, some sharing a class
-    found[65:91], found[48:58], found[32], found[10] = 17, 18, 19, 20
-    for k, marks in ((21, b"#*$%&"), (22, b"|<>"), (23, b"!?"), (24, b".,;:")):
-        found[list(marks)] = k
-    found[128:] = 25 + np.arange(128) % 4
-    return found
-
-
-CLASS = _classes()
+#: Columns for pairs of bytes and for words; gaps between occurrences of a word.
+PAIRS, WORDS, GAPS = 1 << 12, 1 << 11, 5
+COLUMNS = PAIRS + WORDS + 2 * GAPS
+#: Whole numbers: units of a term's weight, of an axis, and of a vector of length one.
+TERM, AXIS, VECTOR = 1 << 14, 1 << 14, 1 << 20
 
 
 def _terms(texts: pa.Array) -> np.ndarray:
-    """One row of term weights for each text; zeros for a text without words."""
+    """One row of term weights for each text, in units of TERM; zeros for a text without words.  At most BLOCK texts at once."""
     if encoder.cache_info().currsize:
         forget()
-    out = np.zeros((len(texts), CLASSES * CLASSES + 2 * GAPS), np.float32)
+    out = np.zeros((len(texts), COLUMNS), np.int16)
     for lo, part in slices(pc.fill_null(texts, "").cast(pa.large_string()), 1 << 21):
         n = len(part)
         offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
-        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        ends = offsets - offsets[0]
-        doc = np.repeat(np.arange(n), np.diff(ends))
-        kind = CLASS[data].astype(np.int64)
-        if len(kind) > 1:
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+        doc = np.repeat(np.arange(n), np.diff(offsets))
+        if len(data) > 1:
             inside = doc[1:] == doc[:-1]
-            pair = (doc[1:] * (CLASSES * CLASSES) + kind[:-1] * CLASSES + kind[1:])[inside]
-            out[lo : lo + n, : CLASSES * CLASSES] = _shares(np.bincount(pair, minlength=n * CLASSES * CLASSES).reshape(n, -1))
+            pair = ((data[:-1] << 8 | data[1:]) * 40503 >> 4) % PAIRS
+            out[lo : lo + n, :PAIRS] = _shares((doc[1:] * PAIRS + pair)[inside], n, PAIRS)
         cut = pc.split_pattern(_folded(part), " ")
         many = np.diff(np.asarray(cut.offsets))
         first = int(np.asarray(cut.offsets)[0])
         coded = cut.values.slice(first, int(many.sum())).dictionary_encode()
         size = np.asarray(pc.binary_length(coded.dictionary))
+        column = np.array([crc32(x.as_buffer()) % WORDS for x in coded.dictionary], np.int64)
         code, doc = np.asarray(coded.indices), np.repeat(np.arange(n), many)
         word = size[code] > 0 if len(code) else np.zeros(0, bool)
         code, doc = code[word].astype(np.int64), doc[word]
+        out[lo : lo + n, PAIRS : PAIRS + WORDS] = _shares(doc * WORDS + column[code] if len(code) else code, n, WORDS)
         key = doc * max(1, len(size)) + code
         order = np.argsort(key, kind="stable")
         gap = np.diff(order, prepend=0)
         gap[np.diff(key[order], prepend=-1) != 0] = 0
         gap = np.searchsorted([1, 2, 9, 65], gap, side="right") + GAPS * (size[code[order]] >= 6)
-        out[lo : lo + n, CLASSES * CLASSES :] = RECURRENCE * _shares(np.bincount(doc[order] * 2 * GAPS + gap, minlength=n * 2 * GAPS).reshape(n, -1))
+        out[lo : lo + n, PAIRS + WORDS :] = _shares(doc[order] * 2 * GAPS + gap, n, 2 * GAPS)
     return out
 
 
-def _shares(counts: np.ndarray) -> np.ndarray:
-    return np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)), dtype=np.float32)
+def _shares(cells: np.ndarray, rows: int, columns: int) -> np.ndarray:
+    """Of the counts of cells (row * columns + column): square roots of their shares in the row, in units of TERM."""
+    counts = np.bincount(cells, minlength=rows * columns).reshape(rows, columns)
+    return np.rint(TERM * np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))).astype(np.int16)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+    """Rows of length one, in units of VECTOR; each row by itself, so its block doesn't matter."""
+    length = np.sqrt(np.array([sum(v * v for v in row) for row in x.tolist()]).reshape(-1, 1))
+    return np.rint(x * (VECTOR / np.maximum(1e-12, length)))
 
 
 class Model:
@@ -87,28 +86,44 @@ class Model:
 
     def __init__(self, terms: np.ndarray, labels: np.ndarray, share: float):
         """share: of label 1 among all labelled rows."""
-        self.share, self.labels = share, labels.astype(np.float32)
-        self.mean = terms.mean(0) if len(terms) else np.zeros(CLASSES * CLASSES + 2 * GAPS, np.float32)
-        centred = terms - self.mean
-        values, vectors = np.linalg.eigh(centred.T.astype(np.float64) @ centred)
-        self.axes = vectors[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
-        self.vectors = _unit(centred @ self.axes).astype(np.float32)
+        self.share, self.labels = share, labels.astype(np.float64)
+        # A term that few documents have tells more.
+        rare = np.log((1 + len(terms)) / (1 + np.count_nonzero(terms, axis=0))) + 1
+        weighed = terms * (rare / TERM)
+        centre = weighed.mean(0) if len(terms) else np.zeros(COLUMNS)
+        axes = self._axes(weighed - centre)
+        self.axes = np.rint(axes * rare[:, None] * (AXIS / max(1e-12, np.abs(axes * rare[:, None]).max(initial=0))))
+        self.centre = np.rint(terms.mean(0) @ self.axes) if len(terms) else np.zeros(self.axes.shape[1])
+        self.vectors = _unit(self._points(terms)) if len(terms) else np.zeros((0, self.axes.shape[1]))
         good = labels.mean() if len(labels) else 0.5
         # Each label stands for its share of all labelled rows, whatever the sample holds of it.
-        self.weights = np.where(labels == 1, share / max(good, 1e-12), (1 - share) / max(1 - good, 1e-12)).astype(np.float32)
+        self.weights = np.where(labels == 1, share / max(good, 1e-12), (1 - share) / max(1 - good, 1e-12))
+
+    @staticmethod
+    def _axes(x: np.ndarray) -> np.ndarray:
+        """The first right singular vectors, by subspace iteration from a fixed start."""
+        found = np.random.default_rng(0).standard_normal((x.shape[1], DIMENSIONS + 16))
+        for _ in range(8):
+            found = np.linalg.qr(x.T @ (x @ found))[0]
+        _, _, right = np.linalg.svd(x @ found, full_matrices=False)
+        return (found @ right.T)[:, :DIMENSIONS]
+
+    def _points(self, terms: np.ndarray) -> np.ndarray:
+        return terms.astype(np.float64) @ self.axes - self.centre
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.full(len(texts), self.share)
         if not len(self.labels):
             return out
-        points = _unit((_terms(texts) - self.mean) @ self.axes)
         k = min(NEIGHBOURS, len(self.labels))
-        for i in range(0, len(points), BLOCK):
-            cosine = points[i : i + BLOCK] @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            vote = np.maximum(0, np.take_along_axis(cosine, near, 1)).astype(np.float64) ** POWER * self.weights[near]
-            total = vote.sum(1)
-            out[i : i + BLOCK] = np.where(total > 0, (vote * self.labels[near]).sum(1) / np.maximum(total, 1e-300), self.share)
+        for i in range(0, len(texts), BLOCK):
+            cosine = _unit(self._points(_terms(texts.slice(i, BLOCK)))) @ self.vectors.T
+            # Of equally near neighbours the first counts.
+            order = cosine * len(self.labels) - np.arange(len(self.labels))
+            near = np.sort(np.argpartition(-order, k - 1, axis=1)[:, :k], axis=1)
+            vote = np.maximum(0, np.take_along_axis(cosine, near, 1) / VECTOR**2) ** POWER * self.weights[near]
+            total, won = (np.array([sum(row) for row in x.tolist()]) for x in (vote, vote * self.labels[near]))
+            out[i : i + BLOCK] = np.where(total > 0, won / np.maximum(total, 1e-300), self.share)
         return np.clip(out, 0, 1)
 
 
@@ -129,11 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def weighed(batches):
         for b in batches:
-            terms = [x.tobytes() for x in _terms(b["text"])]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"].cast(pa.int32()), pa.array(terms, pa.binary())], ["doc_id", "quality", "terms"])
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                terms = [compress(x.tobytes(), 1) for x in _terms(part["text"])]
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["quality"].cast(pa.int32()), pa.array(terms, pa.binary())], ["doc_id", "quality", "terms"])
 
     found = rows.mapInArrow(weighed, dtype).groupBy("doc_id", "quality").agg(F.min("terms").alias("terms")).toPandas().sort_values("doc_id")
-    terms = np.array([np.frombuffer(x, np.float32) for x in found["terms"]], np.float32).reshape(len(found), CLASSES * CLASSES + 2 * GAPS)
+    terms = np.array([np.frombuffer(decompress(x), np.int16) for x in found["terms"]], np.int16).reshape(len(found), COLUMNS)
     return Model(terms, found["quality"].to_numpy(), counts.get(1, 0) / total if total else 0.5)
 
 

@@ -292,6 +292,62 @@ def test_classifier_on_held_out_rows(spark):
     assert ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
 
 
+def brute_terms(text):
+    """Columns and weights of a text's terms, counted one by one."""
+    data, folded = (text or "").encode(), (text or "").encode().lower()
+    words = [w for w in re.split(rb"[ \t-\r]", folded) if w]
+    pairs = collections.Counter(((x << 8 | y) * 40503 >> 4) % quality_model.PAIRS for x, y in zip(data, data[1:], strict=False))
+    kinds = collections.Counter(quality_model.PAIRS + zlib.crc32(w) % quality_model.WORDS for w in words)
+    gaps, last = collections.Counter(), {}
+    for i, w in enumerate(words):
+        ago = i - last.get(w, i)
+        last[w] = i
+        gaps[quality_model.PAIRS + quality_model.WORDS + sum(ago >= x for x in (1, 2, 9, 65)) + 5 * (len(w) >= 6)] += 1
+    return {c: round(quality_model.TERM * (n / sum(group.values())) ** 0.5) for group in (pairs, kinds, gaps) for c, n in group.items()}
+
+
+def brute_vote(text, model):
+    point = [sum(w * int(model.axes[c, k]) for c, w in brute_terms(text).items()) - int(model.centre[k]) for k in range(model.axes.shape[1])]
+    length = sum(float(x) * x for x in point) ** 0.5
+    point = [round(x * (quality_model.VECTOR / max(1e-12, length))) for x in point]
+    nearest = sorted((-sum(x * int(y) for x, y in zip(point, v, strict=True)), i) for i, v in enumerate(model.vectors.tolist()))[: quality_model.NEIGHBOURS]
+    votes = [(max(0, -c / quality_model.VECTOR**2) ** quality_model.POWER * model.weights[i], model.labels[i]) for c, i in nearest]
+    total = sum(v for v, _ in votes)
+    return sum(v for v, q in votes if q) / total if total else model.share
+
+
+def test_classifier_votes_by_brute_force(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_model.fit(docs, labels)
+    extra = docs_of(spark, [(-k, t) for k, (_, t) in enumerate(HARD, 1)])
+    both = docs.select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] for r in both.collect()}
+    got = {r["doc_id"]: r["s"] for r in both.select("doc_id", quality_model.score(both, model).alias("s")).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(brute_vote(t, model), abs=1e-9), i
+
+
+def test_classifier_axes_are_singular_vectors():
+    x = np.random.default_rng(0).standard_normal((60, 5)) @ np.random.default_rng(1).standard_normal((5, quality_model.COLUMNS))
+    axes = quality_model.Model._axes(x)
+    kept = np.linalg.norm(x @ axes, axis=0)
+    assert kept[:5] == pytest.approx(np.linalg.svd(x, compute_uv=False)[:5], rel=1e-6)
+
+
+def test_equal_texts_have_equal_scores(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = quality_model.fit(docs, labels)
+    one = {r["doc_id"]: r["s"] for r in docs.select("doc_id", quality_model.score(docs, model).alias("s")).collect()}
+    shuffled = docs.repartition(7, F.xxhash64("doc_id", F.lit(1)))
+    again = {r["doc_id"]: r["s"] for r in shuffled.select("doc_id", quality_model.score(shuffled, model).alias("s")).collect()}
+    assert one == again
+    by_text = collections.defaultdict(set)
+    for r in docs.select("doc_id", "text").collect():
+        by_text[r["text"]].add(one[r["doc_id"]])
+    assert all(len(x) == 1 for x in by_text.values()) and len(by_text) < len(one)
+
+
 def test_classifier_hard_cases(spark, hard, none):
     labels = spark.createDataFrame([(1, 1), (7, 0), (8, 0), (8, None), (99, 1), (None, 1), (10, 1)], "doc_id long, quality int")
     got = quality_model.quality_scores(hard, labels).collect()
