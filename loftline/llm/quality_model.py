@@ -89,24 +89,32 @@ class Model:
         self.share, self.labels = share, labels.astype(np.float64)
         # A term that few documents have tells more.
         rare = np.log((1 + len(terms)) / (1 + np.count_nonzero(terms, axis=0))) + 1
-        weighed = terms * (rare / TERM)
-        centre = weighed.mean(0) if len(terms) else np.zeros(COLUMNS)
-        axes = self._axes(weighed - centre)
-        self.axes = np.rint(axes * rare[:, None] * (AXIS / max(1e-12, np.abs(axes * rare[:, None]).max(initial=0))))
-        self.centre = np.rint(terms.mean(0) @ self.axes) if len(terms) else np.zeros(self.axes.shape[1])
-        self.vectors = _unit(self._points(terms)) if len(terms) else np.zeros((0, self.axes.shape[1]))
+        axes = self._axes(terms, rare / TERM) * rare[:, None]
+        self.axes = np.rint(axes * (AXIS / max(1e-12, np.abs(axes).max(initial=0))))
+        self.centre = np.rint(terms.mean(0, dtype=np.float64) @ self.axes) if len(terms) else np.zeros(self.axes.shape[1])
+        self.vectors = np.concatenate([_unit(self._points(terms[i : i + BLOCK])) for i in range(0, len(terms), BLOCK)] or [np.zeros((0, self.axes.shape[1]))])
         good = labels.mean() if len(labels) else 0.5
         # Each label stands for its share of all labelled rows, whatever the sample holds of it.
         self.weights = np.where(labels == 1, share / max(good, 1e-12), (1 - share) / max(1 - good, 1e-12))
 
     @staticmethod
-    def _axes(x: np.ndarray) -> np.ndarray:
-        """The first right singular vectors, by subspace iteration from a fixed start."""
-        found = np.random.default_rng(0).standard_normal((x.shape[1], DIMENSIONS + 16))
+    def _axes(terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """First right singular vectors of the weighed terms less their mean, by subspace iteration from a fixed start.
+
+        The terms stay as they are: a block of them is weighed at a time, so the driver holds little else.
+        """
+        found = np.random.default_rng(0).standard_normal((len(weights), DIMENSIONS + 16))
+        mean = terms.mean(0, dtype=np.float64) * weights if len(terms) else np.zeros(len(weights))
         for _ in range(8):
-            found = np.linalg.qr(x.T @ (x @ found))[0]
-        _, _, right = np.linalg.svd(x @ found, full_matrices=False)
-        return (found @ right.T)[:, :DIMENSIONS]
+            found = np.linalg.qr(found)[0]
+            onto = np.zeros_like(found)
+            for i in range(0, len(terms), BLOCK):
+                part = terms[i : i + BLOCK] * weights - mean
+                onto += part.T @ (part @ found)
+            _, turn = np.linalg.eigh(found.T @ onto)
+            found, onto = found @ turn[:, ::-1], onto @ turn[:, ::-1]
+            axes, found = found, onto
+        return axes[:, :DIMENSIONS]
 
     def _points(self, terms: np.ndarray) -> np.ndarray:
         return terms.astype(np.float64) @ self.axes - self.centre
@@ -150,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["quality"].cast(pa.int32()), pa.array(terms, pa.binary())], ["doc_id", "quality", "terms"])
 
     found = rows.mapInArrow(weighed, dtype).groupBy("doc_id", "quality").agg(F.min("terms").alias("terms")).toPandas().sort_values("doc_id")
-    terms = np.array([np.frombuffer(decompress(x), np.int16) for x in found["terms"]], np.int16).reshape(len(found), COLUMNS)
+    terms = np.zeros((len(found), COLUMNS), np.int16)
+    for k, x in enumerate(found["terms"]):
+        terms[k] = np.frombuffer(decompress(x), np.int16)
     return Model(terms, found["quality"].to_numpy(), counts.get(1, 0) / total if total else 0.5)
 
 

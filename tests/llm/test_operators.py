@@ -329,9 +329,11 @@ def test_classifier_votes_by_brute_force(spark, sf_dir):
 
 def test_classifier_axes_are_singular_vectors():
     x = np.random.default_rng(0).standard_normal((60, 5)) @ np.random.default_rng(1).standard_normal((5, quality_model.COLUMNS))
-    axes = quality_model.Model._axes(x)
-    kept = np.linalg.norm(x @ axes, axis=0)
-    assert kept[:5] == pytest.approx(np.linalg.svd(x, compute_uv=False)[:5], rel=1e-6)
+    weights = np.linspace(1, 2, x.shape[1])
+    axes = quality_model.Model._axes(x, weights)
+    weighed = x * weights - (x * weights).mean(0)
+    assert np.linalg.norm(weighed @ axes, axis=0)[:5] == pytest.approx(np.linalg.svd(weighed, compute_uv=False)[:5], rel=1e-6)
+    assert axes.T @ axes == pytest.approx(np.eye(axes.shape[1]), abs=1e-9)
 
 
 def test_equal_texts_have_equal_scores(spark):
