@@ -3,8 +3,10 @@
 import bisect
 import collections
 import hashlib
+import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -203,14 +205,40 @@ def test_filters_merge_without_loss():
         assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
 
 
+def wrapped(text, width):
+    """Each paragraph in lines of that many characters at most."""
+    return "\n\n".join(textwrap.fill(x, width) for x in text.split("\n\n"))
+
+
 def test_licences(spark, none):
-    mit = licences.KNOWN[0][1]
-    rows = [(1, mit.replace("year holder", "2020 Me").replace("License", "LICENCE").replace("\n", "\r\n")), (2, "x\nReleased under the MIT license!!\nreleased under the MIT Licence"), (3, None), (3, ""), (4, mit + " more")]
-    got = {(r["doc_id"], r["licence"], r["notices"], r["n_notices"]) for r in licences.scan_licences(docs_of(spark, rows)).collect()}
-    assert got == {(1, "MIT", "", 0), (2, None, "MIT", 2), (3, None, "", 0), (4, None, "", 0)}
+    mit = dict(licences.TEXTS)["MIT"]
+    rows = [
+        (1, "MIT License\r\n\r\nCopyright (c) 2020 Me\r\n\r\n" + mit.replace("\n", "\r\n")), (2, "x\nReleased under the MIT license!!\nreleased under the MIT Licence"),
+        (3, None), (3, ""), (4, mit + " more"), (5, "The MIT License (MIT)\nCopyright © 1999-2003, A. Person, Inc.\nAll rights reserved.\n" + mit.upper()),
+        (6, "Released under the MIT License."), (6, "Released under\nthe MIT License."), (None, "a\nLicensed under CC BY 4.0\n" * 2), (None, "a\nLicensed under CC BY 4.0\n" * 2), (7, LONG),
+    ]
+    docs = docs_of(spark, rows).withColumns({c: F.lit("x") for c in ("licence", "lines", "found", "text_digest")})
+    got = sorted(str((r["doc_id"], r["licence"], r["notices"], r["n_notices"])) for r in licences.scan_licences(docs).collect())
+    want = [(1, "MIT", "", 0), (2, None, "MIT", 2), (3, None, "", 0), (3, None, "", 0), (4, None, "", 0), (5, "MIT", "", 0), (6, "MIT", "MIT", 1), (6, "MIT", "", 0), (7, None, "", 0)]
+    assert got == sorted(map(str, want + [(None, None, "CC-BY-4.0", 2)] * 2))
     assert licences.scan_licences(none).count() == 0
 
 
+def test_licences_however_wrapped(spark):
+    """Widths at which lines of prose begin with "copyright" are among these."""
+    texts = list(licences.TEXTS)
+    folder = "/usr/share/common-licenses"
+    for name in ("Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0", "CC0-1.0"):
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as f:
+                texts.append((name.replace("GPL-2", "GPL-2.0").replace("GPL-3", "GPL-3.0").replace("2.0.1", "2.1"), f.read()))
+    head = "Copyright (c) 2001, 2002 Some Body <some@body.example>\n\n"
+    rows = [(k, head + (wrapped(t, width) if width else t)) for k, (_, t) in enumerate(texts) for width in (0, *(range(40, 100, 3) if k < len(licences.TEXTS) else ()))]
+    assert any(re.search("(?m)^copyright [a-z]", t) for _, t in rows)
+    for r in licences.scan_licences(docs_of(spark, rows)).collect():
+        assert r["licence"] == texts[r["doc_id"]][0]
+
+
 def test_cascade_is_exact(spark):
     universe = spark.range(5000).select(F.concat(F.lit("h"), "id").alias("key"))
     for lo, hi in ((4800, 5100), (5000, 5000), (0, 5000)):
