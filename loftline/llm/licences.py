@@ -66,7 +66,9 @@ DIGESTS = (
     ("GFDL-1.3", "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7"),
 )
 #: Equivalent spellings, after the matching guidelines of the SPDX licence list.
-SPELLINGS = (("©", " copyright "), ("licence", "license"), ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("whilst", "while"), ("acknowledgement", "acknowledgment"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("per cent", "percent"), ("and/or", "and or"))
+SPELLINGS = (("©", " copyright "), ("licence", "license"), ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("whilst", "while"), ("acknowledgement", "acknowledgment"), ("and/or", "and or"))
+#: And those of several words, which a line may end between.
+PHRASES = (("sub license", "sublicense"), ("non commercial", "noncommercial"), ("per cent", "percent"))
 # How canonical lines begin that state a copyright, and those that only speak of it.
 STATEMENT = r"^((copyright|c)( c| copyright)* [0-9]{4}( .*)?|copyright( c| copyright| by)*( [^ ]+){1,12}|all rights reserved)$"
 PROSE = r"^copyright (notices?|holders?|owners?|licenses?|laws?|statements?|interests?|rights?|acts?|treaty|treaties|protection|permission|status|disclaimers?|infringement|claims?|terms?|doctrines?|and|or|in|on|to|as|if|is|are|for|that|with|will|would|shall|may|resulting|resides)( |$)"
@@ -86,8 +88,15 @@ def canonical_lines(text: Column) -> Column:
     return F.transform(F.array(lines), lambda x: F.when(F.get(x, 0).rlike(TITLE), F.slice(x, 2, F.size(x))).otherwise(x))[0]
 
 
+def joined(lines: Column) -> Column:
+    text = F.array_join(lines, " ")
+    for other, one in PHRASES:
+        text = F.replace(text, F.lit(other), F.lit(one))
+    return text
+
+
 def canonical(text: Column) -> Column:
-    return F.array_join(canonical_lines(text), " ")
+    return joined(canonical_lines(text))
 
 
 def known_licences(spark: SparkSession, texts: tuple = TEXTS + NOTICES, digests: tuple = DIGESTS) -> DataFrame:
@@ -112,7 +121,7 @@ def scan_licences(docs: DataFrame, texts: tuple = TEXTS + NOTICES, digests: tupl
     named = F.create_map(*(F.lit(x) for r in lines for x in (r["line"], r["licence"]))) if lines else F.lit(None).cast("map<string,string>")
     rows = docs.select("doc_id", canonical_lines(text_of(docs)).alias("lines"))
     found = F.filter(F.transform("lines", lambda x: F.try_element_at(named, x)), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"), found.alias("found"))
+    rows = rows.select("doc_id", F.sha2(joined(F.col("lines")), 256).alias("text_digest"), found.alias("found"))
     names = F.array_join(F.array_sort(F.array_distinct("found")), ",")
     return rows.join(known, "text_digest", "left").select("doc_id", "licence", names.alias("notices"), F.size("found").cast("long").alias("n_notices"), "text_digest")
 
@@ -133,17 +142,23 @@ def _sql() -> str:
         kept = f"list_filter(list_transform({text}, lambda x: trim(x)), lambda x: x <> '' AND NOT {drop})"
         return f"list_transform([{kept}], lambda y: CASE WHEN regexp_matches(y[1], {quote(TITLE)}) THEN y[2:] ELSE y END)[1]"
 
+    def body(text: str) -> str:
+        text = f"array_to_string({text}, ' ')"
+        for other, one in PHRASES:
+            text = f"replace({text}, {quote(other)}, {quote(one)})"
+        return text
+
     rows = lambda pairs: ", ".join(f"({quote(a)}, {quote(b)})" for a, b in pairs)
     return f"""
-WITH n AS (SELECT array_to_string({lines('text')}, ' ') AS line, min(licence) AS licence FROM (VALUES {rows(NOTICES)}) v(licence, text) GROUP BY 1),
+WITH n AS (SELECT {body(lines('text'))} AS line, min(licence) AS licence FROM (VALUES {rows(NOTICES)}) v(licence, text) GROUP BY 1),
      k AS (SELECT digest, min(licence) AS licence FROM (
-             SELECT sha256(array_to_string({lines('text')}, ' ')) AS digest, licence FROM (VALUES {rows(TEXTS + NOTICES)}) v(licence, text)
+             SELECT sha256({body(lines('text'))}) AS digest, licence FROM (VALUES {rows(TEXTS + NOTICES)}) v(licence, text)
              UNION ALL SELECT digest, licence FROM (VALUES {rows(DIGESTS)}) v(licence, digest)) GROUP BY 1),
      d AS (SELECT row_number() OVER () AS r, doc_id, {lines("coalesce(text, '')")} AS lines FROM documents),
      f AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices
            FROM (SELECT r, unnest(lines) AS line FROM d) l JOIN n USING (line) GROUP BY r)
-SELECT d.doc_id, k.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices, sha256(array_to_string(d.lines, ' ')) AS text_digest
-FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN k ON k.digest = sha256(array_to_string(d.lines, ' '))
+SELECT d.doc_id, k.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices, sha256({body('d.lines')}) AS text_digest
+FROM d LEFT JOIN f ON f.r = d.r LEFT JOIN k ON k.digest = sha256({body('d.lines')})
 """
 
 

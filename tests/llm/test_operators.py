@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
@@ -285,7 +286,7 @@ def test_wavelet_matrix():
     r = np.random.default_rng(4)
     for n in (0, 1, 7, 8, 511, 512, 513, 5000):
         x = (r.zipf(1.4, n) % 49000).astype(np.uint16)
-        m = wavelet.WaveletMatrix(n, wavelet.WaveletMatrix.build(x))
+        m = wavelet.WaveletMatrix(n, *wavelet.WaveletMatrix.build(x))
         assert (m.ids() == x).all()
         for i in r.integers(0, n, 5) if n else []:
             assert m[int(i)] == x[i]
@@ -294,30 +295,45 @@ def test_wavelet_matrix():
             assert [m.find(int(x[i]), k) for k in (0, len(places) - 1, len(places))] == [places[0], places[-1], -1]
 
 
-def test_token_files(spark, hard, none, bpe, tmp_path, monkeypatch):
-    monkeypatch.setattr(wavelet, "ROWS", 3)
-    monkeypatch.setattr(wavelet, "PER_FILE", 1)
-    wavelet.write_tokens(hard, str(tmp_path / "t"))
-    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_tokens(spark, str(tmp_path / "t")).collect()))
-    ids = lambda t: np.array([*bpe.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-    rows = sorted(((-1 if i is None else i, ids(t).astype("<u2").tobytes(), i) for i, t in HARD), key=lambda x: x[:2])
-    start, want = 0, []
-    for _, data, i in rows:
-        n = len(data) // 2
-        want.append((start, i, n, zlib.crc32(np.frombuffer(data, "<u2").astype("<u4").tobytes())))
-        start += n
-    assert got == want
+def test_token_files(spark, hard, none, bpe, tmp_path):
+    path = str(tmp_path / "t")
+    wavelet.write_tokens(hard.repartition(3), path, file_tokens=9000)
+    got = sorted((r["start"], str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in wavelet.read_tokens(spark, path).collect())
+    ids = lambda t: [*bpe.encode(t or "", add_special_tokens=False).ids, 2]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted(x[1:] for x in got) == sorted((str(i), len(ids(t)), crc(ids(t))) for i, t in HARD)
+    assert [x[0] for x in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    order = [-1 if x[1] == "None" else int(x[1]) for x in got]
+    assert order == sorted(order)
+    # The files in order of their names hold all ids in ascending doc_id order.
+    names = sorted(x for x in os.listdir(path) if x.startswith("part"))
+    assert len(names) > 2
+    parts = [r for x in names for r in pq.read_table(f"{path}/{x}").to_pylist()]
+    assert [i for r in parts for i in r["doc_ids"]] == [None if x[1] == "None" else int(x[1]) for x in got]
+    flat = np.concatenate([wavelet.WaveletMatrix(r["n"], r["planes"], r["ranks"]).ids() for r in parts]).tolist()
+    cut = [(x[0], x[0] + x[2]) for x in got]
+    assert [crc(flat[lo:hi]) for lo, hi in cut] == [x[3] for x in got]
+    # Access, counting and occurrence lookup over the written shards.
+    files = spark.read.parquet(path)
+    places = [0, 1, 5, len(flat) - 1, len(flat), 31000, 31000, None]
+    asked = spark.createDataFrame([(p,) for p in places], "place long")
+    assert {r["place"]: r["token"] for r in wavelet.token_at(files, asked).collect()} == {p: flat[p] if p < len(flat) else None for p in places if p is not None}
+    some = sorted({flat[0], flat[4], 2, flat[31000], 40000})
+    assert {r["token"]: r["n"] for r in wavelet.count_tokens(files, spark.createDataFrame([(t,) for t in [*some, some[0], None, 1 << 20]], "token int")).collect()} == {t: flat.count(t) for t in some} | {1 << 20: 0}
+    pairs = [(t, k) for t in some for k in (0, 1, flat.count(t) // 2, flat.count(t) - 1, flat.count(t))]
+    where = {t: [p for p, x in enumerate(flat) if x == t] for t in some}
+    got = {(r["token"], r["k"]): r["place"] for r in wavelet.find_tokens(files, spark.createDataFrame(pairs, "token int, k int")).collect()}
+    assert got == {(t, k): where[t][k] if 0 <= k < len(where[t]) else None for t, k in pairs}
     wavelet.write_tokens(none, str(tmp_path / "n"))
     assert wavelet.read_tokens(spark, str(tmp_path / "n")).count() == 0
+    assert wavelet.count_tokens(spark.read.parquet(str(tmp_path / "n")), spark.createDataFrame([(2,)], "token int")).collect()[0]["n"] == 0
 
 
-def test_classifier_on_held_out_rows(spark):
-    d = "/root/testdata/sf0.01"
-    got = quality_model.quality_scores(table(spark, d, "documents"), table(spark, d, "labels")).toPandas()
-    assert got["held_out"].tolist() == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got["doc_id"]]
-    both = got[got["held_out"]].merge(table(spark, d, "labels").toPandas())
-    assert (both["predicted"] == both["quality"]).mean() > 0.95
-    assert ((got["score"] >= 0.5) == (got["predicted"] == 1)).all()
+def test_rows_without_id_are_split_over_files(spark, tmp_path):
+    rows = docs_of(spark, [(None if k % 3 else 7, f"a{k} b{k * 7} c") for k in range(3000)])
+    wavelet.write_tokens(rows, str(tmp_path / "t"), file_tokens=2000)
+    sizes = [r["n"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("file").agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) > 5 and max(sizes) < 5000
 
 
 def brute_terms(text):
