@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import kept_rows, staged, table, text_of
 from .components import connected_components
-from .similar import similar_roots
+from .similar import local_roots, similar_roots
 
 #: Length, radius and generator polynomial of the perfect codes (Golay 1949, Hamming 1950).
 BLOCKS = ((23, 3, 0b101011100011), (23, 3, 0b101011100011), (15, 1, 0b10011), (3, 1, 0b111))
@@ -120,20 +120,6 @@ def _replicas(batches: Iterator[pa.RecordBatch], threshold: int, depth: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), pa.array(part[index].view(np.int64))], ["anchor", "replica", "fp"])
 
 
-def _local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """For nodes 0..n-1 with edges a-b: the smallest node that each reaches."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _links(homes: np.ndarray, replicas: np.ndarray, threshold: int) -> np.ndarray:
     """Pairs (smaller fingerprint as root, other) that span what the two sides' links connect: no more than nodes."""
     spans = np.zeros((0, 2), np.uint64)
@@ -146,7 +132,7 @@ def _links(homes: np.ndarray, replicas: np.ndarray, threshold: int) -> np.ndarra
         if len(x):
             x, y = np.concatenate([x, spans[:, 0]]), np.concatenate([y, spans[:, 1]])
             nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            roots = _local_roots(at[: len(x)], at[len(x) :], len(nodes))
+            roots = local_roots(at[: len(x)], at[len(x) :], len(nodes))
             keep = roots != np.arange(len(nodes))
             spans = np.stack([nodes[roots[keep]], nodes[keep]], 1)
     return spans

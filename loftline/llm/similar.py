@@ -1,9 +1,10 @@
 """Texts whose sets of five-word shingles have a Jaccard similarity of `similarity` or more.
 
 Candidates share a band of MinHash values (Broder, 1997): with BANDS bands of ROWS values a pair at 0.8 is missed with
-probability (1 - 0.8^5)^40, about 1e-7.  Each candidate is confirmed by its whole shingle sets.  Only links between
-different components matter: first each text is compared with two texts of its band, then, among the components left,
-every pair of a band that two components still share.  A large group of copies is thus joined before pairs are made.
+probability (1 - 0.8^5)^40, about 1e-7.  Bands in which only one component meets have nothing to add.  Texts that the other
+bands connect are a family.  A family is cut into parts of bounded size, each two parts meet in one task, and the task
+compares whole shingle sets and emits only links that span what it has found, never pairs.  Most families have one
+part.  In a family of m texts a text is sent m / TEXTS times, which is the price of leaving out no pair.
 """
 
 from __future__ import annotations
@@ -14,13 +15,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_of
+from .common import discard, staged, text_of
 from .components import connected_components
+from .words import _ranges
 
 WINDOW, ROWS, BANDS = 5, 5, 40
+#: Texts and shingles of a family's part, about.
+TEXTS, SHINGLES = 512, 1 << 20
 _RANDOM = np.random.default_rng(42)
 _TIMES = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) << np.uint64(1)
@@ -58,12 +62,56 @@ def _made(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([part["tid"], _lists([bands(s) for s in sets] if what == "bands" else sets)], ["tid", what])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (x, y, a, b): the links (a, b) of those whose texts x and y are similar."""
-    of = lambda name: sets.select(F.col("tid").alias(name), F.col("shingles").alias(f"of_{name}"))
-    both = pairs.join(of("x"), "x").join(of("y"), "y")
-    shared = F.size(F.array_intersect("of_x", "of_y"))
-    return both.where(shared >= similarity * (F.size("of_x") + F.size("of_y") - shared) - 1e-9).select("a", "b").distinct()
+def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For nodes 0..n-1 with edges a-b: the smallest node that each reaches."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _spanning(left: list, right: list, similarity: float) -> np.ndarray:
+    """left, right: (root, shingles) of two parts.  Rows (root, root) that connect what links between similar texts connect."""
+    roots, sizes = np.array([r for r, _ in left]), np.array([len(s) for _, s in left])
+    flat, owner = np.concatenate([s for _, s in left]), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    found = [np.zeros((0, 2), np.int64)]
+    for root, mine in right:
+        lo = np.searchsorted(flat, mine)
+        shared = np.bincount(owner[_ranges(lo, np.searchsorted(flat, mine, side="right") - lo)], minlength=len(left))
+        near = (shared >= similarity * (sizes + len(mine) - shared) - 1e-9) & (roots != root)
+        found.append(np.stack([roots[near], np.full(near.sum(), root)], 1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    nodes, at = np.unique(pairs, return_inverse=True)
+    least = local_roots(*at.reshape(-1, 2).T, len(nodes)) if len(pairs) else np.zeros(0, np.int64)
+    keep = least != np.arange(len(nodes))
+    return np.stack([nodes[least[keep]], nodes[keep]], 1)
+
+
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by family, lo, hi: the parts lo and hi of the family, which are held."""
+    key, parts = None, {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if len(pairs := _spanning(parts.get(key[1], []), parts.get(key[2], []), similarity) if all(k in parts for k in key[1:]) else []):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    for b in batches:
+        for family, lo, hi, part, root, x in zip(*(b[c].to_pylist() for c in ("family", "lo", "hi", "part", "root")), b["shingles"], strict=True):
+            if (family, lo, hi) != key:
+                if key:
+                    yield from out()
+                key, parts = (family, lo, hi), {}
+            parts.setdefault(part, []).append((root, np.asarray(x.values).view(np.uint64)))
+    if key:
+        yield from out()
 
 
 def similar_roots(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -74,31 +122,25 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     text = text_of(docs).alias("text")
     texts = docs.select(F.xxhash64(text).alias("tid"), text)
     made = texts.mapInArrow(partial(_made, what="bands"), "tid long, bands array<long>").dropDuplicates(["tid"])
-
-    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
-        return rows.join(roots, rows["fp"] == roots["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The rows of bands in which two components meet, with the first and last of the band."""
-        end = F.struct("root", "tid")
-        ends = rows.groupBy("band").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).where("lo.root <> hi.root")
-        return rows.join(ends, "band")
-
-    def pair(end: str) -> Column:
-        return F.struct(F.col("tid").alias("x"), F.col(f"{end}.tid").alias("y"), F.col("root").alias("a"), F.col(f"{end}.root").alias("b"))
-
-    rows = staged(rooted(made.join(nodes, "tid"), roots).select("tid", "fp", "root", F.explode("bands").alias("band")), "bands")
-    rows = staged(mixed(rows), "mixed")
-    some = rows.select("tid").distinct()
-    sets = staged(texts.join(some, "tid", "left_semi").mapInArrow(partial(_made, what="shingles"), "tid long, shingles array<long>").dropDuplicates(["tid"]), "shingles")
-    pairs = rows.select(F.explode(F.array(pair("lo"), pair("hi"))).alias("p")).select("p.*").where("a <> b").distinct()
-    found = staged(_confirmed(pairs, sets, similarity), "similar")
-    known = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    if not found.isEmpty():
-        roots = connected_components(known(roots).unionByName(found))
-    rows = rooted(rows.select("tid", "fp", "band"), roots)
-    rows = staged(mixed(rows).select("tid", "root", "band"), "mixed")
-    left, right = rows.select(F.col("tid").alias("x"), F.col("root").alias("a"), "band"), rows.select(F.col("tid").alias("y"), F.col("root").alias("b"), "band")
-    pairs = left.join(right, "band").where("a < b").select("x", "y", "a", "b").distinct()
-    found = staged(_confirmed(pairs, sets, similarity), "similar")
-    return roots if found.isEmpty() else connected_components(known(roots).unionByName(found))
+    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("tid", F.coalesce("root", "fp").alias("root"))
+    rows = staged(made.join(known, "tid").select("tid", "root", F.explode("bands").alias("band")), "bands")
+    ends = rows.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("tid").alias("leader")).where("least <> most")
+    mixed = staged(rows.join(ends, "band").select("tid", "root", "leader").distinct(), "mixed")
+    discard(rows)
+    families = connected_components(mixed.select(F.col("tid").alias("a"), F.col("leader").alias("b")))
+    member = mixed.select("tid", "root").distinct()
+    families = families.select(F.col("node").alias("tid"), F.col("root").alias("family"))
+    member = member.join(families, "tid", "left").withColumn("family", F.coalesce("family", "tid"))
+    sets = texts.join(member.select("tid"), "tid", "left_semi").mapInArrow(partial(_made, what="shingles"), "tid long, shingles array<long>").dropDuplicates(["tid"])
+    sets = staged(sets.join(member, "tid"), "shingles")
+    parts = F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(F.size("shingles")) / SHINGLES)).cast("int")
+    sizes = sets.groupBy("family").agg(parts.alias("parts"))
+    rows = sets.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("tid"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("family", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "root", "shingles")
+    rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    found = staged(rows.mapInArrow(partial(_compared, similarity=similarity), "a long, b long").distinct(), "similar")
+    discard(mixed, sets)
+    if found.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))

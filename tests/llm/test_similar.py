@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from loftline.llm import similar, simhash
 from loftline.llm.common import table
@@ -59,6 +61,22 @@ def test_stage_finds_similar_texts(spark, sf_dir):
     assert far > 10
 
 
+@pytest.mark.parametrize("size", [512, 7])
+def test_large_family(spark, monkeypatch, size):
+    """Copies of one text with many changes: some link, some don't; with parts of 7 texts each two parts meet."""
+    monkeypatch.setattr(similar, "TEXTS", size)
+    r = random.Random(8)
+    base, rows = [f"w{k}" for k in range(150)], []
+    for i in range(60):
+        words = list(base)
+        for at in r.sample(range(150), r.randrange(8)):
+            words[at] = f"c{i}"
+        rows.append((i, " ".join(words)))
+    got = simhash.near_duplicates(docs_of(spark, rows), similarity=0.8).where("kept").collect()
+    want = brute_kept(rows)
+    assert {x["doc_id"] for x in got} == want and 1 < len(want) < 50
+
+
 def test_bands_miss_no_similar_pair():
     rows = [(i, brute_shingles(t), set(similar.bands(similar.shingles(t.encode())).tolist())) for i, t in near_texts(80)]
     pairs = [(a, b) for k, a in enumerate(rows) for b in rows[k + 1 : k + 4] if jaccard(a[1], b[1]) >= 0.8]
