@@ -53,3 +53,19 @@ def moebius(spark, n: int, radius: float, width: float) -> DataFrame:
     half = F.col("side") * width / 2
     r = radius + half * F.cos(u / 2)
     return spark.range(n + 1).withColumn("side", F.explode(F.array(F.lit(-1.0), F.lit(1.0)))).select(F.col("id").alias("i"), "side", (r * F.cos(u)).alias("x"), (r * F.sin(u)).alias("y"), (half * F.sin(u / 2)).alias("z"))
+
+
+def phase_lines(df: DataFrame, phase: str, columns: list[str], time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
+    """A line for each flight and phase, as rows (flight, phase, place, columns) in order.
+
+    Where the phase was left and comes again the line breaks: a row of nulls comes between.
+    """
+    w = Window.partitionBy(flight).orderBy(time)
+    mine = Window.partitionBy(flight, phase)
+    rows = df.select(flight, phase, time, *columns).withColumn("_new", ~F.col(phase).eqNullSafe(F.lag(phase).over(w)))
+    rows = rows.withColumn("_break", F.col("_new") & (F.row_number().over(mine.orderBy(time)) > 1))
+    point = F.struct(F.lit(1).alias("_side"), *columns)
+    gap = F.struct(F.lit(0).alias("_side"), *(F.lit(None).cast(df.schema[c].dataType).alias(c) for c in columns))
+    points = F.when(F.col("_break"), F.array(gap, point)).otherwise(F.array(point))
+    rows = rows.select(flight, phase, time, F.inline(points))
+    return rows.select(flight, phase, F.row_number().over(mine.orderBy(time, "_side")).alias("place"), *columns)

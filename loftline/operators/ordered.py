@@ -115,11 +115,28 @@ def half_window(median_dt: Column, span: float = 2.0) -> Column:
 
 
 def rolling_median(df: DataFrame, column: str, out: str, half: int, flight: str = "flight_id", *order: str) -> DataFrame:
-    """Centred median over 2 * half + 1 rows; fewer at the ends.
+    """Centred median over 2 * half + 1 rows; fewer at the ends."""
+    return df.withColumn(out, F.percentile(column, F.lit(0.5)).over(by_time(flight, *order).rowsBetween(-half, half)))
+
+
+def rolling_medians(df: DataFrame, columns: dict[str, str], time: str, flight: str = "flight_id", span: float = 2.0, *order: str) -> DataFrame:
+    """Adds for each column -> name its centred median over the span, in rows of the flight's own median step.
 
-    Flights with other sampling rates need another half: split them by half_window() and unite the results.
+    A frame needs a fixed number of rows, so flights are split by that number, which takes a job to find; as there are
+    few sampling rates there are few parts.
     """
-    return df.withColumn(out, F.percentile(column, F.lit(0.5)).over(by_time(flight, *order).rowsBetween(-half, half)))
+    halves = median_interval(df, time, flight).select(flight, half_window(F.col("median_dt"), span).alias("_half"))
+    rows = df.join(halves, flight)
+    parts = []
+    for half in sorted(r["_half"] for r in halves.select("_half").distinct().collect()):
+        part = rows.where(F.col("_half") == half)
+        for column, out in columns.items():
+            part = rolling_median(part, column, out, half, flight, *(order or (time,)))
+        parts.append(part)
+    found = parts[0] if parts else rows.withColumns({out: F.col(c).cast("double") for c, out in columns.items()})
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.drop("_half")
 
 
 def brackets(left: DataFrame, right: DataFrame, time: str, values: list[str], flight: str = "flight_id", strict: bool = False) -> DataFrame:
@@ -163,6 +180,16 @@ def interpolate(left: DataFrame, right: DataFrame, time: str, values: list[str],
     return found.withColumns({v: at(v) for v in values}).drop("before", "after")
 
 
+def played(left: DataFrame, right: DataFrame, time: str, values: list[str], flight: str = "flight_id") -> DataFrame:
+    """left with the values of right as playback shows them: between the row before the time and the one at or after it,
+    held at the first and the last row; null for a flight without rows."""
+    found = brackets(left, right, time, values, flight, strict=True)
+    part = (F.col(time) - F.col("before.t")) / F.greatest(F.col("after.t") - F.col("before.t"), F.lit(1e-4))
+    between = lambda v: F.col(f"before.{v}") + part * (F.col(f"after.{v}") - F.col(f"before.{v}"))
+    at = {v: F.when(F.col("before").isNull(), F.col(f"after.{v}")).when(F.col("after").isNull(), F.col(f"before.{v}")).otherwise(between(v)) for v in values}
+    return found.withColumns(at).drop("before", "after")
+
+
 def align_by_position(left: DataFrame, right: DataFrame, time: str, values: list[str], flight: str = "flight_id") -> DataFrame:
     """left with the values of the row of right at the same position, for flights with equal counts in both."""
     w = Window.partitionBy(flight)

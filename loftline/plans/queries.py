@@ -15,7 +15,7 @@ from ..functions import fields, text
 from ..functions import flight as fl
 from ..operators import cleaning, geometry, ordered, phases, spline
 from ..schemas import PHASES
-from ..sources import igc
+from ..sources import gpmf, igc
 from . import flight as plan
 from . import sinks
 
@@ -339,7 +339,7 @@ def phase_transitions(spark, sf_dir):
 _SRT = "CASE WHEN {0} IS NULL THEN '' ELSE printf('%02d:%02d:%02d,%03d', CAST(floor(floor({0}) / 3600) AS BIGINT), CAST(floor({0}) AS BIGINT) % 3600 // 60, CAST(floor({0}) AS BIGINT) % 60, CAST(round_even(({0} - floor({0})) * 1000, 0) AS BIGINT)) END"
 
 
-@query(f"""WITH {_B} SELECT flight_id, string_agg(block || chr(10) || {_SRT.format('start_s')} || ' --> ' || {_SRT.format('end_s')} || chr(10) || event_type || chr(10), chr(10) ORDER BY block) AS srt FROM i GROUP BY flight_id""")
+@query(f"""WITH {_B} SELECT flight_id, string_agg(block || chr(10) || {_SRT.format('start_s')} || ' --> ' || {_SRT.format('end_s')} || chr(10) || event_type || ' until ' || {_SRT.format('end_s')} || chr(10), chr(10) ORDER BY block) AS srt FROM i GROUP BY flight_id""")
 def srt_text(spark, sf_dir):
     return sinks.subtitles(samples(spark, sf_dir), "event_type", "t")
 
@@ -428,12 +428,10 @@ def frame_dedup(spark, sf_dir):
 
 @query(f"""WITH {S}, v AS (SELECT * FROM s WHERE event_type = 'view'), c AS (SELECT event_id, flight_id, t FROM s WHERE event_type = 'click'), b AS (SELECT c.*, v.t AS bt, v.value AS bv FROM c ASOF LEFT JOIN v ON c.flight_id = v.flight_id AND c.t > v.t),
  a AS (SELECT b.*, v.t AS aft, v.value AS av FROM b ASOF LEFT JOIN v ON b.flight_id = v.flight_id AND b.t <= v.t)
-SELECT event_id, round(coalesce(bv, av) + (t - coalesce(bt, aft)) / greatest(coalesce(aft, bt) - coalesce(bt, aft), 1e-4) * (coalesce(av, bv) - coalesce(bv, av)), 5) AS value FROM a WHERE bt IS NOT NULL AND aft IS NOT NULL""")
+SELECT event_id, round(CASE WHEN bt IS NULL THEN av WHEN aft IS NULL THEN bv ELSE bv + (t - bt) / greatest(aft - bt, 1e-4) * (av - bv) END, 5) AS value FROM a""")
 def playback_lerp(spark, sf_dir):
     left, right = _two(spark, sf_dir)
-    found = ordered.brackets(left, right, "t", ["seen"], strict=True).where("before IS NOT NULL AND after IS NOT NULL")
-    part = (F.col("t") - F.col("before.t")) / F.greatest(F.col("after.t") - F.col("before.t"), F.lit(1e-4))
-    return found.select("event_id", r(F.col("before.seen") + part * (F.col("after.seen") - F.col("before.seen")), 5).alias("value"))
+    return ordered.played(left, right, "t", ["seen"]).select("event_id", r(F.col("seen"), 5).alias("value"))
 
 
 @query(f"""WITH {S} SELECT event_id, round(atan2(avg(sin(value)) OVER w, avg(cos(value)) OVER w), 4) AS value_mean, round(avg(k) OVER w, 4) AS k_mean FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""")
@@ -716,9 +714,9 @@ def spline_fit(spark, sf_dir):
 
 @query()
 def trajectory_60hz(spark, sf_dir):
-    """At one sample a second, as events are rare."""
+    """Sixty samples a second; an event's position in its flight stands in for its second."""
     rows = samples(spark, sf_dir).select("flight_id", F.col("n").cast("double").alias("timestamp_s"), F.col("value").alias("x_m"), F.col("k").cast("double").alias("y_m"), F.col("value").alias("z_m"), F.lit(1.0).alias("weight"), F.lit(PHASES[3]).alias("phase"))
-    return plan.trajectories(rows, fps=1.0, smoothing=(300.0, 300.0))
+    return plan.trajectories(rows)
 
 
 def _payloads(spark, sf_dir) -> DataFrame:
@@ -753,3 +751,36 @@ def gpmf_samples(spark, sf_dir):
 
     found = gpmf.samples(gpmf.parse_payloads(_payloads(spark, sf_dir)), "ACCL", ["x", "y", "z"])
     return found.select("flight_id", "payload", "i", r("timestamp_s").alias("timestamp_s"), r("x").alias("x"), r("y").alias("y"), r("z").alias("z"))
+
+
+@query(f"""WITH {S}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY flight_id ORDER BY t) AS dt FROM s),
+ h AS (SELECT flight_id, CAST(floor(greatest(3, round_even(400000 / CASE WHEN median(dt) < 1e-6 THEN 1.0 ELSE coalesce(median(dt), 1.0) END, 0)) / 2) AS BIGINT) AS half FROM d GROUP BY 1)
+SELECT event_id, round(median(value) OVER (PARTITION BY s.flight_id ORDER BY n ROWS BETWEEN half PRECEDING AND half FOLLOWING), 6) AS smooth FROM s JOIN h ON s.flight_id = h.flight_id""")
+def rolling_median_by_rate(spark, sf_dir):
+    return ordered.rolling_medians(samples(spark, sf_dir), {"value": "m"}, "t", "flight_id", 400000.0, "n").select("event_id", r("m").alias("smooth"))
+
+
+@query(f"""WITH {S}, x AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY flight_id ORDER BY n) AND row_number() OVER (PARTITION BY flight_id, event_type ORDER BY n) > 1 AS gap FROM s),
+ y AS (SELECT flight_id, event_type, n, 1 AS side, value, k FROM x UNION ALL SELECT flight_id, event_type, n, 0, NULL, NULL FROM x WHERE gap)
+SELECT flight_id, event_type, row_number() OVER (PARTITION BY flight_id, event_type ORDER BY n, side) AS place, value, CAST(k AS DOUBLE) AS k FROM y""")
+def phase_lines(spark, sf_dir):
+    return geometry.phase_lines(samples(spark, sf_dir), "event_type", ["value", "k"], "n").withColumns({"place": F.col("place").cast("long"), "k": F.col("k").cast("double")})
+
+
+@query(f"""WITH {S} SELECT flight_id, '{",".join(sinks.FRAME)}' || chr(10) || string_agg(printf('{",".join(sinks.FRAME.values())}', n, t, t + 1, value, CAST(k AS DOUBLE), value, value, value, value, value, value, value, value, value, value, value, value, event_type), chr(10) ORDER BY n) || chr(10) AS csv FROM s GROUP BY flight_id""")
+def frame_csv(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumns({"frame_id": F.col("n"), "timestamp_s": F.col("t"), "video_time_s": F.col("t") + 1, "y_m": F.col("k").cast("double"), "phase": F.col("event_type")})
+    return sinks.frame_csv(rows.withColumns({c: F.col("value") for c in sinks.FRAME if c not in rows.columns}))
+
+
+@query(f"""WITH {S} SELECT flight_id, ',event_id,k,event_type' || chr(10) || string_agg((n - 1) || ',' || event_id || ',' || coalesce(CAST(k AS VARCHAR), '') || ',' || event_type, chr(10) ORDER BY n) || chr(10) AS csv FROM s GROUP BY flight_id""")
+def indexed_csv(spark, sf_dir):
+    return sinks.indexed_csv(samples(spark, sf_dir), ["event_id", "k", "event_type"], "n")
+
+
+@query(f"""WITH {S}, d AS (SELECT flight_id, max(t) AS d FROM s GROUP BY 1) SELECT s.flight_id, event_type AS stream, count(*) AS n_samples, round(CASE WHEN d > 0 THEN count(*) / d END, 9) AS rate_hz FROM s JOIN d ON s.flight_id = d.flight_id GROUP BY s.flight_id, event_type, d""")
+def stream_rates(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    payloads = s.groupBy("flight_id", F.col("event_type").alias("stream"), F.floor(F.col("n") / 10).alias("payload")).agg(F.collect_list("value").alias("raw"))
+    found = gpmf.stream_rates(payloads, s.groupBy("flight_id").agg(F.max("t").alias("duration_s")))
+    return found.withColumn("rate_hz", r("rate_hz", 9))

@@ -20,10 +20,31 @@ def write_csv(df: DataFrame, path: str, order: tuple[str, ...]) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
+# Columns and formats of a frame file.
+FRAME = {
+    "frame_id": "%04d", "timestamp_s": "%.6f", "video_time_s": "%.6f", "x_m": "%.6f", "y_m": "%.6f", "z_m": "%.6f", "vx_ms": "%.6f", "vy_ms": "%.6f", "vz_ms": "%.6f", "v_mag_ms": "%.6f",
+    "ax_ms2": "%.6f", "ay_ms2": "%.6f", "az_ms2": "%.6f", "load_g": "%.4f", "yaw_rad": "%.6f", "pitch_rad": "%.6f", "roll_rad": "%.6f", "phase": "%s",
+}
+
+
+def frame_csv(frames: DataFrame, flight: str = "flight_id") -> DataFrame:
+    """frames: the columns of FRAME.  (flight, csv): a flight's frames as one file's text, in order of frame_id."""
+    line = F.format_string(",".join(FRAME.values()), *FRAME)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("frame_id", line.alias("line")))), lambda x: x["line"])
+    return frames.groupBy(flight).agg(F.concat(F.lit(",".join(FRAME) + "\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("csv"))
+
+
+def indexed_csv(df: DataFrame, columns: list[str], order: str, flight: str = "flight_id") -> DataFrame:
+    """(flight, csv): a flight's rows as one file's text; the first column has no name and counts from 0.  Nulls are empty."""
+    row = F.struct(order, F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)).alias("cells"))
+    lines = F.transform(F.array_sort(F.collect_list(row)), lambda x, i: F.concat(i.cast("string"), F.lit(","), F.array_join(x["cells"], ",")))
+    return df.groupBy(flight).agg(F.concat(F.lit(",".join(["", *columns]) + "\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("csv"))
+
+
 def subtitles(df: DataFrame, phase: str, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
     """(flight, srt): the phases of each flight as one subtitle text."""
     blocks = ordered.islands(df, phase, time, flight)
-    one = text.srt_block(F.col("block"), F.col("start_s"), F.col("end_s"), F.col(phase))
+    one = text.srt_block(F.col("block"), F.col("start_s"), F.col("end_s"), F.concat(F.col(phase), F.lit(" until "), text.srt_time(F.col("end_s"))))
     parts = F.array_sort(F.collect_list(F.struct("block", one.alias("srt"))))
     return blocks.groupBy(flight).agg(F.array_join(F.transform(parts, lambda p: p["srt"]), "\n").alias("srt"))
 

@@ -126,3 +126,13 @@ def read_settings(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["flight_id", "key", "type", "value"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "flight_id string, key string, type string, value string")
+
+
+def stream_rates(payloads: DataFrame, durations: DataFrame, flight: str = "flight_id") -> DataFrame:
+    """payloads (flight, stream, raw: an array of samples); durations (flight, duration_s).
+
+    (flight, stream, n_samples, rate_hz): over all payloads; no rate for a duration that is missing or not above 0.
+    """
+    counts = payloads.groupBy(flight, "stream").agg(F.sum(F.greatest(F.size("raw"), F.lit(0))).cast("long").alias("n_samples"))
+    rate = F.when(F.col("duration_s") > 0, F.col("n_samples") / F.col("duration_s"))
+    return counts.join(durations, flight, "left").select(flight, "stream", "n_samples", rate.alias("rate_hz"))
