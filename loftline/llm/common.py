@@ -13,6 +13,9 @@ WS = r"[\x20\x09-\x0D]"
 #: A word is a run of anything else.
 WORD = r"[^\x20\x09-\x0D]"
 
+#: Bytes of a row group of a staged table: what a task holds of it before it writes.
+GROUP = 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,7 +47,7 @@ def shared_path(spark: SparkSession, kind: str) -> str:
 def staged(df: DataFrame, kind: str = "stage") -> DataFrame:
     """Cuts the lineage: df as a Parquet table in the shared folder, so a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP).parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.staged_path = path
     return found
