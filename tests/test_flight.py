@@ -176,3 +176,24 @@ def test_camera_boxes():
     assert gpmf.find_atom(data, ("moov", "none")) is None
     assert gpmf.numbers("s", 6, struct.pack(">6h", 1, 2, 3, 4, 5, 6)) == [[1, 2, 3], [4, 5, 6]]
     assert gpmf.text(b"abc\0\0") == "abc"
+
+
+def test_banded_equations_equal_dense_ones():
+    import numpy as np
+
+    from loftline.operators import spline
+
+    r = np.random.default_rng(0)
+    for n in (1, 5, 33, 200):
+        rows = r.standard_normal((3 * n, 4))
+        first = r.integers(0, max(1, n - 3), 3 * n)
+        dense = np.zeros((3 * n, n + 4))
+        for i in range(4):
+            dense[np.arange(3 * n), first + i] = rows[:, i]
+        dense = dense[:, :n]
+        rows = np.where(first[:, None] + np.arange(4) < n, rows, 0)
+        band = spline._band(first, rows, n + 4)[:, :n]
+        full = dense.T @ dense + 0.1 * np.eye(n)
+        band[0] += 0.1
+        right = r.standard_normal((n, 2))
+        assert spline.solve_banded(band, right) == pytest.approx(np.linalg.solve(full, right), abs=1e-8)
