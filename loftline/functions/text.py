@@ -64,12 +64,12 @@ def flight_line(pilot: Column, glider: Column, registration: Column, day: Column
 
 
 def altitude_text(z: Column) -> Column:
-    """Whole metres, half to even, never below zero."""
-    return F.rint(F.greatest(z, F.lit(0.0))).cast("long").cast("string")
+    """Whole metres, half to even, never below zero; null stays null."""
+    return F.rint(F.when(z < 0, 0.0).otherwise(z)).cast("long").cast("string")
 
 
 def speed_text(v: Column, unit: str) -> Column:
-    return F.rint(F.greatest(v, F.lit(0.0)) * (3.6 if unit == "km/h" else 1.0)).cast("long").cast("string")
+    return F.rint(F.when(v < 0, 0.0).otherwise(v) * (3.6 if unit == "km/h" else 1.0)).cast("long").cast("string")
 
 
 def plain_number(x: Column, digits: int = 2) -> Column:
@@ -79,6 +79,6 @@ def plain_number(x: Column, digits: int = 2) -> Column:
 
 def speedup_text(speed: Column, rounded: bool) -> Column:
     """With marks for faster and slower than real time; rounded: to a power of two."""
-    value = F.pow(F.lit(2.0), F.rint(F.log2(F.greatest(speed, F.lit(0.001))))) if rounded else F.bround(speed, 2)
+    value = F.pow(F.lit(2.0), F.rint(F.log2(F.when(speed < 0.001, 0.001).otherwise(speed)))) if rounded else F.bround(speed, 2)
     mark = F.when(value > 1.05, "x >>").when(value < 0.95, "x <<").otherwise("x")
     return F.concat(plain_number(value, 10), mark)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geodesy import haversine
 from .ordered import by_time, step_rate, strictly_increasing
 
 #: Steps of more than so many metres a second are glitches; a missed climb is drawn with the other rate.
@@ -119,5 +120,53 @@ def without_spikes(df: DataFrame, value: str, most: float, time: str = "timestam
 
 def dropped_report(df: DataFrame, time: str, order: str, flight: str = "flight_id") -> DataFrame:
     """By flight: rows, and rows that strictly_increasing() drops."""
-    kept = strictly_increasing(df, time, order, flight).groupBy(flight).agg(F.count("*").alias("kept"))
-    return df.groupBy(flight).agg(F.count("*").alias("n_rows")).join(kept, flight).select(flight, "n_rows", (F.col("n_rows") - F.col("kept")).alias("dropped"))
+    w = by_time(flight, order).rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.select(flight, (F.col(time) <= F.max(time).over(w)).alias("_late"))
+    return marked.groupBy(flight).agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("_late"), 1)).alias("dropped"))
+
+
+def dropped_ranges(df: DataFrame, kept: str, speed: str, time: str, order: str, flight: str = "flight_id", ground_speed: float = 7.0, gap: float = 1.0) -> DataFrame:
+    """What a filter drops; kept is its verdict on each row, null counts as dropped.
+
+    (flight, n_rows, dropped, ground, in_flight, jitter, gaps): dropped rows under the ground speed and others, runs of
+    dropped rows that last no longer than `gap` seconds, and the longer runs as structs start_s, end_s in order.
+    """
+    rows = df.select(flight, F.col(order).alias("_o"), F.col(time).alias("_t"), F.col(speed).alias("_v"), (~F.coalesce(F.col(kept), F.lit(False))).alias("_out"))
+    w = by_time(flight, "_o")
+    first = F.col("_out") & ~F.coalesce(F.lag("_out").over(w), F.lit(False))
+    rows = rows.withColumn("_first", first.cast("long"))
+    rows = rows.withColumn("_run", F.when(F.col("_out"), F.sum("_first").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    runs = rows.groupBy(flight, "_run").agg(
+        F.count("*").alias("_n"), F.count(F.when(F.col("_v") < ground_speed, 1)).alias("_slow"), F.min_by("_t", "_o").alias("_a"), F.max_by("_t", "_o").alias("_z")
+    )
+    out, long = F.col("_run").isNotNull(), F.col("_z") - F.col("_a") > gap
+    total = lambda c: F.coalesce(F.sum(F.when(out, c)), F.lit(0)).cast("long")
+    ranges = F.array_sort(F.collect_list(F.when(out & long, F.struct(F.col("_a").alias("start_s"), F.col("_z").alias("end_s")))))
+    return runs.groupBy(flight).agg(
+        F.sum("_n").cast("long").alias("n_rows"), total(F.col("_n")).alias("dropped"), total(F.col("_slow")).alias("ground"), total(F.col("_n") - F.col("_slow")).alias("in_flight"),
+        F.count(F.when(out & ~F.coalesce(long, F.lit(False)), 1)).alias("jitter"), ranges.alias("gaps"),
+    )
+
+
+def precise_enough(df: DataFrame, dilution: str, most: float = 5.0) -> DataFrame:
+    """Rows whose dilution of precision isn't known or is at most so much."""
+    return df.where(F.col(dilution).isNull() | (F.col(dilution) <= most))
+
+
+def within_bounds(df: DataFrame, lat: str = "latitude", lon: str = "longitude", alt: str | None = "altitude_msl", highest: float = 20000.0) -> DataFrame:
+    """Rows on the globe and not above the highest altitude; without a latitude or longitude a row goes."""
+    inside = F.col(lat).between(-90, 90) & F.col(lon).between(-180, 180)
+    return df.where(inside if alt is None else inside & F.coalesce(F.col(alt) <= highest, F.lit(True)))
+
+
+def one_each_time(df: DataFrame, time: str, order: str, flight: str = "flight_id") -> DataFrame:
+    """The first row, by order, of each flight and time.  Rows come back in order of time within a flight."""
+    w = Window.partitionBy(flight, time).orderBy(order)
+    return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").sortWithinPartitions(flight, time)
+
+
+def with_ground_speed(df: DataFrame, lat: str, lon: str, speed: str, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
+    """Speeds that are null come from the way and the time since the row before; a first row's stays null."""
+    w = by_time(flight, time)
+    way = haversine(F.lag(lat).over(w), F.lag(lon).over(w), F.col(lat), F.col(lon))
+    return df.withColumn(speed, F.coalesce(F.col(speed), way / F.nullif(F.col(time) - F.lag(time).over(w), F.lit(0))))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flight as fl
+from ..schemas import PHASES
+from .ordered import every_seconds
+
+# Colours of the phases in plots, in the order of PHASES.
+COLOURS = ("gray", "orange", "red", "blue", "green", "purple", "brown")
 
 
 def directions(df: DataFrame, order: str, flight: str = "flight_id") -> DataFrame:
@@ -69,3 +74,40 @@ def phase_lines(df: DataFrame, phase: str, columns: list[str], time: str = "time
     points = F.when(F.col("_break"), F.array(gap, point)).otherwise(F.array(point))
     rows = rows.select(flight, phase, time, F.inline(points))
     return rows.select(flight, phase, F.row_number().over(mine.orderBy(time, "_side")).alias("place"), *columns)
+
+
+def travel_directions(df: DataFrame, order: str, flight: str = "flight_id") -> DataFrame:
+    """Adds dir_x, dir_y, dir_z in engine axes: along vx_ms, vy_ms, vz_ms; for points at rest the bisector of the ways
+    from the point before and to the next, at the ends the only way; east where there is none."""
+    w = Window.partitionBy(flight).orderBy(order)
+    here = {a: -F.col("y_m") if a == "y" else F.col(f"{a}_m") for a in "xyz"}
+    df = df.withColumns({f"_to_{a}": F.lead(c).over(w) - c for a, c in here.items()} | {f"_by_{a}": c - F.lag(c).over(w) for a, c in here.items()})
+    df = df.withColumns({f"_go_{a}": (-1 if a == "y" else 1) * F.coalesce(F.col(f"v{a}_ms"), F.lit(0.0)) for a in "xyz"})
+
+    def unit(kind: str, a: str) -> Column:
+        n = F.sqrt(sum((F.col(f"_{kind}_{b}") ** 2 for b in "xyz"), F.lit(0.0)))
+        return F.coalesce(F.when(n > 1e-4, F.col(f"_{kind}_{a}") / n), F.lit(0.0))
+
+    ways = df.withColumns({f"_u{kind}_{a}": unit(kind, a) for kind in ("to", "by") for a in "xyz"} | {f"_ugo_{a}": unit("go", a) for a in "xyz"})
+    moving = sum((F.col(f"_ugo_{a}") ** 2 for a in "xyz"), F.lit(0.0)) > 0
+    ways = ways.withColumns({f"_d_{a}": F.when(moving, F.col(f"_ugo_{a}")).otherwise(F.col(f"_uto_{a}") + F.col(f"_uby_{a}")) for a in "xyz"})
+    n = F.sqrt(sum((F.col(f"_d_{a}") ** 2 for a in "xyz"), F.lit(0.0)))
+    found = ways.withColumns({f"dir_{a}": F.when(n > 1e-4, F.col(f"_d_{a}") / F.nullif(n, F.lit(0.0))).otherwise(1.0 if a == "x" else 0.0) for a in "xyz"})
+    return found.drop(*(f"_{k}_{a}" for k in ("to", "by", "go", "uto", "uby", "ugo", "d") for a in "xyz"))
+
+
+def wings(df: DataFrame, span: float, seconds: float, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
+    """(flight, time, left_x ... right_z): both wing tips every so many seconds: 1 for the envelope, 5 for cross-bars."""
+    tips = fl.wing_tips(*(F.col(c) for c in ("x_m", "y_m", "z_m", "yaw_rad", "pitch_rad", "roll_rad")), span)
+    return every_seconds(df, seconds, time, flight).select(flight, time, *(c.alias(n) for n, c in tips.items()))
+
+
+def altitude_plot(df: DataFrame, phase: str = "phase_hmm", z: str = "z_m", time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
+    """(flight, time, z, phase, colour): the points of an altitude plot; phases without a colour are in the line only."""
+    colour = F.try_element_at(F.create_map(*(F.lit(x) for pair in zip(PHASES, COLOURS, strict=True) for x in pair)), F.col(phase))
+    return df.select(flight, time, z, phase, colour.alias("colour"))
+
+
+def material(source: Column) -> Column:
+    """The material of a trajectory's source; others have the one for unknown sources."""
+    return F.when(source.isin("IGC", "GPX", "GEOJSON"), source).otherwise("UNKNOWN")

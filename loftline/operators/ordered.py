@@ -211,6 +211,18 @@ def every_nth(df: DataFrame, n: int, time: str = "timestamp_s", flight: str = "f
     return df.withColumn("_n", F.row_number().over(by_time(flight, time))).where(F.pmod(F.col("_n") - 1, F.lit(n)) == 0).drop("_n")
 
 
+def every_seconds(df: DataFrame, seconds: float, time: str = "timestamp_s", flight: str = "flight_id", first: int = 1000) -> DataFrame:
+    """Every n-th row of each flight from its first; n is the interval by the median of the flight's first steps.
+
+    `first` rows give the median, as in every flight the rate is steady; n is 1 at least, halves round to even.
+    """
+    w = by_time(flight, time)
+    rows = df.withColumns({"_n": F.row_number().over(w), "_dt": F.col(time) - F.lag(time).over(w)})
+    step = F.percentile(F.when(F.col("_n") <= first, F.col("_dt")), F.lit(0.5)).over(Window.partitionBy(flight))
+    rows = rows.withColumn("_step", F.greatest(F.lit(1), F.coalesce(F.rint(seconds / F.nullif(step, F.lit(0.0))).cast("long"), F.lit(1))))
+    return rows.where(F.pmod(F.col("_n") - 1, F.col("_step")) == 0).drop("_n", "_dt", "_step")
+
+
 def stride_cap(df: DataFrame, most: int, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
     """At most `most` rows a flight, evenly spaced by rows."""
     w = Window.partitionBy(flight)
@@ -242,7 +254,35 @@ def smoothed_circle(df: DataFrame, angles: list[str], values: list[str], half: i
     return df.withColumns(added | {f"{v}_mean": F.avg(v).over(w) for v in values})
 
 
-def distinct_neighbours(df: DataFrame, value: str, flight: str, *order: str) -> DataFrame:
-    """Rows whose value differs from that of the row before."""
-    before = F.lag(value).over(by_time(flight, *order))
+def distinct_neighbours(df: DataFrame, value: str, flight: str, *order: str, skip_first: bool = False) -> DataFrame:
+    """Rows whose value differs from that of the row before.  skip_first: a flight's first row is as if it weren't there."""
+    w = by_time(flight, *order)
+    if skip_first:
+        df = df.withColumn("_n", F.row_number().over(w)).where("_n > 1").drop("_n")
+    before = F.lag(value).over(w)
     return df.withColumn("_same", F.col(value).eqNullSafe(before)).where("NOT _same OR _same IS NULL").drop("_same")
+
+
+def smoothed_on_grid(df: DataFrame, angles: list[str], values: list[str], half: int, seconds: float, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
+    """smoothed_circle(), of which the rows stay that are first in each `seconds` since the flight's first row."""
+    rows = smoothed_circle(df, angles, values, half, flight, time)
+    w = by_time(flight, time)
+    since = F.col(time) - F.first(time).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("_cell", F.floor(since / seconds + 1e-9))
+    return rows.withColumn("_new", ~F.col("_cell").eqNullSafe(F.lag("_cell").over(w))).where("_new").drop("_cell", "_new")
+
+
+def window_of_flight(df: DataFrame, speed: str, least: float, sustain: float, time: str = "timestamp_s", flight: str = "flight_id", *order: str) -> DataFrame:
+    """(flight, takeoff, landing): the start of the first run of at least `sustain` seconds at the least speed or more,
+    and the last time at it.  Rows without a speed count for neither; what isn't there is null."""
+    runs = islands(df.withColumn("_fast", F.col(speed) >= least), "_fast", time, flight, *order)
+    long = F.col("_fast") & (F.col("end_s") - F.col("start_s") >= sustain)
+    found = runs.groupBy(flight).agg(F.min(F.when(long, F.col("start_s"))).alias("takeoff"), F.max(F.when(F.col("_fast"), F.col("end_s"))).alias("landing"))
+    return df.select(flight).distinct().join(found, flight, "left")
+
+
+def within_window(df: DataFrame, windows: DataFrame, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
+    """Rows from takeoff to landing, both included; an end that is null is open."""
+    rows = df.join(windows.select(flight, "takeoff", "landing"), flight, "left")
+    inside = (F.col("takeoff").isNull() | (F.col(time) >= F.col("takeoff"))) & (F.col("landing").isNull() | (F.col(time) <= F.col("landing")))
+    return rows.where(inside).drop("takeoff", "landing")

@@ -15,7 +15,7 @@ from ..functions import fields, text
 from ..functions import flight as fl
 from ..operators import cleaning, geometry, ordered, phases, spline
 from ..schemas import PHASES
-from ..sources import gpmf, igc
+from ..sources import discovery, gpmf, igc
 from . import flight as plan
 from . import sinks
 
@@ -176,8 +176,32 @@ def spike_filter(spark, sf_dir):
 
 @query(f"WITH {S} SELECT event_id FROM s WHERE (event_type = 'error' OR k <= 5) AND value BETWEEN -90 AND 90")
 def quality_bounds_filter(spark, sf_dir):
-    hdop = F.when(F.col("event_type") != "error", F.col("k"))
-    return samples(spark, sf_dir).where((hdop.isNull() | (hdop <= 5)) & F.col("value").between(-90, 90)).select("event_id")
+    rows = samples(spark, sf_dir).withColumns({"hdop": F.when(F.col("event_type") != "error", F.col("k")), "longitude": F.lit(0.0)})
+    return cleaning.within_bounds(cleaning.precise_enough(rows, "hdop"), "value", "longitude", None).select("event_id")
+
+
+@query(f"""WITH {S}, d AS (SELECT *, floor(t / 86400) AS day, row_number() OVER (PARTITION BY flight_id, floor(t / 86400) ORDER BY n) AS i FROM s) SELECT event_id, CAST(day AS BIGINT) AS day FROM d WHERE i = 1""")
+def duplicate_times(spark, sf_dir):
+    return cleaning.one_each_time(samples(spark, sf_dir).withColumn("day", F.floor(F.col("t") / 86400)), "day", "n").select("event_id", "day")
+
+
+@query(f"""WITH {S}, q AS (SELECT event_id, flight_id, n, t, CASE WHEN event_type <> 'view' THEN value END AS v, radians(value / 10) AS la, radians(CAST(k AS DOUBLE)) AS lo, radians(lag(value / 10) OVER w) AS la0, radians(lag(CAST(k AS DOUBLE)) OVER w) AS lo0, t - lag(t) OVER w AS dt FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n))
+SELECT event_id, round(coalesce(v, 12742000.0::DOUBLE * asin(sqrt(least(1, power(sin((la - la0) / 2), 2) + cos(la0) * cos(la) * power(sin((lo - lo0) / 2), 2)))) / nullif(dt, 0)), 3) AS speed FROM q""")
+def ground_speeds(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumns({"speed": F.when(F.col("event_type") != "view", F.col("value")), "lat": F.col("value") / 10, "lon": F.col("k").cast("double"), "at": F.struct("t", "n")})
+    return cleaning.with_ground_speed(rows, "lat", "lon", "speed", "t").select("event_id", r("speed", 3).alias("speed"))
+
+
+@query(f"""WITH {S}, o AS (SELECT *, coalesce(event_type = 'view' AND k < 15, false) AS kept FROM s), c AS (SELECT *, CASE WHEN NOT kept AND coalesce(lag(kept) OVER (PARTITION BY flight_id ORDER BY n), true) THEN 1 ELSE 0 END AS c FROM o),
+ b AS (SELECT *, sum(c) OVER (PARTITION BY flight_id ORDER BY n) AS run FROM c), g AS (SELECT flight_id, run, count(*) AS m, count(*) FILTER (WHERE value < 7) AS slow, min(t) AS a, max(t) AS z FROM b WHERE NOT kept GROUP BY 1, 2),
+ d AS (SELECT flight_id, CAST(sum(m) AS BIGINT) AS dropped, CAST(sum(slow) AS BIGINT) AS ground, CAST(sum(m - slow) AS BIGINT) AS in_flight, CAST(count(*) FILTER (WHERE z - a <= 86400) AS BIGINT) AS jitter, CAST(count(*) FILTER (WHERE z - a > 86400) AS BIGINT) AS n_gaps, round(coalesce(sum(z - a) FILTER (WHERE z - a > 86400), 0), 3) AS gap_s FROM g GROUP BY 1)
+SELECT f.flight_id, n_rows, coalesce(dropped, 0) AS dropped, coalesce(ground, 0) AS ground, coalesce(in_flight, 0) AS in_flight, coalesce(jitter, 0) AS jitter, coalesce(n_gaps, 0) AS n_gaps, coalesce(gap_s, 0) AS gap_s
+FROM (SELECT flight_id, count(*) AS n_rows FROM s GROUP BY 1) f LEFT JOIN d ON f.flight_id = d.flight_id""")
+def dropped_ranges(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("kept", (F.col("event_type") == "view") & (F.col("k") < 15))
+    found = cleaning.dropped_ranges(rows, "kept", "value", "t", "n", gap=86400.0)
+    seconds = F.aggregate("gaps", F.lit(0.0), lambda a, g: a + (g["end_s"] - g["start_s"]))
+    return found.select("flight_id", "n_rows", "dropped", "ground", "in_flight", "jitter", F.size("gaps").cast("long").alias("n_gaps"), r(seconds, 3).alias("gap_s"))
 
 
 # Lookups and matching
@@ -186,7 +210,32 @@ def quality_bounds_filter(spark, sf_dir):
 @query("""SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def registry_join(spark, sf_dir):
     c, n, g = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
-    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(g, n["n_regionkey"] == g["r_regionkey"]).select("c_custkey", "n_name", "r_name")
+    rows = discovery.with_registry(c.withColumnRenamed("c_nationkey", "n_nationkey"), n, "n_nationkey").withColumnRenamed("n_regionkey", "r_regionkey")
+    return discovery.with_registry(rows, g, "r_regionkey").select("c_custkey", "n_name", "r_name")
+
+
+def _paths(spark, sf_dir) -> DataFrame:
+    """Paths of a made-up archive with a log for each customer and videos and tables for some."""
+    k = F.col("c_custkey")
+    tag = F.concat(F.lit("/archive/"), F.col("c_nationkey").cast("string"), F.lit("/f"), k.cast("string"))
+    names = F.array(F.concat(tag, F.lit("_note.yaml")), F.concat(tag, F.lit(".igc")), F.when(k % 3 == 0, F.concat(tag, F.lit(".mp4"))), F.when(k % 2 == 0, F.concat(tag, F.lit(".MP4"))), F.concat(tag, F.lit("_glider_"), (k % 7).cast("string"), F.lit(".csv")))
+    return table(spark, sf_dir, "customer").select(F.explode(F.filter(names, lambda x: x.isNotNull())).alias("path"))
+
+
+@query("""SELECT 'f' || c_custkey AS flight_uid, '/archive/' || c_nationkey || '/f' || c_custkey || '_note.yaml' AS record_path FROM customer""")
+def flight_records(spark, sf_dir):
+    return discovery.flight_records(_paths(spark, sf_dir), table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("flight_uid")))
+
+
+@query("""WITH c AS (SELECT 'f' || c_custkey AS flight_tag, '/archive/' || c_nationkey || '/f' || c_custkey AS base, c_custkey AS k FROM customer)
+SELECT flight_tag, CASE WHEN k % 3 = 0 THEN base || '.mp4' WHEN k % 2 = 0 THEN base || '.MP4' END AS video_path, base || '.igc' AS log_path FROM c""")
+def flight_media(spark, sf_dir):
+    return discovery.flight_media(_paths(spark, sf_dir), table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("flight_tag")))
+
+
+@query("SELECT 'f' || c_custkey AS sequence, 'glider_' || (c_custkey % 7) AS actor FROM customer")
+def sequence_actors(spark, sf_dir):
+    return discovery.sequence_actors(_paths(spark, sf_dir), table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("sequence")))
 
 
 _CODES = ("W", "S", "L", "N", "M", "X", "LH", "Q")
@@ -373,9 +422,14 @@ def gap_report(spark, sf_dir):
  i AS (SELECT flight_id, block, bool_and(value >= 20) AS fast, min(t) AS a, max(t) AS z FROM b GROUP BY 1, 2), f AS (SELECT flight_id, min(a) FILTER (WHERE fast AND z - a >= 43200) AS takeoff, max(z) FILTER (WHERE fast) AS landing FROM i GROUP BY 1)
 SELECT flight_id, round(takeoff, 3) AS takeoff, round(landing, 3) AS landing FROM f""")
 def flight_window(spark, sf_dir):
-    runs = ordered.islands(samples(spark, sf_dir).withColumn("fast", F.col("value") >= 20), "fast", "t", "flight_id", "n")
-    long = F.col("fast") & (F.col("end_s") - F.col("start_s") >= 43200)
-    return runs.groupBy("flight_id").agg(r(F.min(F.when(long, F.col("start_s"))), 3).alias("takeoff"), r(F.max(F.when(F.col("fast"), F.col("end_s"))), 3).alias("landing"))
+    found = ordered.window_of_flight(samples(spark, sf_dir), "value", 20.0, 43200.0, "t", "flight_id", "n")
+    return found.select("flight_id", r("takeoff", 3).alias("takeoff"), r("landing", 3).alias("landing"))
+
+
+@query(SQL["flight_window"].rsplit("SELECT", 1)[0] + "SELECT s.event_id FROM s JOIN f ON s.flight_id = f.flight_id WHERE (takeoff IS NULL OR t >= takeoff) AND (landing IS NULL OR t <= landing)")
+def window_prune(spark, sf_dir):
+    s = samples(spark, sf_dir)
+    return ordered.within_window(s, ordered.window_of_flight(s, "value", 20.0, 43200.0, "t", "flight_id", "n"), "t").select("event_id")
 
 
 # Resampling
@@ -404,6 +458,26 @@ def stride_cap(spark, sf_dir):
     return ordered.stride_cap(samples(spark, sf_dir), 20, "n").select("event_id")
 
 
+_STEP = f"""{S}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY flight_id ORDER BY t) AS dt FROM s), g AS (SELECT flight_id, greatest(1, coalesce(CAST(round_even(400000 / nullif(median(dt) FILTER (WHERE n <= 1000), 0), 0) AS BIGINT), 1)) AS step FROM d GROUP BY 1),
+ e AS (SELECT s.* FROM s JOIN g ON s.flight_id = g.flight_id WHERE (n - 1) % step = 0)"""
+
+
+@query(f"""WITH {_STEP}, q AS (SELECT *, value / 50 AS yaw, k / 100.0::DOUBLE AS pitch, value / 100 AS roll FROM e),
+ b AS (SELECT *, cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll) AS bx, sin(yaw) * sin(pitch) * sin(roll) + cos(yaw) * cos(roll) AS byy, cos(pitch) * sin(roll) AS bz FROM q)
+SELECT flight_id, round(t, 3) AS t, round(value + 7.5 * bx, 4) AS left_x, round(k + 7.5 * byy, 4) AS left_y, round(value + 7.5 * bz, 4) AS left_z, round(value - 7.5 * bx, 4) AS right_x, round(k - 7.5 * byy, 4) AS right_y, round(value - 7.5 * bz, 4) AS right_z FROM b""")
+def wing_envelope(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumns({"x_m": F.col("value"), "y_m": F.col("k").cast("double"), "z_m": F.col("value"), "yaw_rad": F.col("value") / 50, "pitch_rad": F.col("k") / 100.0, "roll_rad": F.col("value") / 100})
+    found = geometry.wings(rows, 15.0, 400000.0, "t")
+    return found.select("flight_id", r("t", 3).alias("t"), *(r(f"{s}_{a}", 4).alias(f"{s}_{a}") for s in ("left", "right") for a in "xyz"))
+
+
+@query(f"""WITH {S}, m AS (SELECT *, avg(value) OVER w AS vm, atan2(avg(sin(value)) OVER w, avg(cos(value)) OVER w) AS am, floor(t / 400000 + 1e-9) AS cell FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+ c AS (SELECT *, lag(cell) OVER (PARTITION BY flight_id ORDER BY t) AS before FROM m) SELECT event_id, round(vm, 5) AS value_mean, round(cos(am), 4) AS cos_mean FROM c WHERE before IS NULL OR cell <> before""")
+def smoothed_grid(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("angle", F.col("value"))
+    return ordered.smoothed_on_grid(rows, ["angle"], ["value"], 3, 400000.0, "t").select("event_id", r("value_mean", 5).alias("value_mean"), r(F.cos("angle_mean"), 4).alias("cos_mean"))
+
+
 _SPEEDUP = f"""{S}, q AS (SELECT *, (t - lag(t) OVER w) / nullif(CAST(k - lag(k) OVER w AS DOUBLE), 0) AS raw FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n)),
  f AS (SELECT *, first_value(raw IGNORE NULLS) OVER (PARTITION BY flight_id ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sp FROM q)"""
 
@@ -426,6 +500,12 @@ def frame_dedup(spark, sf_dir):
     return ordered.distinct_neighbours(rows, "frame", "flight_id", "n").select("event_id", "frame")
 
 
+@query(f"WITH {S}, q AS (SELECT event_id, CAST(k // 10 AS BIGINT) AS frame, lag(k // 10) OVER (PARTITION BY flight_id ORDER BY n) AS before FROM s WHERE n > 1) SELECT event_id, frame FROM q WHERE frame IS DISTINCT FROM before")
+def frame_export(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("frame", F.floor(F.col("k") / 10))
+    return ordered.distinct_neighbours(rows, "frame", "flight_id", "n", skip_first=True).select("event_id", "frame")
+
+
 @query(f"""WITH {S}, v AS (SELECT * FROM s WHERE event_type = 'view'), c AS (SELECT event_id, flight_id, t FROM s WHERE event_type = 'click'), b AS (SELECT c.*, v.t AS bt, v.value AS bv FROM c ASOF LEFT JOIN v ON c.flight_id = v.flight_id AND c.t > v.t),
  a AS (SELECT b.*, v.t AS aft, v.value AS av FROM b ASOF LEFT JOIN v ON b.flight_id = v.flight_id AND b.t <= v.t)
 SELECT event_id, round(CASE WHEN bt IS NULL THEN av WHEN aft IS NULL THEN bv ELSE bv + (t - bt) / greatest(aft - bt, 1e-4) * (av - bv) END, 5) AS value FROM a""")
@@ -544,6 +624,20 @@ def overlay_overview(spark, sf_dir):
     return samples(spark, sf_dir).select("event_id", F.concat(F.lit("value: "), F.format_string("%.3f", "value"), F.lit("\nk: "), F.col("k").cast("string")).alias("overview"))
 
 
+@query(f"""WITH {S}, q AS (SELECT event_id, value - 50 AS z, CASE WHEN event_type <> 'error' THEN value END AS v FROM s), o AS (SELECT event_id, unnest([0, 1, 2, 3]) AS i, unnest(['seq | Frame: ' || event_id, 'actor: a', 'z_m: ' || printf('%.3f', z), 'v_mag_ms: ' || coalesce(printf('%.3f', v), 'nan')]) AS text FROM q)
+SELECT event_id AS frame_id, 'overview' AS widget, CAST(50 AS INT) AS x, CAST(50 + 34 * i AS INT) AS y, text, CASE WHEN i = 0 THEN 'yellow' ELSE 'white' END AS colour FROM o
+UNION ALL SELECT event_id, 'alt', 384, 20, CAST(CAST(round_even(greatest(z, 0), 0) AS BIGINT) AS VARCHAR), 'white' FROM q
+UNION ALL SELECT event_id, 'speed', 100, 216, 'SPEED', 'white' FROM q WHERE v IS NOT NULL
+UNION ALL SELECT event_id, 'speed', 100, 241, CAST(CAST(round_even(v * 3.6::DOUBLE, 0) AS BIGINT) AS VARCHAR), 'white' FROM q WHERE v IS NOT NULL""")
+def overlay_commands(spark, sf_dir):
+    widgets = [
+        {"name": "alt", "type": "AltitudeOverlay", "x": "10%", "y": 20}, {"name": "speed", "type": "SpeedOverlay", "x": 100, "y": "10%", "title": "SPEED", "title_size": 20},
+        {"name": "clock", "type": "ClockOverlay", "x": 1, "y": 1}, {"name": "other", "type": "AltitudeOverlay", "x": 1, "y": 1},
+    ]
+    rows = samples(spark, sf_dir).select(F.col("event_id").alias("frame_id"), (F.col("value") - 50).alias("z_m"), F.when(F.col("event_type") != "error", F.col("value")).alias("v_mag_ms"))
+    return sinks.draw_commands(rows, widgets, only=["overview", "alt", "speed"], sequence="seq", actor="a", font=30)
+
+
 @query(f"WITH {S} SELECT event_id, CASE WHEN k % 2 = 0 THEN CAST(trunc(k / 100.0::DOUBLE * 3840) AS BIGINT) ELSE k END AS x FROM s")
 def coord_parse(spark, sf_dir):
     written = F.when(F.col("k") % 2 == 0, F.concat(F.col("k").cast("string"), F.lit("%"))).otherwise(F.col("k").cast("string"))
@@ -626,11 +720,14 @@ def banked_axes(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", *(r(c, 5).alias(c) for c in ("fx", "fy", "rx", "ry", "rz")))
 
 
-@query(f"WITH {_M} SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS norm FROM m")
+@query(SQL["banked_axes"].rsplit("SELECT", 1)[0] + """SELECT l_orderkey, l_linenumber, 1.0::DOUBLE AS norm, round(fx, 3) + 0 AS fx, round(fy, 3) + 0 AS fy, round(fz, 3) + 0 AS fz, round(rx * cos(-roll) + (0 - fz * ry) * sin(-roll) + fx * (fx * rx + fy * ry) * (1 - cos(-roll)), 3) + 0 AS rx FROM h""")
 def quaternion_norm(spark, sf_dir):
+    """The length of the quaternion of the banked axes, and what it turns the axes x and y into."""
     rows = fl.with_banked_axes(_motion(spark, sf_dir), *map(F.col, ("vx", "vy", "vz", "az")))
     rows = rows.withColumns(fl.quaternion([F.col(c) for c in ("fx", "fy", "fz")], [F.col(c) for c in ("rx", "ry", "rz")]))
-    return rows.select("l_orderkey", "l_linenumber", r(F.sqrt(F.col("qw") ** 2 + F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2), 4).alias("norm"))
+    w, x, y, z = (F.col(f"q{a}") for a in "wxyz")
+    turned = {"fx": 1 - 2 * (y**2 + z**2), "fy": 2 * (x * y + w * z), "fz": 2 * (x * z - w * y), "rx": 2 * (x * y - w * z)}
+    return rows.select("l_orderkey", "l_linenumber", r(F.sqrt(w**2 + x**2 + y**2 + z**2), 4).alias("norm"), *(r(c, 3).alias(n) for n, c in turned.items()))
 
 
 @query(f"""WITH {S}, q AS (SELECT event_id, (value - 2 * pi() * floor(value / (2 * pi()))) / 2 AS ha, k / 40.0::DOUBLE AS hb FROM s), d AS (SELECT *, abs(cos(ha - hb)) AS nd, CASE WHEN cos(ha - hb) < 0 THEN -1 ELSE 1 END AS sg FROM q), o AS (SELECT *, acos(least(nd, 1)) AS om FROM d),
@@ -760,6 +857,17 @@ def rolling_median_by_rate(spark, sf_dir):
     return ordered.rolling_medians(samples(spark, sf_dir), {"value": "m"}, "t", "flight_id", 400000.0, "n").select("event_id", r("m").alias("smooth"))
 
 
+@query(f"""WITH {S}, p AS (SELECT *, value AS x, -CAST(k AS DOUBLE) AS y, CASE WHEN k % 3 = 0 THEN 0 ELSE value - 40 END AS gx, CASE WHEN k % 3 = 0 THEN 0 ELSE 5 - CAST(k AS DOUBLE) END AS gy FROM s),
+ d AS (SELECT *, lead(x) OVER w - x AS tx, lead(y) OVER w - y AS ty, x - lag(x) OVER w AS bx, y - lag(y) OVER w AS byy FROM p WINDOW w AS (PARTITION BY flight_id ORDER BY n)),
+ u AS (SELECT *, sqrt(tx * tx + ty * ty) AS tn, sqrt(bx * bx + byy * byy) AS bn, sqrt(gx * gx + gy * gy) AS gn FROM d),
+ m AS (SELECT *, CASE WHEN gn > 1e-4 THEN gx / gn ELSE CASE WHEN tn > 1e-4 THEN tx / tn ELSE 0 END + CASE WHEN bn > 1e-4 THEN bx / bn ELSE 0 END END AS dx, CASE WHEN gn > 1e-4 THEN gy / gn ELSE CASE WHEN tn > 1e-4 THEN ty / tn ELSE 0 END + CASE WHEN bn > 1e-4 THEN byy / bn ELSE 0 END END AS dy FROM u)
+SELECT event_id, round(CASE WHEN sqrt(dx * dx + dy * dy) > 1e-4 THEN dx / sqrt(dx * dx + dy * dy) ELSE 1 END, 4) + 0 AS dir_x, round(CASE WHEN sqrt(dx * dx + dy * dy) > 1e-4 THEN dy / sqrt(dx * dx + dy * dy) ELSE 0 END, 4) + 0 AS dir_y FROM m""")
+def travel_directions(spark, sf_dir):
+    rest = F.col("k") % 3 == 0
+    rows = samples(spark, sf_dir).withColumns({"x_m": F.col("value"), "y_m": F.col("k").cast("double"), "z_m": F.lit(0.0), "vx_ms": F.when(rest, 0.0).otherwise(F.col("value") - 40), "vy_ms": F.when(rest, 0.0).otherwise(F.col("k") - 5.0), "vz_ms": F.lit(0.0)})
+    return geometry.travel_directions(rows, "n").select("event_id", r("dir_x", 4).alias("dir_x"), r("dir_y", 4).alias("dir_y"))
+
+
 @query(f"""WITH {S}, x AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY flight_id ORDER BY n) AND row_number() OVER (PARTITION BY flight_id, event_type ORDER BY n) > 1 AS gap FROM s),
  y AS (SELECT flight_id, event_type, n, 1 AS side, value, k FROM x UNION ALL SELECT flight_id, event_type, n, 0, NULL, NULL FROM x WHERE gap)
 SELECT flight_id, event_type, row_number() OVER (PARTITION BY flight_id, event_type ORDER BY n, side) AS place, value, CAST(k AS DOUBLE) AS k FROM y""")

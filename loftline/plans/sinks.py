@@ -63,21 +63,50 @@ def feature_collection(lines: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.to_json(body, {"pretty": "true"}).alias("geojson"))
 
 
-def draw_commands(frames: DataFrame, widgets: list[dict], width: int = 3840, height: int = 2160) -> DataFrame:
-    """One row for each frame and widget: frame_id, widget, x, y, text.  Unknown kinds of widget are skipped.
+def overview_lines(columns: dict[str, str], sequence: str, actor: str, font: int) -> Column:
+    """The overview's lines as structs x, y, text, colour: title, actor, then each column in order; fractions have three
+    digits, frame_id has no line of its own.  columns: names and types of the frame."""
 
-    widgets is configuration: dictionaries with name, type, x, y and, for speed, unit.
+    def shown(name: str, kind: str) -> Column:
+        value = F.format_string("%.3f", name) if kind in ("double", "float") else F.col(name).cast("string")
+        missing = "nan" if kind in ("double", "float") else "None"
+        return F.concat(F.lit(f"{name}: "), F.when(F.col(name).isNull(), missing).otherwise(F.regexp_replace(value, "NaN", "nan")))
+
+    title = F.concat(F.lit(f"{sequence} | Frame: "), F.col("frame_id").cast("string"))
+    texts = [title, F.lit(f"actor: {actor}"), *(shown(n, k) for n, k in columns.items() if n != "frame_id")]
+    line = lambda i, t: F.struct(F.lit(50).alias("x"), F.lit(50 + i * (font + 4)).alias("y"), t.alias("text"), F.lit("yellow" if i == 0 else "white").alias("colour"))
+    return F.array(*(line(i, t) for i, t in enumerate(texts)))
+
+
+def draw_commands(frames: DataFrame, widgets: list[dict], width: int = 3840, height: int = 2160, only: list[str] | None = None, sequence: str = "", actor: str = "", font: int = 40) -> DataFrame:
+    """A row for each text that is drawn: frame_id, widget, x, y, text, colour.
+
+    The widget `overview` is always there, besides those of the configuration: dictionaries with name, type, x, y and,
+    for speed, unit; with a title, that stands at (x, y) and the value title_size + 5 pixels under it.  Unknown types are
+    skipped; `only` names the widgets that are drawn; values that are null or NaN aren't.
     """
+    valid = lambda name: F.when(~F.isnan(F.col(name).try_cast("double")), F.col(name).try_cast("double"))
     texts = {
-        "AltitudeOverlay": lambda w: text.altitude_text(F.col("z_m")),
-        "SpeedOverlay": lambda w: text.speed_text(F.col("v_mag_ms"), w.get("unit", "km/h")),
-        "SpeedupOverlay": lambda w: text.speedup_text(F.col("speedup_raw"), w.get("round", False)),
+        "AltitudeOverlay": lambda w: text.altitude_text(valid("z_m")),
+        "SpeedOverlay": lambda w: text.speed_text(valid("v_mag_ms"), w.get("unit", "km/h")),
+        "SpeedupOverlay": lambda w: text.speedup_text(valid("speedup_raw"), w.get("round", False)),
     }
     size = {"x": width, "y": height}
+    shown = lambda name: only is None or name in only
+    one = lambda name, x, y, t, colour="white": F.struct(F.lit(name).alias("widget"), F.lit(x).alias("x"), F.lit(y).alias("y"), t.alias("text"), F.lit(colour).alias("colour"))
     commands = []
+    if shown("overview"):
+        lines = overview_lines(dict(frames.dtypes), sequence, actor, font)
+        commands.append(F.transform(lines, lambda c: F.struct(F.lit("overview").alias("widget"), c["x"].alias("x"), c["y"].alias("y"), c["text"].alias("text"), c["colour"].alias("colour"))))
     for w in widgets:
-        if w["type"] in texts:
-            place = {a: int(float(str(w[a])[:-1]) / 100 * size[a]) if str(w[a]).endswith("%") else int(w[a]) for a in "xy"}
-            commands.append(F.struct(F.lit(w["name"]).alias("widget"), F.lit(place["x"]).alias("x"), F.lit(place["y"]).alias("y"), texts[w["type"]](w).alias("text")))
-    rows = frames.select("frame_id", F.inline(F.array(*commands)))
-    return rows.where("text IS NOT NULL")
+        if w["type"] not in texts or not shown(w["name"]):
+            continue
+        x, y = (int(float(str(w[a])[:-1]) / 100 * size[a]) if str(w[a]).endswith("%") else int(w[a]) for a in "xy")
+        value = texts[w["type"]](w)
+        if w.get("title"):
+            commands.append(F.array(one(w["name"], x, y, F.when(value.isNotNull(), w["title"]))))
+            y += int(w.get("title_size", font)) + 5
+        commands.append(F.array(one(w["name"], x, y, value)))
+    if not commands:
+        raise ValueError("no widget is left to draw")
+    return frames.select("frame_id", F.inline(F.flatten(F.array(*commands)))).where("text IS NOT NULL")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields
+from . import video
 
 # Number types of the format, and the streams that are read.
 TYPES = {"b": "b", "B": "B", "s": "h", "S": "H", "l": "i", "L": "I", "f": "f", "d": "d", "J": "Q"}
@@ -40,6 +41,12 @@ def numbers(kind: str, size: int, data: bytes) -> list[list[float]]:
     return [[float(x) for x in flat[i : i + width]] for i in range(0, len(flat), width)]
 
 
+def number(kind: str, size: int, data: bytes) -> float | None:
+    """The first number of an item; none if it is empty or of an unknown type."""
+    rows = numbers(kind, size, data)
+    return rows[0][0] if rows and rows[0] else None
+
+
 def text(data: bytes) -> str:
     return data.decode("latin-1").rstrip("\0")
 
@@ -57,13 +64,13 @@ def streams(data: bytes) -> Iterator[dict]:
                 if name == "SCAL":
                     found["scale"] = [x for row in numbers(k, size, body) for x in row]
                 elif name == "STMP":
-                    found["stamp_us"] = numbers(k, size, body)[0][0]
+                    found["stamp_us"] = number(k, size, body)
                 elif name == "ORIN":
                     found["orientation"] = text(body)
                 elif name == "GPSU":
                     found["gps_clock"] = text(body)
                 elif name in ("GPSF", "GPSP"):
-                    found["gps_fix" if name == "GPSF" else "gps_precision"] = numbers(k, size, body)[0][0]
+                    found["gps_fix" if name == "GPSF" else "gps_precision"] = number(k, size, body)
                 elif name in STREAMS:
                     found["stream"], found["samples"] = name, numbers(k, size, body)
             if found["stream"]:
@@ -94,38 +101,41 @@ def samples(parsed: DataFrame, stream: str, names: list[str]) -> DataFrame:
     return rows.select("flight_id", "payload", "i", F.col("s.t").alias("timestamp_s"), *value, "gps_fix", "gps_dop")
 
 
-def find_atom(data: bytes, path: tuple[str, ...]) -> bytes | None:
-    """The content of a nested MP4 box."""
-    at = 0
-    while path and at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        head = 8
-        if size == 1:
-            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
-        if size < head:
-            return None
-        if kind.decode("latin-1") == path[0]:
-            content = data[at + head : at + size]
-            return content if len(path) == 1 else find_atom(content, path[1:])
-        at += size
-    return None
-
-
 def read_settings(spark: SparkSession, path: str) -> DataFrame:
-    """(flight_id, key, type, value): the camera's settings in moov/udta/GPMF of MP4 files."""
+    """(flight_id, key, type, value): the camera's settings in moov/udta/GPMF of MP4 files; only that box is read."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
-            for f in pdf.itertuples():
-                box = find_atom(bytes(f.content), ("moov", "udta", "GPMF")) or b""
+            for file in pdf.itertuples():
+                with video.opened(file.path) as f:
+                    place = video.inside(f, 0, file.length, "moov", "udta", "GPMF")
+                    box = video.bytes_at(f, place[1], place[2] - place[1]) if place else b""
                 nested = [(k, t, s, b) for key, kind, _, _, body in items(box) if key == "DEVC" and kind == "\0" for k, t, s, _, b in items(body)]
                 for k, t, s, b in nested or [(k, t, s, b) for k, t, s, _, b in items(box)]:
                     first = numbers(t, s, b)
-                    rows.append((f.path.rsplit("/", 1)[-1].rsplit(".", 1)[0], k, t, ".".join(f"{x:g}" for x in first[0]) if first else text(b)))
+                    rows.append((video.stem(file.path), k, t, ".".join(f"{x:g}" for x in first[0]) if first else text(b)))
             yield pd.DataFrame(rows, columns=["flight_id", "key", "type", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "flight_id string, key string, type string, value string")
+    return video.video_files(spark, path).mapInPandas(run, "flight_id string, key string, type string, value string")
+
+
+def gps_track(parsed: DataFrame) -> DataFrame:
+    """(flight_id, timestamp_s, gps_lat_deg, gps_lon_deg, gps_alt_m, gps_speed2d_ms, gps_speed3d_ms, gps_fix, gps_dop).
+
+    The camera's positions with the acceleration of the nearest moment, of two equally near ones the later.
+    """
+    from ..operators import ordered
+
+    gps = samples(parsed, "GPS5", ["gps_lat_deg", "gps_lon_deg", "gps_alt_m", "gps_speed2d_ms", "gps_speed3d_ms"]).drop("payload", "i")
+    pulls = [f"accl_{a}_ms2" for a in "xyz"]
+    return ordered.nearest(gps, samples(parsed, "ACCL", pulls), "timestamp_s", pulls).drop("matched_t")
+
+
+def first_clock(parsed: DataFrame) -> DataFrame:
+    """(flight_id, start): the clock of the first payload that has one, null without any."""
+    known = F.when(F.col("gps_clock").isNotNull(), F.struct("pts", "payload"))
+    return parsed.groupBy("flight_id").agg(fields.gps_clock(F.min_by("gps_clock", known)).alias("start"))
 
 
 def stream_rates(payloads: DataFrame, durations: DataFrame, flight: str = "flight_id") -> DataFrame:

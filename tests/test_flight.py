@@ -1,3 +1,4 @@
+import io
 import random
 from itertools import pairwise
 
@@ -9,7 +10,7 @@ from loftline.functions import geodesy
 from loftline.operators import cleaning, phases, spline
 from loftline.plans import flight, sinks
 from loftline.schemas import TRACK_SPEC, TRAJECTORY_COLUMNS, validate
-from loftline.sources import frames, gpmf, igc
+from loftline.sources import frames, gpmf, igc, video
 from loftline.streaming import phases as streaming
 
 
@@ -172,8 +173,12 @@ def test_camera_boxes():
 
     box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
     data = box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd", b"1234") + box(b"udta", box(b"GPMF", b"payload")))
-    assert gpmf.find_atom(data, ("moov", "udta", "GPMF")) == b"payload"
-    assert gpmf.find_atom(data, ("moov", "none")) is None
+    f = io.BytesIO(data)
+    _, a, z = video.inside(f, 0, len(data), "moov", "udta", "GPMF")
+    assert data[a:z] == b"payload" and video.inside(f, 0, len(data), "moov", "none") is None
+    wide = struct.pack(">I4sQ", 1, b"moov", 20) + b"1234" + struct.pack(">I4s", 0, b"mdat") + b"rest"
+    assert list(video.boxes(io.BytesIO(wide), 0, len(wide))) == [("moov", 16, 20)]
+    assert gpmf.number("?", 1, b"x") is None and gpmf.number("L", 4, b"") is None
     assert gpmf.numbers("s", 6, struct.pack(">6h", 1, 2, 3, 4, 5, 6)) == [[1, 2, 3], [4, 5, 6]]
     assert gpmf.text(b"abc\0\0") == "abc"
 
