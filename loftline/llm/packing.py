@@ -2,8 +2,8 @@
 
 All pieces of one length are interchangeable, and so are gaps of one size, so both are held as runs (size, number), in one
 table: at most `capacity` runs of pieces, and about as many of gaps, however many documents there are.  At first as
-many empty sequences are open as the tokens need at least.  In a round the runs are range-sorted by size, and every
-partition sweeps its range downward: a run of pieces takes its successor, the smallest gap that holds it, as often as
+many empty sequences are open as the tokens need at least.  In a round the runs are dealt to ranges of sizes, which are
+keys and so don't depend on Spark's partitions, and every range is swept downward: a run of pieces takes its successor, the smallest gap that holds it, as often as
 it fits.  Ranks settle conflicts: longer pieces come first, and the i-th piece of a run gets the i-th place of its gaps.
 A gap is updated where it is taken; if it still lies in the range, later pieces of the sweep see it, else it goes to the
 next round.  What has no gap waits for the next round too.  Each round has half as many ranges, so that ranges meet; if the
@@ -95,11 +95,14 @@ def sweep(runs: list[tuple[int, int, int, int]], capacity: int) -> list[tuple]:
 
 
 def _swept(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    rows = [x for b in batches for x in zip(*(b[c].to_pylist() for c in ("kind", "size", "start", "n")), strict=True)]
-    if rows:
-        names = [x.split()[0] for x in RUNS.split(", ")]
-        types = [pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        cols = zip(*sweep(rows, capacity), strict=True)
+    ranges: dict[int, list[tuple[int, int, int, int]]] = {}
+    for b in batches:
+        for key, *run in zip(*(b[c].to_pylist() for c in ("range", "kind", "size", "start", "n")), strict=True):
+            ranges.setdefault(key, []).append(tuple(run))
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    types = [pa.int8(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    for _, runs in sorted(ranges.items()):
+        cols = zip(*sweep(runs, capacity), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
@@ -117,7 +120,8 @@ def match(counts: DataFrame, capacity: int = CAPACITY, ranges: int = RANGES) ->
             runs = runs.unionByName(spark.range(1).select(F.lit(GAP).cast("byte").alias("kind"), F.lit(capacity).alias("size"), F.lit(opened).cast("long").alias("start"), F.lit(more).cast("long").alias("n")), allowMissingColumns=True)
             opened += more
         ranges = max(1, ranges // 2) if matches else ranges
-        found = staged(runs.repartitionByRange(ranges, F.desc("size")).mapInArrow(partial(_swept, capacity=capacity), RUNS), "sweep")
+        dealt = runs.withColumn("range", F.floor(F.col("size") * ranges / (capacity + 1)))
+        found = staged(dealt.repartition(ranges, "range").mapInArrow(partial(_swept, capacity=capacity), RUNS), "sweep")
         matches.append(found.where(F.col("kind") == MATCH))
         runs = found.where(F.col("kind") != MATCH)
         left = runs.where(F.col("kind") == PIECES).agg(F.sum(F.col("size") * F.col("n")).alias("tokens")).first()["tokens"]

@@ -657,3 +657,13 @@ def test_rounds_over_ranges(spark, ranges):
     plan = packing.match(spark.createDataFrame(list(runs.items()), "length int, n long"), 2048, ranges).collect()
     n, want = check_plan([tuple(x) for x in plan], runs, 2048), best_fit(runs.elements(), 2048)
     assert n <= want + want // 200
+
+
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    """More partitions than asked for, as some clusters set, leave the ranges as they are: the rounds end alike."""
+    counts = spark.createDataFrame([(k, 3 + k % 5) for k in range(1, 100, 3)], "length int, n long")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want = key(packing.match(counts, 100))
+    plain = type(counts).repartition
+    monkeypatch.setattr(type(counts), "repartition", lambda self, n, *by: plain(self, 13, *by))
+    assert key(packing.match(counts, 100)) == want
