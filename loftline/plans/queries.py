@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, text
 from ..functions import flight as fl
 from ..operators import cleaning, geometry, ordered, phases, spline
-from ..schemas import PHASES
+from ..schemas import PHASES, Spec, violations
 from ..sources import discovery, gpmf, igc
 from . import flight as plan
 from . import sinks
@@ -111,10 +111,13 @@ def gps_clocks(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", fields.gps_clock(F.when(k % 5 == 0, "no clock").otherwise(written)).alias("clock"))
 
 
-@query("""SELECT c_nationkey AS flight_id, count(*) AS n_rows, CAST(count(*) FILTER (WHERE c_custkey % 4 = 0) AS BIGINT) AS null_pilot, CAST(count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS BIGINT) AS enum_segment FROM customer GROUP BY 1""")
+@query("""SELECT c_nationkey AS flight_id, count(*) AS n_rows, CAST(count(*) FILTER (WHERE c_custkey % 4 = 0) AS BIGINT) AS null_pilot, CAST(count(*) FILTER (WHERE c_custkey % 7 = 0) AS BIGINT) AS null_weight, CAST(count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS BIGINT) AS enum_segment,
+ CAST(count(*) FILTER (WHERE NOT regexp_matches(c_name, '[0-6]$')) AS BIGINT) AS pattern_tag FROM customer GROUP BY 1""")
 def validation_counts(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").withColumn("pilot", fields.not_nil(F.when(F.col("c_custkey") % 4 == 0, "nil").otherwise(F.col("c_name"))))
-    return c.groupBy(F.col("c_nationkey").alias("flight_id")).agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("pilot").isNull(), 1)).alias("null_pilot"), F.count(F.when(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), 1)).alias("enum_segment"))
+    k = F.col("c_custkey")
+    pilot = fields.not_nil(F.when(k % 4 == 0, "nil").otherwise(F.col("c_name")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("flight_id"), pilot.alias("pilot"), F.when(k % 7 == 0, float("nan")).otherwise(1.0).alias("weight"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("tag"))
+    return violations(rows, Spec(required=("pilot", "weight"), enums={"segment": ("BUILDING", "MACHINERY")}, patterns={"tag": "[0-6]$"}), by_flight=True)
 
 
 # Cleaning
@@ -153,7 +156,17 @@ def drop_gap_repair(spark, sf_dir):
     return cleaning.bridge_drops(rows, "value").select("flight_id", "n", "repaired", r("value_repaired", 7).alias("value_repaired"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, a AS (SELECT flight_id, n, CAST(trunc(value) AS BIGINT) AS v, CAST(trunc(value) AS BIGINT) - lag(CAST(trunc(value) AS BIGINT)) OVER (PARTITION BY flight_id ORDER BY n) AS d FROM s),
+ g AS (SELECT flight_id, list(v ORDER BY n) AS vals, list_transform(list(v ORDER BY n), lambda x: 1.0::DOUBLE) AS weights, coalesce(list(n ORDER BY n) FILTER (WHERE abs(d) > 30), []) AS evs, coalesce(list(d > 0 ORDER BY n) FILTER (WHERE abs(d) > 30), []) AS up, count(*) AS m FROM a GROUP BY 1),
+ q AS (SELECT flight_id, CAST(1 AS BIGINT) AS k, vals, weights, evs, up, m FROM g
+  UNION ALL SELECT flight_id, CASE WHEN NOT rising AND closes > 0 THEN k + closes + 1 ELSE k + 1 END,
+   CASE WHEN lo IS NULL THEN vals ELSE list_transform(vals, lambda x, i: CASE WHEN i >= lo AND i < hi THEN CAST(trunc(va + (i - since) * (vb - va) / span) AS BIGINT) ELSE x END) END,
+   CASE WHEN lo IS NULL THEN weights ELSE list_transform(weights, lambda x, i: CASE WHEN i >= lo AND i < hi THEN 0.01::DOUBLE ELSE x END) END, evs, up, m
+  FROM (SELECT *, CASE WHEN rising THEN e - span WHEN closes > 0 THEN e END AS lo, CASE WHEN rising THEN e ELSE evs[k + closes] END AS hi, CASE WHEN rising THEN e - span ELSE e - 1 END AS since, vals[e - 1] AS va, vals[CASE WHEN rising THEN e ELSE evs[k + closes] END] AS vb
+   FROM (SELECT *, CASE WHEN rising THEN greatest(1.0::DOUBLE, (vals[e] - vals[e - 1]) / 10.0::DOUBLE) ELSE evs[k + closes] - (e - 1) END AS span
+    FROM (SELECT *, evs[k] AS e, up[k] AS rising, coalesce(list_position(up[k + 1:], true), 0) AS closes FROM q WHERE k <= len(evs) AND m >= 3) x) y) z),
+ l AS (SELECT flight_id, arg_max(vals, k) AS vals, arg_max(weights, k) AS weights FROM q GROUP BY 1)
+SELECT flight_id, CAST(i AS DOUBLE) AS timestamp_s, vals[i] AS alt_gps_m, weights[i] AS weight FROM (SELECT *, unnest(range(1, len(vals) + 1)) AS i FROM l)""")
 def altitude_repair(spark, sf_dir):
     rows = samples(spark, sf_dir).select("flight_id", F.col("n").cast("double").alias("timestamp_s"), F.col("value").cast("long").alias("alt_gps_m"), F.lit(1.0).alias("weight"))
     return cleaning.repair_altitude(rows)
@@ -388,7 +401,7 @@ def phase_transitions(spark, sf_dir):
 _SRT = "CASE WHEN {0} IS NULL THEN '' ELSE printf('%02d:%02d:%02d,%03d', CAST(floor(floor({0}) / 3600) AS BIGINT), CAST(floor({0}) AS BIGINT) % 3600 // 60, CAST(floor({0}) AS BIGINT) % 60, CAST(round_even(({0} - floor({0})) * 1000, 0) AS BIGINT)) END"
 
 
-@query(f"""WITH {_B} SELECT flight_id, string_agg(block || chr(10) || {_SRT.format('start_s')} || ' --> ' || {_SRT.format('end_s')} || chr(10) || event_type || ' until ' || {_SRT.format('end_s')} || chr(10), chr(10) ORDER BY block) AS srt FROM i GROUP BY flight_id""")
+@query(f"""WITH {_B} SELECT flight_id, string_agg(block || chr(10) || {_SRT.format('start_s')} || ' --> ' || {_SRT.format('end_s')} || chr(10) || event_type || ' until ' || {_SRT.format('end_s')} || chr(10) || chr(10), '' ORDER BY block) AS srt FROM i GROUP BY flight_id""")
 def srt_text(spark, sf_dir):
     return sinks.subtitles(samples(spark, sf_dir), "event_type", "t")
 
@@ -562,7 +575,19 @@ def hmm_emissions(spark, sf_dir):
     return _features(spark, sf_dir).select("event_id", *(r(x, 5).alias(f"b{k}") for k, x in enumerate(logs)))
 
 
-@query()
+def _viterbi_sql() -> str:
+    rows = [[f"{x!r}::DOUBLE" if x > float("-inf") else "'-infinity'::DOUBLE" for x in row] for row in phases.log_transitions().T.tolist()]
+    paths = lambda j: "[" + ", ".join(f"f.sc[{i + 1}] + {a}" for i, a in enumerate(rows[j])) + "]"
+    return f"""WITH RECURSIVE {S}, e AS (SELECT flight_id, n, t / 36000 AS h, [{", ".join(_emission_sql(k).removeprefix("round(").split(", 5) AS")[0] for k in range(7))}] AS b FROM s),
+ f AS (SELECT flight_id, n, list_transform(b, lambda x: x - ln(7.0::DOUBLE)) AS sc, [CAST(0 AS INTEGER)] AS back FROM e WHERE n = 1
+  UNION ALL SELECT e.flight_id, e.n, [{", ".join(f"list_max({paths(j)}) + e.b[{j + 1}]" for j in range(7))}], [{", ".join(f"list_position({paths(j)}, list_max({paths(j)}))" for j in range(7))}] FROM f JOIN e ON e.flight_id = f.flight_id AND e.n = f.n + 1),
+ m AS (SELECT flight_id, max(n) AS n FROM f GROUP BY 1),
+ p AS (SELECT f.flight_id, f.n, list_position(sc, list_max(sc)) AS st FROM f JOIN m ON m.flight_id = f.flight_id AND m.n = f.n
+  UNION ALL SELECT p.flight_id, p.n - 1, f.back[p.st] FROM p JOIN f ON f.flight_id = p.flight_id AND f.n = p.n WHERE p.n > 1)
+SELECT p.flight_id, h, list_extract({list(PHASES)}, st) AS phase_hmm FROM p JOIN e ON e.flight_id = p.flight_id AND e.n = p.n"""
+
+
+@query(_viterbi_sql())
 def hmm_viterbi(spark, sf_dir):
     return phases.decode_phases(_features(spark, sf_dir), "h", "v", "vz", "agl", "w")
 
@@ -797,10 +822,12 @@ def projection_round_trip(spark, sf_dir):
     return back.select("event_id", r("lat_deg", 7).alias("lat_deg"), r("lon_deg", 7).alias("lon_deg"))
 
 
-@query()
+@query(f"""WITH {S}, c AS (SELECT *, count(*) OVER (PARTITION BY flight_id) AS m FROM s), k AS (SELECT o, exp(-0.5 * (o / 1.5::DOUBLE) ** 2) AS w FROM (SELECT unnest(range(-6, 7)) AS o)), w AS (SELECT o, w / sum(w) OVER () AS w FROM k),
+ p AS (SELECT flight_id, n, w, ((n - 1 + o) % (2 * m) + 2 * m) % (2 * m) AS a, m FROM c, w)
+SELECT p.flight_id, CAST(p.n AS DOUBLE) AS i, round(sum(w * value), 7) AS value FROM p JOIN s ON s.flight_id = p.flight_id AND s.n = CASE WHEN a < m THEN a + 1 ELSE 2 * m - a END GROUP BY 1, 2""")
 def gaussian_smooth(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumn("i", F.col("n").cast("double"))
-    return spline.smooth(rows, ["value"], 1.5, "i")
+    return spline.smooth(rows, ["value"], 1.5, "i").withColumn("value", r("value", 7))
 
 
 @query()
@@ -809,6 +836,48 @@ def spline_fit(spark, sf_dir):
     return spline.fit_splines(rows, ["value", "y"], 5, 500.0, "i")
 
 
+@query(f"WITH {S} SELECT flight_id, count(*) AS n_rows, count(*) AS n_finite, true AS close_enough, true AS smooth_enough FROM s GROUP BY 1")
+def spline_target(spark, sf_dir):
+    """The trajectories' splines at their own rows: the weighted sum of squares is at most s, and no less than need be.
+
+    smooth_enough: it is s, if the straight line through the flight leaves more than that.
+    """
+    rows = samples(spark, sf_dir).withColumns({"i": F.col("n").cast("double"), "y": F.col("k").cast("double")})
+    fits = spline.fit_splines(rows, ["value", "y"], 5, 0.5, "i")
+    found = spline.evaluate_splines(rows.select("flight_id", "i", "value", "y"), fits, ["fx", "fy"], "i")
+    error = F.sum((F.col("fx") - F.col("value")) ** 2 + (F.col("fy") - F.col("y")) ** 2)
+    finite = F.count(F.when(~F.isnan("fx") & ~F.isnan("fy"), 1))
+    line = F.regr_syy("value", "i") * (1 - F.coalesce(F.regr_r2("value", "i"), F.lit(1.0))) + F.regr_syy("y", "i") * (1 - F.coalesce(F.regr_r2("y", "i"), F.lit(1.0)))
+    s = F.count("*") * 0.5
+    # Through six rows or fewer the polynomial alone is exact.
+    smooth = (error >= 0.998 * s) | (F.count("*") <= 6) | (line <= s)
+    return found.groupBy("flight_id").agg(F.count("*").alias("n_rows"), finite.alias("n_finite"), (error <= 1.001 * s).alias("close_enough"), smooth.alias("smooth_enough"))
+
+
+@query(f"""WITH {S} SELECT event_id, round(value, 5) AS at_row, round(value + coalesce(0.25 * (lead(value) OVER w - value), 0.25 * (value - lag(value) OVER w), 0), 5) AS later, round(coalesce(lead(value) OVER w - value, value - lag(value) OVER w, 0), 5) AS slope FROM s WINDOW w AS (PARTITION BY flight_id ORDER BY n)""")
+def spline_values(spark, sf_dir):
+    """Splines without smoothing: of degree 5 at their rows; straight ones a quarter of a second later, and their slope."""
+    rows = samples(spark, sf_dir).select("event_id", "flight_id", "value", F.col("n").cast("double").alias("i"))
+    exact, straight = (spline.fit_splines(rows, ["value"], k, 0.0, "i") for k in (5, 1))
+    rows = rows.drop("value").withColumn("later_i", F.col("i") + 0.25)
+    found = spline.evaluate_splines(rows, exact, ["at_row"], "i")
+    found = spline.evaluate_splines(spline.evaluate_splines(found, straight, ["later"], "later_i"), straight, ["slope"], "i", derivative=1)
+    return found.select("event_id", r("at_row", 5).alias("at_row"), r("later", 5).alias("later"), r("slope", 5).alias("slope"))
+
+
+@query(f"""WITH {S} SELECT flight_id, 60 * (count(*) - 1) AS n_samples, 1.0::DOUBLE AS first_s, round(count(*) - 1 / 60.0::DOUBLE, 6) AS last_s, 60 * (count(*) - 1) AS n_finite, 60 * (count(*) - 1) AS n_consistent, 60 * (count(*) - 1) AS n_near FROM s GROUP BY 1 HAVING count(*) > 1""")
+def trajectory_samples(spark, sf_dir):
+    """trajectory_60hz by flight: samples, and how many of them are finite, have a speed that fits the velocity, and a next
+    position where velocity and acceleration lead."""
+    rows = trajectory_60hz(spark, sf_dir)
+    w = Window.partitionBy("flight_id").orderBy("timestamp_s")
+    ahead = F.lead("x_m").over(w) - (F.col("x_m") + F.col("vx_ms") / 60 + F.col("ax_ms2") / 7200)
+    rows = rows.withColumn("_near", F.coalesce(F.abs(ahead) <= 0.01 + 0.02 * (F.abs("vx_ms") + F.abs("ax_ms2")) / 60, F.lit(True)))
+    finite = sum((F.when(F.isnan(c) | F.col(c).isNull() | (F.abs(c) > 1e6), 1).otherwise(0) for c in ("x_m", "y_m", "z_m", "vx_ms", "az_ms2", "load_g", "yaw_rad", "pitch_rad", "roll_rad")), F.lit(0)) == 0
+    fits = F.abs(F.col("v_mag_ms") ** 2 - F.col("vx_ms") ** 2 - F.col("vy_ms") ** 2 - F.col("vz_ms") ** 2) <= 1e-6 * (1 + F.col("v_mag_ms") ** 2)
+    return rows.groupBy("flight_id").agg(F.count("*").alias("n_samples"), F.min("timestamp_s").alias("first_s"), r(F.max("timestamp_s")).alias("last_s"), *(F.count(F.when(c, 1)).alias(n) for n, c in (("n_finite", finite), ("n_consistent", fits), ("n_near", F.col("_near")))))
+
+
 @query()
 def trajectory_60hz(spark, sf_dir):
     """Sixty samples a second; an event's position in its flight stands in for its second."""

@@ -42,11 +42,11 @@ def indexed_csv(df: DataFrame, columns: list[str], order: str, flight: str = "fl
 
 
 def subtitles(df: DataFrame, phase: str, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
-    """(flight, srt): the phases of each flight as one subtitle text."""
+    """(flight, srt): the phases of each flight as one subtitle text; an empty line ends each block."""
     blocks = ordered.islands(df, phase, time, flight)
     one = text.srt_block(F.col("block"), F.col("start_s"), F.col("end_s"), F.concat(F.col(phase), F.lit(" until "), text.srt_time(F.col("end_s"))))
     parts = F.array_sort(F.collect_list(F.struct("block", one.alias("srt"))))
-    return blocks.groupBy(flight).agg(F.array_join(F.transform(parts, lambda p: p["srt"]), "\n").alias("srt"))
+    return blocks.groupBy(flight).agg(F.array_join(F.transform(parts, lambda p: F.concat(p["srt"], F.lit("\n"))), "").alias("srt"))
 
 
 def feature(coordinates: Column, name: Column, stroke: Column | None = None) -> Column:

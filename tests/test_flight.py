@@ -1,15 +1,18 @@
 import io
 import random
+import time
 from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loftline.functions import geodesy
 from loftline.operators import cleaning, phases, spline
 from loftline.plans import flight, sinks
-from loftline.schemas import TRACK_SPEC, TRAJECTORY_COLUMNS, validate
+from loftline.schemas import TRACK_SPEC, TRAJECTORY_COLUMNS, TRAJECTORY_SPEC, asserted, validate
 from loftline.sources import frames, gpmf, igc, video
 from loftline.streaming import phases as streaming
 
@@ -183,22 +186,106 @@ def test_camera_boxes():
     assert gpmf.text(b"abc\0\0") == "abc"
 
 
-def test_banded_equations_equal_dense_ones():
-    import numpy as np
+def dense_rows(t, w, knots, k):
+    at, b = spline.basis(t, knots, k)
+    rows = np.zeros((len(t), len(knots) - k - 1))
+    for i in range(k + 1):
+        rows[np.arange(len(t)), at - k + i] = b[:, i]
+    return rows * w[:, None]
 
-    from loftline.operators import spline
 
+def test_banded_factorisation_equals_dense_least_squares():
     r = np.random.default_rng(0)
-    for n in (1, 5, 33, 200):
-        rows = r.standard_normal((3 * n, 4))
-        first = r.integers(0, max(1, n - 3), 3 * n)
-        dense = np.zeros((3 * n, n + 4))
-        for i in range(4):
-            dense[np.arange(3 * n), first + i] = rows[:, i]
-        dense = dense[:, :n]
-        rows = np.where(first[:, None] + np.arange(4) < n, rows, 0)
-        band = spline._band(first, rows, n + 4)[:, :n]
-        full = dense.T @ dense + 0.1 * np.eye(n)
-        band[0] += 0.1
-        right = r.standard_normal((n, 2))
-        assert spline.solve_banded(band, right) == pytest.approx(np.linalg.solve(full, right), abs=1e-8)
+    for n, step, size in ((40, 3, 64), (200, 3, 16), (200, 2, 7), (150, 40, 16)):
+        t, w = np.cumsum(r.exponential(1, n)), r.uniform(0.5, 2, n)
+        y = r.standard_normal((n, 2))
+        knots = spline._knots(t, t[5 : n - 5 : step], 5)
+        at, b = spline.basis(t, knots, 5)
+        band = spline.factored(at - 5, b * w[:, None], y * w[:, None], len(knots) - 6, size)
+        want, rest = np.linalg.lstsq(dense_rows(t, w, knots, 5), y * w[:, None], rcond=None)[:2]
+        got = band.solve()
+        assert band.regular() and got == pytest.approx(want, abs=1e-7)
+        assert band.misfit(got) == pytest.approx(rest, rel=1e-8, abs=1e-12)
+        assert band.misfit(got + 0.1) == pytest.approx(((dense_rows(t, w, knots, 5) @ (got + 0.1) - y * w[:, None]) ** 2).sum(0))
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.integers(1, 100), st.integers(0, 2**31), st.sampled_from(["walk", "noise", "gaps", "weights", "far"]), st.sampled_from([(5, 0.5), (3, 1.0), (4, 0.01), (5, 500.0), (5, 0.0), (1, 0.1)]))
+def test_splines_reach_their_target(n, seed, kind, how):
+    r, (k, each) = np.random.default_rng(seed), how
+    t = np.arange(n, dtype=float) if kind == "walk" else np.cumsum(r.exponential(1, n) + 1e-3)
+    if kind == "gaps":
+        t = np.cumsum(np.where(r.random(n) < 0.1, 1000.0, 1.0) * r.random(n) + 1e-4)
+    y = np.cumsum(r.normal(size=(n, 2)), 0) if kind in ("walk", "gaps") else r.random((n, 2)) * 100 + (1e7 if kind == "far" else 0)
+    w = np.where(r.random(n) < 0.2, 0.01, 1.0) if kind == "weights" else np.ones(n)
+    knots, c, degree = spline.fit(t, y, w, k, each * n)
+    left = (((spline.evaluate(t, knots, c, degree) - y) * w[:, None]) ** 2).sum()
+    assert np.isfinite(c).all() and left <= 1.001 * each * n + 1e-11 * (y**2).sum()
+    assert (np.diff(knots) >= 0).all() and len(knots) == len(c) + degree + 1
+
+
+def test_smoothest_of_the_close_ones():
+    """With s between the polynomial's and no residual the sum is s, and dense equations with that penalty agree."""
+    r = np.random.default_rng(4)
+    t, y = np.arange(60.0), r.random((60, 1)) * 10
+    knots, c, k = spline.fit(t, y, np.ones(60), 3, 200.0)
+    rows = dense_rows(t, np.ones(60), knots, k)
+    assert ((rows @ c - y) ** 2).sum() == pytest.approx(200.0, rel=1.1e-3)
+    d = np.zeros((len(knots) - 2 * k - 2, len(c)))
+    jumps = spline._jumps(knots, k)
+    for i, x in enumerate(jumps):
+        d[i, i : i + k + 2] = x
+    # At the optimum the residuals' gradient is a multiple of the jumps'.
+    pull, bend = rows.T @ (y - rows @ c), d.T @ (d @ c)
+    assert np.abs(pull - bend * (pull * bend).sum() / (bend**2).sum()).max() < 1e-5 * np.abs(pull).max()
+
+
+def test_long_flight_in_seconds():
+    t = np.arange(20_000.0)
+    y = np.random.default_rng(1).random((20_000, 2)) * 100
+    began = time.process_time()
+    knots, c, k = spline.fit(t, y, np.ones(20_000), 5, 10_000.0)
+    assert time.process_time() - began < 30
+    assert ((spline.evaluate(t, knots, c, k) - y) ** 2).sum() == pytest.approx(10_000, rel=2e-3)
+
+
+def test_a_trajectory_of_chunks_is_one_trajectory(spark):
+    r = np.random.default_rng(3)
+    rows = [(f, float(t), float(20 * t + r.normal()), float(300 * np.sin(t / 9)), float(100 + r.normal()), 1.0, "CRUISING") for f, n in (("a", 90), ("b", 7), ("c", 1)) for t in range(n)]
+    tracks = spark.createDataFrame(rows, "flight_id string, timestamp_s double, x_m double, y_m double, z_m double, weight double, phase string")
+    fits = flight.fit_tracks(tracks)
+    whole = flight.sample_fits(fits, 10.0).toPandas().sort_values(["flight_id", "i"])
+    out = flight.trajectories(tracks, fps=10.0, chunk=100).toPandas().sort_values(["flight_id", "timestamp_s"])
+    assert out.groupby("flight_id").size().to_dict() == {"a": 890, "b": 60} and list(out.columns) == ["flight_id", *TRAJECTORY_COLUMNS, "phase"]
+    assert out["x_m"].tolist() == whole["x_m"].tolist()
+    # The same in NumPy, a flight at once.
+    for f in ("a", "b"):
+        a, b = out[out["flight_id"] == f], whole[whole["flight_id"] == f]
+        yaw = np.unwrap(np.arctan2(b["vy_ms"], b["vx_ms"]))
+        assert np.allclose(a["yaw_rad"], (spline.gaussian(yaw, 15.0) + np.pi) % (2 * np.pi) - np.pi, atol=1e-9)
+        roll = np.arctan2((b["vy_ms"] * b["ax_ms2"] - b["vx_ms"] * b["ay_ms2"]) / np.hypot(b["vx_ms"], b["vy_ms"]), 9.81)
+        assert np.allclose(a["roll_rad"], spline.gaussian(roll.to_numpy(), 15.0), atol=1e-9)
+
+
+def test_smoothing_by_parts_equals_the_whole():
+    x = np.random.default_rng(0).random(500)
+    for sigma in (0.1, 2.0, 30.0, 200.0):
+        halo = int(4 * sigma + 0.5)
+        parts = [spline.gaussian(x[max(0, lo - halo) : lo + 170 + halo], sigma, min(lo, halo), max(0, min(500, lo + 170 + halo) - min(500, lo + 170))) for lo in range(0, 500, 170)] if halo <= 170 else []
+        if parts:
+            assert np.concatenate(parts) == pytest.approx(spline.gaussian(x, sigma))
+
+
+def test_bad_trajectories_raise(spark):
+    row = dict.fromkeys(TRAJECTORY_COLUMNS, 1.0) | {"flight_id": "f", "phase": "CRUISING"}
+    good = spark.createDataFrame([row])
+    assert asserted(good, TRAJECTORY_SPEC).count() == 1
+    for change in ({"pitch_rad": float("nan")}, {"x_m": None}, {"phase": "NOWHERE"}):
+        bad = spark.createDataFrame([row | change], good.schema)
+        with pytest.raises(Exception, match="violations: "):
+            asserted(bad, TRAJECTORY_SPEC).collect()
+        with pytest.raises(ValueError, match="violations"):
+            validate(bad, TRAJECTORY_SPEC)
+    with pytest.raises(ValueError, match="missing"):
+        asserted(good.drop("az_ms2"), TRAJECTORY_SPEC)
+    assert flight.checked_track(spark.createDataFrame([("f", 0.0, 1.0, 1.0, 1.0, 1.0)], "flight_id string, timestamp_s double, x_m double, y_m double, z_m double, weight double")).count() == 1
