@@ -17,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, partial
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -40,9 +42,9 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a chunk of a long text, and chunks that compose in one step of the tree.
 CHUNK, FAN = 1 << 15, 16
 #: Bytes of text of a slab, about.
-SLAB = 8 << 20
-#: Runs that a Python worker remembers.
-REMEMBERED = 250_000
+SLAB = 4 << 20
+#: Runs that a Python worker remembers between batches, of those that a batch has more than once; runs that are tokenized at once.
+REMEMBERED, JOINED = 200_000, 1024
 
 
 class Fragment(NamedTuple):
@@ -116,103 +118,103 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.text: list[str | None] = []
-        self.counts: list[tuple[int, int, int]] = []
-        self.codes, self.starts = [], [0]
-
-    def _learn(self, runs: list[str]) -> None:
+        self._cut(0)
+
+    def _cut(self, n: int) -> None:
+        """Of the runs' contents the first n stay.  sums: ends of n_a, n_b, n_groups and links up to each run."""
+        if not n:
+            self.text: list[str | None] = []
+            self.sums, self.codes = np.zeros((1, 4), np.int64), np.zeros(0, np.uint32)
+        else:
+            del self.text[n:]
+            self.sums = self.sums[: n + 1]
+            self.codes = self.codes[: self.sums[-1, 3]]
+
+    def _learn(self, runs: list[str], into: dict[str, int]) -> None:
         """Runs without the space before them."""
         easy = [r for r in runs if not r[0].isspace() and not r[-1].isspace() and SPACE not in r]
-        hard = set(runs) - set(easy)
-        groups = [easy[i : i + 256] for i in range(0, len(easy), 256)] + [[r] for r in runs if r in hard]
+        hard = [r for r in runs if r[0].isspace() or r[-1].isspace() or SPACE in r]
+        groups = [easy[i : i + JOINED] for i in range(0, len(easy), JOINED)] + [[r] for r in hard]
         texts = [" ".join(g) for g in groups]
-        for start in range(0, len(groups), 64):
-            part = slice(start, start + 64)
+        counts, codes = [], []
+        for start in range(0, len(groups), 16):
+            part = slice(start, start + 16)
             ids_a = [x.ids for x in self.a.encode_batch_fast([" " + t for t in texts[part]], add_special_tokens=False)]
             for g, t, a, b in zip(groups[part], texts[part], ids_a, self.b.encode(texts[part], num_threads=1), strict=True):
-                self._aligned(g, (" " + t).encode(), a, b)
+                self._aligned(g, (" " + t).encode(), a, b, into, counts, codes)
+        self.sums = np.concatenate([self.sums, self.sums[-1] + np.cumsum(np.concatenate(counts), 0)]) if counts else self.sums
+        self.codes = np.concatenate([self.codes, *codes])
 
-    def _aligned(self, runs: list[str], data: bytes, ids_a: list[int], ids_b: list[int]) -> None:
+    def _aligned(self, runs: list[str], data: bytes, ids_a: list[int], ids_b: list[int], into: dict[str, int], counts: list, codes: list) -> None:
         same = b"".join(map(self.a_bytes.__getitem__, ids_a)) == data and b"".join(map(self.b_bytes.__getitem__, ids_b)) == data
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         ends = np.cumsum([1 + len(r.encode()) for r in runs])
-        whole = same and np.isin(ends, end_a).all() and np.isin(ends, end_b).all()
+        # Between two neighbouring ends just one token of each side goes on, and a pair overlaps in one such stretch.
+        stretch = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        again = np.diff(stretch, prepend=-1) == 0
+        common, stretch = stretch[again], stretch[~again]
+        whole = same and len(common) and (common[np.minimum(np.searchsorted(common, ends), len(common) - 1)] == ends).all()
         if not whole and len(runs) > 1:
             for r in runs:
                 data = (" " + r).encode()
-                self._aligned([r], data, self.a.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, self.b.encode(r))
+                self._aligned([r], data, self.a.encode_batch_fast([data.decode()], add_special_tokens=False)[0].ids, self.b.encode(r), into, counts, codes)
             return
-        first = len(self.known)
-        self.known.update(zip(runs, range(first, first + len(runs)), strict=True))
+        first = len(self.text)
+        into.update(zip(runs, range(first, first + len(runs)), strict=True))
         if not whole:  # one run whose tokens don't spell it
             self.text.append(None)
-            self.counts.append((0, 0, 0))
-            self.starts.append(self.starts[-1])
+            counts.append(np.zeros((1, 4), np.int64))
             return
-        common = np.intersect1d(end_a, end_b)
-        # Between two neighbouring ends just one token of each side goes on, and a pair overlaps in one such stretch.
-        stretch = np.union1d(end_a, end_b)
-        code = (a[np.searchsorted(end_a, stretch)] << 16 | b[np.searchsorted(end_b, stretch)]).astype(np.uint32)
+        codes.append((a[np.searchsorted(end_a, stretch)] << 16 | b[np.searchsorted(end_b, stretch)]).astype(np.uint32))
         group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
         run_of = np.searchsorted(ends, common)  # of each group
-        many = lambda x: np.bincount(run_of[x], minlength=len(runs))
-        n_a, n_b, n_groups, n_links = many(group_a), many(group_b), np.bincount(run_of, minlength=len(runs)), np.bincount(np.searchsorted(ends, stretch), minlength=len(runs))
+        many = [np.bincount(x, minlength=len(runs)) for x in (run_of[group_a], run_of[group_b], run_of, np.searchsorted(ends, stretch))]
+        counts.append(np.stack(many, 1))
         # In order: of each group the tokens of the one side, then those of the other.
         new_a, new_b = np.diff(group_a, prepend=-1) != 0, np.diff(group_b, prepend=-1) != 0
         new_run = np.diff(run_of, prepend=-1) != 0
         words = np.empty(len(a) + len(b), object)
         words[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = self.a_text[np.where(new_a, np.where(new_run[group_a], 0, 1), 2), a]
         words[np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")] = self.b_text[np.where(new_b, 0, 1), b]
-        words = words.tolist()
-        at = 0
-        for n in (n_a + n_b).tolist():
-            self.text.append("".join(words[at : at + n]))
-            at += n
-        self.counts += zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), strict=True)
-        self.codes.append(code)
-        self.starts += (self.starts[-1] + np.cumsum(n_links)).tolist()
-
-    def numbers(self, texts: list[list[str]]) -> None:
-        """Learns the runs of the texts that aren't known."""
-        new = list(dict.fromkeys(r for runs in texts for r in runs if r not in self.known))
-        if len(self.known) + len(new) > REMEMBERED and self.known:
-            self._forget()
-            new = list(dict.fromkeys(r for runs in texts for r in runs))
-        if new:
-            self._learn(new)
-            self.codes = [np.concatenate(self.codes)] if self.codes else []
+        words, cuts = words.tolist(), [0, *np.cumsum(many[0] + many[1]).tolist()]
+        self.text += ["".join(words[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
     def align(self, texts: list[str]) -> tuple[list[tuple[int, int, int, int]], list[str | None], np.ndarray, np.ndarray]:
         """Texts that begin with the space put before them, or with the space of a cut; not empty.
 
         For each: n_a, n_b, n_groups, n_links; its groups as text, or None if tokens don't spell it.  And the links of all
-        texts one after another: text, code (left id, 16 bits right id).
+        texts one after another: text, code (left id, 16 bits right id).  Runs that come once are forgotten at the end.
         """
         runs = [CUT.split(t) for t in texts]
         for r in runs:
             r[0] = r[0][1:]
-        self.numbers(runs)
-        known, text, counts = self.known, self.text, self.counts
-        at = [[known[x] for x in r] for r in runs]
-        starts = np.array(self.starts, np.int64)
-        sums, shown, keep = [], [], []
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        met = Counter(chain.from_iterable(runs))
+        new = [r for r in met if r not in self.known]
+        self._learn([r for r in new if met[r] > 1], self.known)
+        stay, once = len(self.text), {}
+        self._learn([r for r in new if met[r] == 1], once)
+        once |= self.known if len(self.known) < len(met) else {r: self.known[r] for r in met if r in self.known}
+        number, text = once.__getitem__, self.text
+        at = [list(map(number, r)) for r in runs]
+        shown: list[str | None] = []
         for x in at:
-            words = [text[i] for i in x]
-            if None in words:
-                sums.append((0, 0, 0, 0))
-                shown.append(None)
-                keep.append([])
-                continue
-            c = np.array([counts[i] for i in x]).sum(0).tolist()
-            sums.append((*c, int((starts[np.array(x) + 1] - starts[x]).sum())))
-            shown.append(";".join(words))
-            keep.append(x)
-        flat = np.array([i for x in keep for i in x], np.int64)
-        owner = np.repeat(np.arange(len(texts)), list(map(len, keep)))
-        many = starts[flat + 1] - starts[flat]
-        codes = self.codes[0][_ranges(starts[flat], many)] if len(flat) and self.codes else np.zeros(0, np.uint32)
-        return sums, shown, np.repeat(owner, many), codes
+            words = list(map(text.__getitem__, x))
+            shown.append(None if None in words else ";".join(words))
+        flat = np.fromiter(chain.from_iterable(at), np.int64, sum(map(len, at)))
+        owner = np.repeat(np.arange(len(texts)), list(map(len, at)))
+        good = np.array([x is not None for x in shown], bool)
+        flat, owner = flat[good[owner]], owner[good[owner]]
+        sums = np.zeros((len(texts), 4), np.int64)
+        each = self.sums[flat + 1] - self.sums[flat]
+        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(cuts):
+            sums[owner[cuts]] = np.add.reduceat(each, cuts)
+        codes = self.codes[_ranges(self.sums[flat, 3], each[:, 3])]
+        self._cut(stay)
+        return list(map(tuple, sums.tolist())), shown, np.repeat(owner, each[:, 3]), codes
 
 
 @cache
