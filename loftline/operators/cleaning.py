@@ -96,7 +96,7 @@ def bridge_drops(df: DataFrame, value: str, time: str = "timestamp_s", flight: s
     df = df.withColumn("_a", F.first("_open", ignorenulls=True).over(gap))
     close = F.when(F.col("_mark") == 1, F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
     df = df.withColumn("_close", close)
-    df = df.withColumn("_b", F.first("_close", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    df = df.withColumn("_b", F.last("_close", ignorenulls=True).over(Window.partitionBy(flight).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, -1)))
     span = F.nullif(F.col("_b.t") - F.col("_a.t"), F.lit(0.0))
     line = F.col("_a.v") + (F.col(time) - F.col("_a.t")) / span * (F.col("_b.v") - F.col("_a.v"))
     bad = F.col("_a.t").isNotNull() & F.col("_b").isNotNull()

@@ -1,13 +1,19 @@
 """Operators over rows in order of time, by flight.
 
 Each works with one shuffle on the flight: windows over the same partition share the exchange and the sort.  Matching
-two series never joins them: the rows are united and the neighbours filled in from before and after.
+two series never joins them: the rows are united and the neighbours filled in from before and after.  What comes after a row
+is looked up in descending order: a frame that ends with its row grows by one row each time, whereas one that begins
+with it is gone through anew for each row.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 
@@ -78,7 +84,7 @@ def central_partners(time: str, columns: list[str], flight: str, half: float, in
             first = f"first_value(`{c}`) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
             last = f"last_value(`{c}`) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
             found[f"{c}_b"] = F.expr(f"coalesce(last_value(`{c}`) OVER ({over} RANGE BETWEEN UNBOUNDED PRECEDING AND {half}D PRECEDING), {first})")
-            found[f"{c}_f"] = F.expr(f"coalesce(first_value(`{c}`) OVER ({over} RANGE BETWEEN {half}D FOLLOWING AND UNBOUNDED FOLLOWING), {last})")
+            found[f"{c}_f"] = F.expr(f"coalesce(last_value(`{c}`) OVER ({over} DESC RANGE BETWEEN UNBOUNDED PRECEDING AND {half}D PRECEDING), {last})")
     return found
 
 
@@ -119,24 +125,35 @@ def rolling_median(df: DataFrame, column: str, out: str, half: int, flight: str
     return df.withColumn(out, F.percentile(column, F.lit(0.5)).over(by_time(flight, *order).rowsBetween(-half, half)))
 
 
+#: Rows whose medians are found at once, besides what their windows reach over.
+CHUNK = 1 << 14
+
+
 def rolling_medians(df: DataFrame, columns: dict[str, str], time: str, flight: str = "flight_id", span: float = 2.0, *order: str) -> DataFrame:
     """Adds for each column -> name its centred median over the span, in rows of the flight's own median step.
 
-    A frame needs a fixed number of rows, so flights are split by that number, which takes a job to find; as there are
-    few sampling rates there are few parts.
+    The number of rows is a column: a flight's rows are cut into chunks, a row goes to each chunk whose windows reach it,
+    and a chunk is one group, however long the flight and however many rates there are.  Nulls don't count.
     """
-    halves = median_interval(df, time, flight).select(flight, half_window(F.col("median_dt"), span).alias("_half"))
-    rows = df.join(halves, flight)
-    parts = []
-    for half in sorted(r["_half"] for r in halves.select("_half").distinct().collect()):
-        part = rows.where(F.col("_half") == half)
+    w = by_time(flight, *(order or (time,)))
+    rows = df.withColumns({"_n": F.row_number().over(w) - 1, "_dt": F.col(time) - F.lag(time).over(by_time(flight, time))})
+    median = F.percentile("_dt", F.lit(0.5)).over(Window.partitionBy(flight))
+    rows = rows.withColumn("_half", half_window(F.when(median < 1e-6, 1.0).otherwise(F.coalesce(median, F.lit(1.0))), span)).drop("_dt")
+    chunk = lambda n: F.floor(n / CHUNK)
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(chunk(F.greatest(F.lit(0), F.col("_n") - F.col("_half"))), chunk(F.col("_n") + F.col("_half")))))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_n")
+        own = pc.equal(pc.divide(part["_n"], CHUNK), part["_chunk"])
+        width = 2 * part["_half"][0].as_py() + 1
         for column, out in columns.items():
-            part = rolling_median(part, column, out, half, flight, *(order or (time,)))
-        parts.append(part)
-    found = parts[0] if parts else rows.withColumns({out: F.col(c).cast("double") for c, out in columns.items()})
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.drop("_half")
+            values = pd.Series(part[column].cast(pa.float64()).to_numpy())
+            part = part.append_column(out, pa.array(values.rolling(width, center=True, min_periods=1).median(), from_pandas=True))
+        return part.filter(own).drop_columns(["_n", "_half", "_chunk"])
+
+    schema = T.StructType([*(f for f in df.schema), *(T.StructField(out, T.DoubleType()) for out in columns.values())])
+    rows = rows.withColumns({"_n": F.col("_n").cast("long"), "_half": F.col("_half").cast("long")})
+    return rows.groupBy(flight, "_chunk").applyInArrow(run, schema)
 
 
 def brackets(left: DataFrame, right: DataFrame, time: str, values: list[str], flight: str = "flight_id", strict: bool = False) -> DataFrame:
@@ -149,13 +166,54 @@ def brackets(left: DataFrame, right: DataFrame, time: str, values: list[str], fl
     both = left.withColumns({"_side": F.lit(1), "_row": empty}).unionByName(
         right.select(flight, time, F.lit(0).alias("_side"), side.alias("_row")), allowMissingColumns=True
     )
-    # In one order the right row comes before a left row of its time, in the other after it.
+    # A right row of a left row's time comes before it both upward and downward; upward not if strict.
     at = Window.partitionBy(flight).orderBy(time, F.col("_side").desc() if strict else "_side")
-    back = F.last("_row", ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, 0))
-    # first at or after: on a tie the right row must follow, so take it from `before` when it has the left row's time
-    late = Window.partitionBy(flight).orderBy(time, F.col("_side").desc())
-    ahead = F.first("_row", ignorenulls=True).over(late.rowsBetween(0, Window.unboundedFollowing))
-    return both.withColumns({"before": back, "after": ahead}).where("_side = 1").drop("_side", "_row")
+    down = Window.partitionBy(flight).orderBy(F.desc(time), "_side")
+    met = lambda w: F.last("_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumns({"before": met(at), "after": met(down)}).where("_side = 1").drop("_side", "_row")
+
+
+def merged(left: DataFrame, others: dict[str, tuple[DataFrame, list[str]]], time: str = "timestamp_s", flight: str = "flight_id", exact: tuple[str, ...] = ()) -> DataFrame:
+    """left with the values of many other series, interpolated linearly at its times and held at their ends.
+
+    others: name -> (series, values).  All series are united with left: one exchange, however many there are, and a sort
+    upward and one downward.  A series named in `exact` that has as many rows in a flight as left is taken row by row
+    instead.  A flight without a row of a series has nulls.
+    """
+    rows = left.withColumn("_side", F.lit(1))
+    kinds = {}
+    for name, (series, values) in others.items():
+        side = F.struct(F.col(time).alias("t"), *(F.col(v).cast("double").alias(v) for v in values))
+        more = series.select(flight, time, F.lit(0).alias("_side"), side.alias(f"_{name}"))
+        kinds[name] = more.schema[f"_{name}"].dataType
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    up, down = Window.partitionBy(flight).orderBy(time, "_side"), Window.partitionBy(flight).orderBy(F.desc(time), "_side")
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(flight)
+    added = {}
+    for name in others:
+        c = F.col(f"_{name}")
+        added |= {f"_{name}_b": F.last(c, ignorenulls=True).over(past(up)), f"_{name}_a": F.last(c, ignorenulls=True).over(past(down))}
+        if name in exact:
+            # The k-th row of the series, where the k-th row of left is: all of a flight's, in order, if there are as many.
+            added |= {f"_{name}_n": F.count(c).over(whole), f"_{name}_k": F.count(c).over(past(up))}
+    if exact:
+        added |= {"_all": F.sum("_side").over(whole), "_i": F.sum("_side").over(past(up))}
+    rows = rows.withColumns(added)
+    for name in exact:
+        # Row i of both has one key; the two rows meet in a window on it.
+        key = F.when(F.col("_side") == 1, F.col("_i")).when(F.col(f"_{name}").isNotNull(), F.col(f"_{name}_k"))
+        pair = Window.partitionBy(flight, key)
+        rows = rows.withColumn(f"_{name}_x", F.when(F.col("_all") == F.col(f"_{name}_n"), F.max(f"_{name}").over(pair)))
+    rows = rows.where("_side = 1")
+    found = {}
+    for name, (_, values) in others.items():
+        b, a = F.col(f"_{name}_b"), F.col(f"_{name}_a")
+        part = F.coalesce((F.col(time) - b["t"]) / F.nullif(a["t"] - b["t"], F.lit(0.0)), F.lit(0.0))
+        for v in values:
+            mixed = F.when(b.isNull(), a[v]).when(a.isNull(), b[v]).otherwise(b[v] + part * (a[v] - b[v]))
+            found[v] = F.when(F.col("_all") == F.col(f"_{name}_n"), F.col(f"_{name}_x")[v]).otherwise(mixed) if name in exact else mixed
+    return rows.withColumns(found).select(*left.columns, *found)
 
 
 def nearest(left: DataFrame, right: DataFrame, time: str, values: list[str], flight: str = "flight_id", later: bool = True) -> DataFrame:
@@ -230,15 +288,17 @@ def stride_cap(df: DataFrame, most: int, time: str = "timestamp_s", flight: str
     return rows.where((F.pmod("_n", "_skip") == 0) & (F.col("_n") < F.col("_skip") * most)).drop("_n", "_skip")
 
 
-def backfilled(value: Column, w: WindowSpec) -> Column:
-    return F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def backfilled(value: Column, flight: str, *order: str) -> Column:
+    """The value, or the next one that isn't null."""
+    down = Window.partitionBy(flight).orderBy(*(F.desc(c) for c in order))
+    return F.last(value, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def speedup(df: DataFrame, time: str, video_time: str, flight: str, *order: str) -> DataFrame:
     """Adds speedup_raw: flight time by video time since the row before; nulls take the next value."""
     w = by_time(flight, *order)
     raw = (F.col(time) - F.lag(time).over(w)) / F.nullif(F.col(video_time) - F.lag(video_time).over(w), F.lit(0.0))
-    return df.withColumn("_raw", raw).withColumn("speedup_raw", backfilled(F.col("_raw"), w)).drop("_raw")
+    return df.withColumn("_raw", raw).withColumn("speedup_raw", backfilled(F.col("_raw"), flight, *order)).drop("_raw")
 
 
 def gaps(df: DataFrame, most: float, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:

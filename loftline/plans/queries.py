@@ -6,6 +6,8 @@ value and k are signals.  Gaps between a user's events are hours, so time consta
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,8 +18,8 @@ from ..functions import flight as fl
 from ..operators import cleaning, geometry, ordered, phases, spline
 from ..schemas import PHASES, Spec, violations
 from ..sources import discovery, gpmf, igc
+from . import files, sinks
 from . import flight as plan
-from . import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -961,3 +963,37 @@ def stream_rates(spark, sf_dir):
     payloads = s.groupBy("flight_id", F.col("event_type").alias("stream"), F.floor(F.col("n") / 10).alias("payload")).agg(F.collect_list("value").alias("raw"))
     found = gpmf.stream_rates(payloads, s.groupBy("flight_id").agg(F.max("t").alias("duration_s")))
     return found.withColumn("rate_hz", r("rate_hz", 9))
+
+
+def _sensor_sql() -> str:
+    """Four other streams at the clicks' times; views are taken one by one where a flight has as many of them."""
+    streams = (("views", "view", "value"), ("errors", "error", "k"), ("signups", "signup", "value"), ("purchases", "purchase", "k"))
+    parts = [f"{n}_s AS (SELECT flight_id, t, CAST({v} AS DOUBLE) AS v FROM s WHERE event_type = '{kind}')" for n, kind, v in streams]
+    parts += [f"{n}_b AS (SELECT c.event_id, c.flight_id, c.t, x.t AS bt, x.v AS bv FROM c ASOF LEFT JOIN {n}_s x ON c.flight_id = x.flight_id AND c.t >= x.t)" for n, _, _ in streams]
+    parts += [f"{n}_a AS (SELECT b.*, x.t AS aft, x.v AS av FROM {n}_b b ASOF LEFT JOIN {n}_s x ON b.flight_id = x.flight_id AND b.t <= x.t)" for n, _, _ in streams]
+    parts += [f"{n} AS (SELECT event_id, flight_id, t, CASE WHEN bv IS NULL THEN av WHEN av IS NULL THEN bv ELSE bv + coalesce((t - bt) / nullif(aft - bt, 0), 0) * (av - bv) END AS v FROM {n}_a)" for n, _, _ in streams]
+    numbered = "row_number() OVER (PARTITION BY flight_id ORDER BY t) AS i, count(*) OVER (PARTITION BY flight_id) AS m"
+    both = f"p AS (SELECT c.event_id, x.v FROM (SELECT *, {numbered} FROM c) c JOIN (SELECT *, {numbered} FROM views_s) x USING (flight_id, i, m))"
+    shown = ", ".join(f"round({'coalesce(p.v, views.v)' if n == 'views' else n + '.v'}, 5) AS {n}" for n, _, _ in streams)
+    joins = " ".join(f"JOIN {n} ON {n}.event_id = c.event_id" for n, _, _ in streams)
+    return f"WITH {S}, c AS (SELECT event_id, flight_id, t FROM s WHERE event_type = 'click'), {', '.join(parts)}, {both} SELECT c.event_id, {shown} FROM c {joins} LEFT JOIN p ON p.event_id = c.event_id"
+
+
+@query(_sensor_sql())
+def sensor_table(spark, sf_dir):
+    """The series of four kinds of events at the times of a fifth."""
+    s = samples(spark, sf_dir)
+    of = lambda kind, value, name: (s.where(F.col("event_type") == kind).select("flight_id", "t", F.col(value).cast("double").alias(name)), [name])
+    others = {"views": of("view", "value", "views"), "errors": of("error", "k", "errors"), "signups": of("signup", "value", "signups"), "purchases": of("purchase", "k", "purchases")}
+    found = ordered.merged(s.where("event_type = 'click'").select("event_id", "flight_id", "t"), others, "t", exact=("views",))
+    return found.select("event_id", *(r(n, 5).alias(n) for n in others))
+
+
+@query(SQL["srt_text"].replace("SELECT flight_id, string_agg", "SELECT CAST(flight_id AS VARCHAR) AS flight_id, string_agg"))
+def srt_files(spark, sf_dir):
+    """srt_text by way of files: one for each flight, written and read again."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{top}/srt-{uuid.uuid4().hex}"
+    files.write_subtitles(samples(spark, sf_dir), "event_type", path, "t")
+    read = spark.read.option("pathGlobFilter", "*.srt").text(path, wholetext=True)
+    return read.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.srt$", 1).alias("flight_id"), F.col("value").alias("srt"))

@@ -7,7 +7,7 @@ work is columns: scaling, axes, times.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,8 +51,8 @@ def text(data: bytes) -> str:
     return data.decode("latin-1").rstrip("\0")
 
 
-def streams(data: bytes) -> Iterator[dict]:
-    """The streams of one payload, each with the settings that stand before its samples."""
+def streams(data: bytes, asked: Container[str] = STREAMS) -> Iterator[dict]:
+    """The asked streams of one payload, each with the settings that stand before its samples; others aren't decoded."""
     for key, kind, _, _, device in items(data):
         if key != "DEVC" or kind != "\0":
             continue
@@ -61,6 +61,9 @@ def streams(data: bytes) -> Iterator[dict]:
                 continue
             found: dict = {"scale": [1.0], "stamp_us": None, "orientation": None, "gps_fix": None, "gps_precision": None, "gps_clock": None, "stream": None, "samples": []}
             for name, k, size, _, body in items(content):
+                if name in STREAMS and name not in asked and name not in ("GPSF", "GPSP"):
+                    found["stream"] = None
+                    break
                 if name == "SCAL":
                     found["scale"] = [x for row in numbers(k, size, body) for x in row]
                 elif name == "STMP":
@@ -89,11 +92,11 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.select("flight_id", "payload", "pts", "duration", "data").mapInPandas(run, ROWS)
 
 
-def samples(parsed: DataFrame, stream: str, names: list[str]) -> DataFrame:
-    """(flight_id, payload, i, timestamp_s, names..., gps_fix, gps_dop): scaled, turned to X, Y, Z, with times."""
+def samples(parsed: DataFrame, stream: str, names: list[str], turn: bool = True) -> DataFrame:
+    """(flight_id, payload, i, timestamp_s, names..., gps_fix, gps_dop): scaled, turned to X, Y, Z (if asked), with times."""
     rows = parsed.where(F.col("stream") == stream).where(F.size("samples") > 0)
     values = fields.scaled(F.col("samples"), F.col("scale"))
-    turned = F.when(F.col("orientation").isNull(), values).otherwise(F.transform(values, lambda r: fields.axes_remapped(r, F.col("orientation"))))
+    turned = F.when(F.col("orientation").isNull() | ~F.lit(turn), values).otherwise(F.transform(values, lambda r: fields.axes_remapped(r, F.col("orientation"))))
     times = fields.sample_times(F.coalesce("stamp_us", F.lit(0.0)), F.col("duration"), F.size("samples"))
     both = F.posexplode(F.arrays_zip(times.alias("t"), turned.alias("v")))
     rows = rows.select("flight_id", "payload", "gps_fix", (F.col("gps_precision") / 100).alias("gps_dop"), both.alias("i", "s"))

@@ -1,14 +1,15 @@
 """From files to tracks: recordings, listings, records."""
 
 import struct
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loftline.operators import cleaning, geometry, ordered
-from loftline.plans import flight, sinks
-from loftline.sources import discovery, gpmf, video
+from loftline.plans import files, flight, sinks
+from loftline.sources import discovery, gpmf, igc, recordings, video
 
 
 def box(kind: bytes, body: bytes) -> bytes:
@@ -134,3 +135,139 @@ def test_windows_and_bounds(spark):
     assert cleaning.within_bounds(points).count() == 2
     assert geometry.altitude_plot(spark.createDataFrame([("a", 1.0, 2.0, "CRUISING"), ("a", 2.0, 2.0, "?")], "flight_id string, timestamp_s double, z_m double, phase_hmm string")).orderBy("timestamp_s").select("colour").collect() == [("blue",), (None,)]
     assert spark.createDataFrame([("IGC",), ("x",)], "s string").select(geometry.material(F.col("s"))).collect() == [("IGC",), ("UNKNOWN",)]
+
+
+def test_a_large_recording_is_many_tasks(spark, tmp_path):
+    data = [payload(k, 60) for k in range(60)]
+    (tmp_path / "one.MP4").write_bytes(recording(data, [7, 20, 20, 13]))
+    (tmp_path / "none.mp4").write_bytes(box(b"ftyp", b"isom"))
+    (tmp_path / "cut.mp4").write_bytes(recording(data[:4], [4])[:2500])
+    size = (tmp_path / "one.MP4").stat().st_size
+    found = recordings.read_recordings(spark, str(tmp_path), split=size // 10)
+    assert found.rdd.getNumPartitions() >= 11
+    want = gpmf.parse_payloads(video.read_payloads(spark, str(tmp_path)))
+    key = lambda r: (r["flight_id"], r["payload"], r["stream"])
+    assert sorted(found.collect(), key=key) == sorted(want.collect(), key=key) and found.count() == 180
+    filled = [n for n in found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(filled) >= 8 and max(filled) <= 24
+    # Each packet is read by one split, and little besides: the tables and nothing else.
+    reader = recordings.RecordingReader(str(tmp_path / "one.MP4"), size // 10, frozenset(["ACCL"]))
+    seen = []
+    opened = video.opened
+
+    class Counted:
+        def __init__(self, path):
+            self.f = opened(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.f.close()
+
+        def seek(self, at):
+            self.f.seek(at)
+
+        def read(self, n):
+            seen.append(n)
+            return self.f.read(n)
+
+    video.opened = Counted
+    try:
+        rows = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    finally:
+        video.opened = opened
+    assert [r["payload"] for r in rows] == list(range(60)) and {r["stream"] for r in rows} == {"ACCL"}
+    assert sum(seen) < sum(map(len, data)) + len(reader.partitions()) * 1500
+    assert recordings.read_recordings(spark, str(tmp_path), "GPS5").select("stream").distinct().collect() == [("GPS5",)]
+    with pytest.raises(Exception, match="unknown streams"):
+        recordings.read_recordings(spark, str(tmp_path), "NOPE").count()
+    assert recordings.read_recordings(spark, str(tmp_path / "none.mp4")).count() == 0
+
+
+def motion(k: int, n: int, others: dict[bytes, tuple[int, int]]) -> bytes:
+    """A second of accelerations (i, 0, 0), turned, and other streams: rows and width, with values from 0 to 1 over the second."""
+    stamp = item(b"STMP", b"J", 8, 1, struct.pack(">Q", k * 1_000_000))
+    scale = item(b"SCAL", b"s", 2, 1, struct.pack(">h", 1000))
+    parts = nested(b"STRM", stamp + scale + item(b"ORIN", b"c", 3, 1, b"XyZ") + item(b"ACCL", b"s", 6, n, b"".join(struct.pack(">3h", i, i, 0) for i in range(n))))
+    for name, (m, width) in others.items():
+        rows = b"".join(struct.pack(f">{width}h", *[1000 * i // m + 1000 * k] * width) for i in range(m))
+        parts += nested(b"STRM", stamp + scale + item(name, b"s", 2 * width, m, rows))
+    return nested(b"DEVC", parts)
+
+
+def test_table_of_all_sensors(spark, tmp_path):
+    (tmp_path / "same.mp4").write_bytes(recording([motion(k, 8, {b"GYRO": (8, 3), b"CORI": (4, 4), b"GRAV": (2, 3)}) for k in range(3)], [3]))
+    (tmp_path / "less.mp4").write_bytes(recording([motion(k, 8, {b"GYRO": (4, 3)}) for k in range(3)], [3]))
+    (tmp_path / "gps.mp4").write_bytes(recording([payload(k) for k in range(3)], [3]))
+    found = recordings.sensor_table(recordings.read_recordings(spark, str(tmp_path))).toPandas().sort_values(["flight_id", "timestamp_s"])
+    same, less = found[found["flight_id"] == "same"], found[found["flight_id"] == "less"]
+    assert len(same) == len(less) == 24 and len(found) == 48 + 54
+    t = same["timestamp_s"].to_numpy()
+    assert same["accl_x_ms2"].tolist() == [k % 8 / 1000 for k in range(24)] and same["accl_y_ms2"].tolist() == [-k % 8 / -1000 * -1 if k % 8 == 0 else -(k % 8) / 1000 for k in range(24)]
+    assert same["gyro_x_rads"].tolist() == [(1000 * (k % 8) // 8 + 1000 * (k // 8)) / 1000 for k in range(24)]
+    step = 1.001 / 4
+    at = np.concatenate([k + np.arange(4) * step for k in range(3)])
+    want = np.interp(t, at, np.concatenate([k + np.arange(4) / 4 for k in range(3)]))
+    assert np.allclose(same["cori_w"], want, atol=1e-6) and np.allclose(less["gyro_z_rads"], want, atol=1e-6)
+    assert same["iori_w"].isna().all() and less["grav_x"].isna().all() and not same["grav_x"].isna().any()
+    recordings.write_recordings(spark, str(tmp_path), str(tmp_path / "out"))
+    tables = {n: spark.read.parquet(str(tmp_path / "out" / n)) for n in ("gps", "sensors", "info")}
+    assert tables["sensors"].count() == len(found) and tables["gps"].count() == 54 and tables["info"].count() == 3
+    assert tables["info"].where("flight_id = 'gps'").first()["settings"] == {"field_of_view": "W"}
+
+
+def test_files_of_texts(spark, tmp_path):
+    out = tmp_path / "out"
+    read = lambda: {p.name: p.read_text() for p in out.iterdir()}
+    texts = spark.createDataFrame([("a", "one\n"), ("b", None), ("c", "é")], "flight_id string, text string").repartition(3)
+    files.write_texts(texts, str(out), ".srt")
+    assert read() == {"a.srt": "one\n", "b.srt": "", "c.srt": "é"}
+    files.write_texts(texts.where("flight_id = 'a'").withColumn("flight_id", F.lit("d")), str(out), ".srt", "append")
+    (out / "other.csv").write_text("x")
+    before = read()
+    for bad, mode in ((texts.where("flight_id = 'a'"), "append"), (texts.unionByName(texts), "overwrite"), (texts.withColumn("flight_id", F.lit("../x")), "overwrite"), (texts.withColumn("text", F.raise_error(F.lit("lost")).cast("string")), "overwrite")):
+        with pytest.raises(Exception):  # noqa: B017
+            files.write_texts(bad, str(out), ".srt", mode)
+        assert read() == before
+    files.write_texts(texts.where("flight_id = 'c'"), str(out), ".srt")
+    assert read() == {"c.srt": "é", "other.csv": "x"}
+
+
+def test_files_equal_the_texts(spark, tmp_path):
+    rows = [(f, float(t), float(t) ** 2, 1.0, "CRUISING" if t < 3 else "THERMALLING") for f in ("a", "b") for t in range(6)]
+    df = spark.createDataFrame(rows, "flight_id string, timestamp_s double, x double, y double, phase string")
+    files.write_subtitles(df, "phase", str(tmp_path / "srt"))
+    assert (tmp_path / "srt" / "a.srt").read_text() == "1\n00:00:00,000 --> 00:00:02,000\nCRUISING until 00:00:02,000\n\n2\n00:00:03,000 --> 00:00:05,000\nTHERMALLING until 00:00:05,000\n\n"
+    files.write_indexed(df, ["timestamp_s", "phase"], "timestamp_s", str(tmp_path / "csv"))
+    assert (tmp_path / "csv" / "b.csv").read_text().splitlines()[:2] == [",timestamp_s,phase", "0,0.0,CRUISING"]
+    lines = geometry.lines(df, "timestamp_s", "x", "y").withColumn("layer", F.lit("raw"))
+    files.write_geojson(lines, str(tmp_path / "json"))
+    import json
+
+    got = json.loads((tmp_path / "json" / "a.geojson").read_text())
+    assert got["type"] == "FeatureCollection" and got["features"][0]["geometry"]["coordinates"][2] == [4.0, 1.0] and got["features"][0]["properties"]["stroke-width"] == 3.0
+    frame = df.withColumns({"frame_id": F.col("timestamp_s").cast("int"), **{c: F.lit(1.0) for c in sinks.FRAME if c not in ("frame_id", "timestamp_s", "phase")}})
+    files.write_frames(frame, str(tmp_path / "frames"))
+    assert (tmp_path / "frames" / "a.csv").read_text().splitlines()[1].startswith("0000,0.000000,1.000000,")
+
+
+def test_a_log_without_fixes(spark, tmp_path):
+    (tmp_path / "x.igc").write_text("AXXX123\nHFDTE080525\n")
+    found = igc.fixes(igc.read_lines(spark, str(tmp_path / "x.igc")))
+    assert found.count() == 0 and {"flight_id", "timestamp_s", "gps_lat_deg", "alt_gps_m"} <= set(found.columns)
+    assert igc.metadata(igc.read_lines(spark, str(tmp_path / "x.igc"))).first()["num_fixes"] is None
+
+
+def test_looking_ahead_is_linear(spark):
+    """200,000 rows of one flight: a frame that is gone through anew for each row would take hours."""
+    rows = spark.range(200_000).select(F.lit("f").alias("flight_id"), F.col("id").cast("double").alias("t"), F.when(F.col("id") % 1000 == 7, F.col("id")).alias("v"))
+    began = time.time()
+    left, right = rows.select("flight_id", "t"), rows.where("v IS NOT NULL").select("flight_id", "t", F.col("v").cast("double").alias("v"))
+    assert ordered.interpolate(left, right, "t", ["v"]).where("abs(v - greatest(7, least(t, 199007))) > 1e-6").count() == 0
+    assert ordered.merged(left, {"a": (right, ["v"])}, "t").where("abs(v - greatest(7, least(t, 199007))) > 1e-6").count() == 0
+    assert ordered.central_difference(rows, ["t"], "t", 1.5).where("d_t < 1.9").count() == 0
+    filled = rows.withColumn("w", ordered.backfilled(F.col("v"), "flight_id", "t"))
+    assert filled.where("w IS NULL").count() == 199_999 - 199_007 and filled.agg(F.min("w")).first()[0] == 7
+    assert ordered.rolling_medians(rows.withColumn("x", F.col("t") % 5), {"x": "m"}, "t", span=5.0).where("m <> 2 AND t BETWEEN 2 AND 199997").count() == 0
+    assert time.time() - began < 90
