@@ -46,44 +46,44 @@ def _closing(role: Column) -> Column:
     return _by_role(role, 1, F.lit(OTHER[2]))
 
 
-def _merged(turns: Column) -> Column:
-    """Blocks (role, texts) of adjacent turns of one role."""
-    none = F.lit(None).cast("array<struct<role:string,texts:array<string>>>")
-    start = F.struct(F.coalesce(none, F.array().cast("array<struct<role:string,texts:array<string>>>")).alias("done"), F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("texts"))
-
-    def step(acc: Column, turn: Column) -> Column:
-        block = F.array(F.struct(acc["role"].alias("role"), acc["texts"].alias("texts")))
-        added = F.struct(acc["done"].alias("done"), acc["role"].alias("role"), F.array_append(acc["texts"], turn["text"]).alias("texts"))
-        done = F.when(acc["role"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], block))
-        begun = F.struct(done.alias("done"), turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        return F.when(acc["role"] == turn["role"], added).otherwise(begun)
-
-    return F.aggregate(turns, start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["role"].alias("role"), acc["texts"].alias("texts")))))
+def _pieces(turns: Column) -> Column:
+    """For each turn (head, body, loss): what stands before its text, the text, and whether that is under the loss.
 
+    Adjacent turns of one role are one block, so a head is a break or closes the block before and opens another one.
+    """
 
-def _segments(blocks: Column) -> Column:
-    """Pieces (text, loss) of the formatted conversation, in order."""
+    def of(turn: Column, i: Column) -> Column:
+        role, before = turn["role"], F.get(turns, i - 1)["role"]
+        head = F.when(i == 0, _opening(role)).when(before == role, F.lit(BREAK)).otherwise(F.concat(_closing(before), _opening(role)))
+        return F.struct(head.alias("head"), escaped(turn["text"]).alias("body"), (role == "assistant").alias("loss"))
 
-    def piece(text: Column, loss: Column | bool) -> Column:
-        return F.struct(text.alias("text"), (F.lit(loss) if isinstance(loss, bool) else loss).alias("loss"))
+    return F.transform(turns, of)
 
-    def of(block: Column) -> Column:
-        texts = F.transform(block["texts"], lambda t, i: F.array(piece(F.when(i > 0, BREAK).otherwise(_opening(block["role"])), False), piece(escaped(t), block["role"] == "assistant")))
-        return F.concat(F.flatten(texts), F.array(piece(_closing(block["role"]), False)))
 
-    return F.flatten(F.transform(blocks, of))
+def _spans(pieces: Column) -> Column:
+    """(start, chars) of the bodies under the loss, start from 0, in code points.
 
+    Sums up to each piece: of stretches of about the square root of their number, and inside these.  An array that grows by
+    one is copied each time, so no array that grows is longer than that.
+    """
+    size = F.size(pieces)
+    step = F.ceil(F.sqrt(size)).cast("int")
+    sizes = F.transform(pieces, lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), p["loss"].alias("loss")))
+    # In an array of one, so that they are made once and not for each stretch.
+    stretches = F.transform(F.array(sizes), lambda all_sizes: F.transform(F.sequence(F.lit(1), size, step), lambda lo: F.slice(all_sizes, lo, step)))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda n, p: n + p["head"] + p["body"])
+    none = F.array().cast("array<int>")
+    begin = F.struct(F.lit(0).alias("at"), none.alias("starts"))
+    starts = lambda parts: F.aggregate(parts, begin, lambda acc, p: F.struct((acc["at"] + total(p)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
 
-def _spans(segments: Column) -> Column:
-    """(start, chars) of the segments under the loss, start from 0, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("found"))
+    def inside(part: Column, start: Column) -> Column:
+        def more(acc: Column, p: Column) -> Column:
+            one = F.struct((acc["at"] + p["head"]).alias("start"), p["body"].alias("chars"))
+            return F.struct((acc["at"] + p["head"] + p["body"]).alias("at"), F.when(p["loss"], F.array_append(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        n = F.length(x["text"])
-        one = F.array(F.struct(acc["at"].alias("start"), n.alias("chars")))
-        return F.struct((acc["at"] + n).alias("at"), F.when(x["loss"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+        return F.aggregate(part, F.struct(start.alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("found")), more, lambda acc: acc["found"])
 
-    return F.aggregate(segments, start, step, lambda acc: acc["found"])
+    return F.flatten(F.flatten(F.transform(stretches, lambda parts: F.zip_with(parts, starts(parts), inside))))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
@@ -95,12 +95,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-    segments = sorted_turns.select("conv_id", _segments(_merged(F.col("turns"))).alias("segments"))
-    return segments.select("conv_id", F.array_join("segments.text", "").alias("formatted"), _spans(F.col("segments")).alias("loss_spans"))
+    pieces = sorted_turns.select("conv_id", _closing(F.element_at("turns", -1)["role"]).alias("end"), _pieces(F.col("turns")).alias("pieces"))
+    text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), ""), F.col("end"))
+    return pieces.select("conv_id", text.alias("formatted"), _spans(F.col("pieces")).alias("loss_spans"))
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
-    """chats (conv_id, formatted, loss_spans): adds turns (role, text) and loss_text, read from formatted alone."""
+    """chats (conv_id, formatted, loss_spans): adds turns (role, text) and loss_text, read from formatted alone.
+
+    Turns come in the order in which they were formatted; roles and texts that were null are empty strings.  Repeated rows
+    are repeated; other columns stay.  An empty table gives no row.
+    """
     starts = "|".join([r"<<SYS>>", r"\[INST\]", r"<s>", r"<<ROLE:"])
     blocks = F.filter(F.split("formatted", f"(?={starts})"), lambda x: x != "")
 
@@ -112,7 +117,18 @@ def parse_chats(chats: DataFrame) -> DataFrame:
         body = F.regexp_replace(block, r"^(<<SYS>>|\[INST\]|<s>|<<ROLE:[^>]*>>)|(<</SYS>>|\[/INST\]|</s>|<</ROLE>>)$", "")
         return F.transform(F.split(body, BREAK), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["chars"])))
+    # A place in a string is found by going through it, so a stretch of spans is cut out first.
+    size = F.size("loss_spans")
+    step = F.ceil(F.sqrt(F.greatest(size, F.lit(1)))).cast("int")
+    parts = F.transform(F.when(size > 0, F.sequence(F.lit(1), size, step)).otherwise(F.array().cast("array<int>")), lambda lo: F.slice("loss_spans", lo, step))
+
+    def cut(part: Column) -> Column:
+        first, last = part[0], F.element_at(part, -1)
+        text = F.substring(F.col("formatted"), first["start"] + 1, last["start"] + last["chars"] - first["start"])
+        inner = F.transform(F.array(text), lambda t: F.transform(part, lambda s: unescaped(F.substring(t, s["start"] - first["start"] + 1, s["chars"]))))
+        return F.flatten(inner)
+
+    loss = F.flatten(F.transform(parts, cut))
     return chats.withColumns({"turns": F.flatten(F.transform(blocks, turns_of)).cast(TURNS), "loss_text": F.array_join(loss, "")})
 
 

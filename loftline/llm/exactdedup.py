@@ -174,7 +174,11 @@ def exact_duplicates(docs: DataFrame, bits: int | None = None) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one for each distinct text."""
+    """The rows of docs that stay, one for each distinct text, with all their columns, whatever these are called.
+
+    See exact_duplicates() for nulls and ties.  Of rows that share an id and a text one stays; ids may be null or shared by
+    different texts.  An empty table gives no row.
+    """
     found = exact_duplicates(docs).select("doc_id", F.col("text_sha256").alias("digest"), "kept")
     return kept_rows(docs, found, F.sha2(F.regexp_replace(text_of(docs), WS + "+", ""), 256))
 

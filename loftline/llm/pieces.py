@@ -211,7 +211,10 @@ def encode_pieces(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, name: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 and the text of the ids: the encoded one, but for U+2581, which is a space then."""
+    """doc_id, n_ids, ids_crc32 and the text of the ids: the encoded one, but for U+2581, which is a space then.
+
+    No ids are an empty text, so a null one comes back empty.  Repeated rows are repeated.  An empty table gives no row.
+    """
     return encoded.mapInArrow(partial(_decoded, name=name), "doc_id long, n_ids long, ids_crc32 long, text string")
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import table, text_of, unused
 from .words import _folded, encoder, forget, slices
 
 #: Labelled documents of each label that the model is fitted on: those with the smallest hash of their id.
@@ -188,11 +188,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs with a score of at least 0.5."""
-    name = "_score"
-    while name in docs.columns:
-        name += "_"
-    return docs.withColumn(name, score(docs, fit(docs, labels))).where(F.col(name) >= 0.5).select(docs.columns)
+    """The rows of docs with a score of at least 0.5, with all their columns, whatever these are called.
+
+    A row stays or goes by its text alone: nulls count as empty, equal texts share a fate, repeated rows are repeated, ids
+    may be null.  Without labels all rows stay.  An empty table gives no row.
+    """
+    name = unused(docs, "_score")
+    return docs.withColumn(name, score(docs, fit(docs, labels))).where(F.col(name) >= 0.5).drop(name)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,12 +192,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, similar
         prints = staged(fingerprints(docs, width), "prints")
     else:
         text = text_of(docs).alias("text")
-        prints = docs.select("doc_id", F.xxhash64(text).alias("tid"), text).mapInArrow(partial(_fingerprints, width=width), "doc_id long, tid long, fp long")
+        digest = F.unhex(F.sha2(text_of(docs), 256)).alias("sha")
+        prints = docs.select("doc_id", digest, text).mapInArrow(partial(_fingerprints, width=width), "doc_id long, sha binary, fp long")
         prints = staged(prints, "prints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = connected_components(links(distinct, threshold))
     if similarity is not None:
-        roots = similar_roots(docs, prints.select("tid", "fp").distinct(), roots, similarity)
+        roots = similar_roots(docs, prints.select("sha", "fp").distinct(), roots, similarity)
     member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = F.struct(F.col("first_id").isNull().alias("n"), F.col("first_id").alias("id"), F.col("fp").alias("keep_fp"))
     least = member.groupBy("root").agg(F.min(first).alias("least")).select("root", F.col("least.id").alias("component_id"), F.col("least.keep_fp").alias("keep_fp"))
@@ -211,7 +212,10 @@ def _hex(fp: Column) -> Column:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 3, threshold: int = 3, similarity: float | None = None) -> DataFrame:
-    """The rows of docs that stay: one of each component, that with the smallest doc_id."""
+    """The rows of docs that stay: one of each component, that with the smallest doc_id, with all its columns.
+
+    See near_duplicates() for nulls and ties.  Of rows that share an id and a text one stays.  An empty table gives no row.
+    """
 
     @F.arrow_udf("long")
     def printed(texts: pa.Array) -> pa.Array:

@@ -59,7 +59,7 @@ def _made(batches: Iterator[pa.RecordBatch], what: str) -> Iterator[pa.RecordBat
         for i in range(0, b.num_rows, 1024):
             part = b.slice(i, 1024)
             sets = [shingles(x.as_buffer().to_pybytes()) for x in part["text"].cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([part["tid"], _lists([bands(s) for s in sets] if what == "bands" else sets)], ["tid", what])
+            yield pa.RecordBatch.from_arrays([part["sha"], _lists([bands(s) for s in sets] if what == "bands" else sets)], ["sha", what])
 
 
 def local_roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -115,15 +115,17 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
 
 
 def similar_roots(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """docs needs text; nodes (tid, fp): xxhash64 and node of each text; roots (node, root): components known so far.
+    """docs needs text; nodes (sha, fp): SHA-256 and node of each text; roots (node, root): components known so far.
 
-    Returns (node, root) with the links of similar texts added.  Texts without words link to none.
+    Returns (node, root) with the links of similar texts added.  Texts without words link to none.  Each text has a number
+    of its own, so no two texts can be taken for one.
     """
     text = text_of(docs).alias("text")
-    texts = docs.select(F.xxhash64(text).alias("tid"), text)
-    made = texts.mapInArrow(partial(_made, what="bands"), "tid long, bands array<long>").dropDuplicates(["tid"])
-    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("tid", F.coalesce("root", "fp").alias("root"))
-    rows = staged(made.join(known, "tid").select("tid", "root", F.explode("bands").alias("band")), "bands")
+    texts = docs.select(F.unhex(F.sha2(text_of(docs), 256)).alias("sha"), text)
+    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("sha", F.coalesce("root", "fp").alias("root"))
+    known = staged(known.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    made = texts.mapInArrow(partial(_made, what="bands"), "sha binary, bands array<long>").dropDuplicates(["sha"])
+    rows = staged(made.join(known, "sha").select("tid", "root", F.explode("bands").alias("band")), "bands")
     ends = rows.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("tid").alias("leader")).where("least <> most")
     mixed = staged(rows.join(ends, "band").select("tid", "root", "leader").distinct(), "mixed")
     discard(rows)
@@ -131,8 +133,9 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     member = mixed.select("tid", "root").distinct()
     families = families.select(F.col("node").alias("tid"), F.col("root").alias("family"))
     member = member.join(families, "tid", "left").withColumn("family", F.coalesce("family", "tid"))
-    sets = texts.join(member.select("tid"), "tid", "left_semi").mapInArrow(partial(_made, what="shingles"), "tid long, shingles array<long>").dropDuplicates(["tid"])
-    sets = staged(sets.join(member, "tid"), "shingles")
+    member = staged(member.join(known.select("tid", "sha"), "tid"), "member")
+    sets = texts.join(member.select("sha"), "sha", "left_semi").mapInArrow(partial(_made, what="shingles"), "sha binary, shingles array<long>").dropDuplicates(["sha"])
+    sets = staged(sets.join(member, "sha").drop("sha"), "shingles")
     parts = F.ceil(F.greatest(F.count("*") / TEXTS, F.sum(F.size("shingles")) / SHINGLES)).cast("int")
     sizes = sets.groupBy("family").agg(parts.alias("parts"))
     rows = sets.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("tid"), "parts").cast("int"))
@@ -140,7 +143,7 @@ def similar_roots(docs: DataFrame, nodes: DataFrame, roots: DataFrame, similarit
     rows = rows.select("family", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "root", "shingles")
     rows = rows.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
     found = staged(rows.mapInArrow(partial(_compared, similarity=similarity), "a long, b long").distinct(), "similar")
-    discard(mixed, sets)
+    discard(mixed, member, known, sets)
     if found.isEmpty():
         return roots
     return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))

@@ -187,7 +187,11 @@ def _earlier(files: DataFrame) -> DataFrame:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: one row for each document: doc_id, start, n_tokens, ids_crc32."""
+    """From the files: one row for each document: doc_id, start, n_tokens, ids_crc32.
+
+    Null ids and repeated rows come as they were written; of equal ids the order is that of the files, and start tells it.
+    Files of an empty table give no row.
+    """
     files = spark.read.parquet(path)
     rows = files.mapInArrow(_read, "file int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.join(_earlier(files), "file").select("doc_id", (F.col("start") + F.col("earlier")).alias("start"), "n_tokens", "ids_crc32")

@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import textwrap
 import zlib
 
@@ -399,10 +400,26 @@ def test_classifier_hard_cases(spark, hard, none):
     got = quality_model.quality_scores(hard, labels).collect()
     assert len(got) == len(HARD) and all(0 <= r["score"] <= 1 for r in got)
     assert quality_model.drop_low_quality(hard, labels).columns == hard.columns
+    other = docs_of(spark, HARD).withColumns({"_SCORE": F.lit("keep me"), "_Score_": F.lit("me too")})
+    kept = quality_model.drop_low_quality(other, labels)
+    assert kept.columns == other.columns and {(r["_SCORE"], r["_Score_"]) for r in kept.collect()} == {("keep me", "me too")}
     assert {r["score"] for r in quality_model.quality_scores(hard, labels.limit(0)).collect()} == {0.5}
     assert quality_model.quality_scores(none, labels).count() == 0
 
 
+def test_url_filter_with_a_long_list(spark):
+    """100,000 listed hosts over 150,000 of the pages; null and repeated keys, repeated pages, long and odd urls."""
+    pages = spark.range(150_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a."), F.col("id").cast("string"), F.lit(".io/x")).alias("url"))
+    odd = spark.createDataFrame([(-1, None), (-2, "https://a.7.io/" + "y" * 100_000), (-2, "https://a.7.io/" + "y" * 100_000), (-3, "://"), (-4, "no url"), (-5, "http://" + "z." * 60 + "7.io")], "page_id long, url string")
+    listed = spark.range(50_000, 150_000).select(F.concat(F.col("id").cast("string"), F.lit(".io")).alias("key"))
+    listed = listed.unionByName(listed.limit(9)).unionByName(spark.createDataFrame([(None,), ("7.io",), ("not-here.org",)], "key string"))
+    got = urlfilter.judge(pages.unionByName(odd).withColumn("HOST", F.lit(1)), listed)
+    assert got.count() == 150_006
+    assert got.where("page_id >= 0 AND verdict = 'block'").agg(F.count("*"), F.min("page_id")).first()[0] == 100_001
+    assert got.where("page_id >= 0 AND (verdict = 'block') <> (page_id >= 50000 OR page_id = 7)").count() == 0
+    assert {(r["page_id"], r["verdict"]) for r in got.where("page_id < 0").collect()} == {(-1, "allow"), (-2, "block"), (-3, "allow"), (-4, "allow"), (-5, "block")}
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "a&<[>&amp;"), (1, 1, "user", "<br>"), (1, 2, "tool<>[&", "x"), (1, 3, "assistant", None), (1, 3, "assistant", ""), (1, 4, None, "z"), (2, None, "assistant", "\n </s> é😀"), (2, 5, "assistant", "b"), (None, 1, "system", "s"), (None, 1, "system", "s")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1))
@@ -413,6 +430,19 @@ def test_chats(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """Work grows as the turns do, whether these alternate or are one block; spans are where the texts are."""
+    turn = lambda role: F.struct(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("<t"), F.col("id").cast("string"), F.lit("> é")).alias("text"))
+    began = time.time()
+    for role in (F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"), F.lit("assistant")):
+        turns = spark.range(20_000).select(turn(role).alias("x")).select("x.*")
+        row = chat.parse_chats(chat.format_chats(turns)).first()
+        want = [("assistant" if k % 2 or role is not None and r == "assistant" else "user", f"<t{k}> é") for k, r in enumerate(x["role"] for x in turns.orderBy("turn").collect())]
+        assert [tuple(t) for t in row["turns"]] == want
+        assert row["loss_text"] == "".join(t for r, t in want if r == "assistant")
+    assert time.time() - began < 40
+
+
 def brute_rules(t):
     w = WORD.findall(t or "")
     seen, covered = collections.defaultdict(list), set()
