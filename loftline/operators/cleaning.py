@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geodesy import haversine
-from .ordered import by_time, step_rate, strictly_increasing
+from .ordered import by_time, step_rate, stretches, strictly_increasing
 
 #: Steps of more than so many metres a second are glitches; a missed climb is drawn with the other rate.
 GLITCH, CLIMB = 30.0, 10.0
@@ -103,19 +106,58 @@ def bridge_drops(df: DataFrame, value: str, time: str = "timestamp_s", flight: s
     return df.withColumns({f"{value}_repaired": F.when(bad, line).otherwise(F.col(value).cast("double")), "repaired": bad}).drop("_rate", "_mark", "_rises", "_open", "_a", "_b", "_close")
 
 
+def steady(t: np.ndarray, v: np.ndarray, most: float, last: tuple[float, float] | None = None) -> np.ndarray:
+    """Which values change by at most `most` a second from the one kept before them; last: the one kept before the first.
+
+    Values that are none are never kept.  Where neighbours are steady nothing is looked up; after a jump the next value that
+    fits is sought in stretches of growing length.
+    """
+    keep = np.zeros(len(t), bool)
+    known = np.flatnonzero(~np.isnan(v))
+    if not len(known):
+        return keep
+    t, v = t[known], v[known]
+    near = np.append(False, np.abs(np.diff(v)) <= most * np.diff(t))
+    jumps = np.append(np.flatnonzero(~near), len(t))
+    i = 0
+    while i < len(t):
+        if last is not None:  # the first value from i on that fits the last one kept
+            width, at = 8, i
+            while at < len(t):
+                fits = np.abs(v[at : at + width] - last[1]) <= most * (t[at : at + width] - last[0])
+                if fits.any():
+                    break
+                at, width = at + width, width * 2
+            if at >= len(t):
+                break
+            i = at + int(fits.argmax())
+        end = int(jumps[np.searchsorted(jumps, i, side="right")])
+        keep[known[i:end]] = True
+        last, i = (t[end - 1], v[end - 1]), end
+    return keep
+
+
 def without_spikes(df: DataFrame, value: str, most: float, time: str = "timestamp_s", flight: str = "flight_id") -> DataFrame:
-    """Rows that change by at most `most` a second from the row kept before them; the first stays."""
+    """Rows that change by at most `most` a second from the row kept before them; the first stays, rows without a value go.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
-        keep, last = [], None
-        for t, v in zip(pdf[time], pdf[value], strict=True):
-            good = last is None or abs(v - last[1]) <= most * (t - last[0])
-            keep.append(good)
-            last = (t, v) if good else last
-        return pdf[keep]
-
-    return df.groupBy(flight).applyInPandas(run, T.StructType(df.schema.fields))
+    Flights stream past in order of time, batch by batch, so a task holds a batch however long a flight is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            t, v = (b[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (time, value))
+            keep = np.zeros(b.num_rows, bool)
+            for key, lo, hi in stretches(b[flight]):
+                if (key,) != now:
+                    now, last = (key,), None
+                keep[lo:hi] = steady(t[lo:hi], v[lo:hi], most, last)
+                if keep[lo:hi].any():
+                    k = lo + int(np.flatnonzero(keep[lo:hi])[-1])
+                    last = (t[k], v[k])
+            yield b.filter(pa.array(keep))
+
+    return df.repartition(flight).sortWithinPartitions(flight, time).mapInArrow(run, T.StructType(df.schema.fields))
 
 
 def dropped_report(df: DataFrame, time: str, order: str, flight: str = "flight_id") -> DataFrame:

@@ -8,6 +8,9 @@ with it is gone through anew for each row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +20,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
 
+def stretches(keys: pa.Array) -> Iterator[tuple[object, int, int]]:
+    """Key, start and end of each run of one key."""
+    if len(keys):
+        coded = keys.dictionary_encode()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield keys[lo].as_py(), lo, hi
+
+
 def by_time(flight: str = "flight_id", *order: str) -> WindowSpec:
     return Window.partitionBy(flight).orderBy(*(order or ("timestamp_s",)))
 

@@ -23,7 +23,7 @@ def stream_phases(df: DataFrame, time: str, v: str, vz: str, agl: str, turn: str
         kept = state.get if state.exists else (0, 0.0, 0.0, None)
         machine = Debounced(kept[0], kept[1:3], kept[3])
         pdf = pd.concat(list(frames)).sort_values("_t", kind="stable")
-        states = [machine.step(t, dict(zip(NAMES, f, strict=True))) for t, f in zip(pdf["_t"], pdf[list(NAMES)].to_numpy(), strict=True)]
+        states = machine.run(pdf["_t"].to_numpy(float), {n: pdf[n].to_numpy(bool) for n in NAMES})
         state.update((machine.state, *machine.held, machine.last))
         yield pd.DataFrame({flight: [key[0]] * len(pdf), time: pdf["_t"].to_numpy(), "phase": [PHASES[s] for s in states]})
 

@@ -289,3 +289,70 @@ def test_bad_trajectories_raise(spark):
     with pytest.raises(ValueError, match="missing"):
         asserted(good.drop("az_ms2"), TRAJECTORY_SPEC)
     assert flight.checked_track(spark.createDataFrame([("f", 0.0, 1.0, 1.0, 1.0, 1.0)], "flight_id string, timestamp_s double, x_m double, y_m double, z_m double, weight double")).count() == 1
+
+
+def stepped(t, flags):
+    """The phase machine row by row, as its rules read."""
+    state, held, last, out = phases.PRE, [0.0, 0.0], None, []
+    for i, at in enumerate(t):
+        dt, last = (0.0 if last is None else at - last), at
+        if state in (phases.LANDING, phases.POST) and flags["airborne"][i]:
+            state, held = phases.CRUISE, [0.0, 0.0]
+        for k, (name, seconds, following) in enumerate(phases.RULES[state]):
+            held[k] = held[k] + dt if flags[name][i] else 0.0
+            if flags[name][i] and held[k] >= seconds:
+                state, held = following, [0.0, 0.0]
+                break
+        out.append(state)
+    return out
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.integers(1, 300), st.integers(0, 2**31))
+def test_machine_by_events_equals_row_by_row(n, seed):
+    r = np.random.default_rng(seed)
+    t = np.cumsum(r.choice([0.055, 0.1, 0.3, 1.0], n))
+    flags = {name: np.repeat(r.random(n) < r.random(), int(r.integers(1, 30)))[:n] for name in phases.NAMES}
+    machine, got, i = phases.Debounced(), [], 0
+    while i < n:  # in batches
+        j = i + int(r.integers(1, n + 1))
+        got += machine.run(t[i:j], {k: f[i:j] for k, f in flags.items()}).tolist()
+        i = j
+    assert got == stepped(t, flags)
+
+
+def test_machine_on_ten_million_rows():
+    t = np.arange(10_000_000) / 18
+    on = t / 300 % 2 < 1
+    flags = {name: on if k % 2 else ~on for k, name in enumerate(phases.NAMES)}
+    began = time.process_time()
+    states = phases.Debounced().run(t, flags)
+    assert time.process_time() - began < 30 and states[:20_000].tolist() == stepped(t[:20_000], flags)
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.integers(1, 150), st.integers(0, 2**31))
+def test_spikes_equal_row_by_row(n, seed):
+    r = np.random.default_rng(seed)
+    t, v = np.cumsum(r.random(n)), np.cumsum(r.normal(size=n)) * r.choice([1, 20]) + (r.random(n) < 0.1) * 100
+    v[r.random(n) < 0.05] = np.nan
+    want, last = [], None
+    for a, b in zip(t, v, strict=True):
+        want.append(bool(not np.isnan(b) and (last is None or abs(b - last[1]) <= 5 * (a - last[0]))))
+        last = (a, b) if want[-1] else last
+    assert cleaning.steady(t, v, 5.0).tolist() == want
+
+
+def test_flights_stream_through_small_batches(spark):
+    """Rows of a flight over many batches, null keys, other columns kept as they are."""
+    r = np.random.default_rng(8)
+    rows = [(f, float(t), float(r.random() * 100), None if t % 7 == 0 else t, float(r.random() * 40)) for f in ("a", "b", None) for t in range(200)]
+    df = spark.createDataFrame(rows, "flight_id string, timestamp_s double, z double, n int, v double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    for n in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        labels = phases.label_phases(df, "timestamp_s", "v", "v", "z", "z")
+        found.append((sorted(map(str, cleaning.without_spikes(df, "z", 20.0).collect())), sorted(map(str, labels.collect()))))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert found[0] == found[1] and len(found[0][1]) == 600 and 3 < len(found[0][0]) < 600
