@@ -1,12 +1,13 @@
-"""Local coordinates: azimuthal equidistant projection on the WGS84 ellipsoid, by Vincenty's formulae (1975)."""
+"""Local coordinates: azimuthal equidistant projection on the WGS84 ellipsoid, by Vincenty's formulae (1975).
+
+Tables are projected by column expressions; inverse() and direct() are the same for arrays, with as many rounds as it takes.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # WGS84.
 A, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -72,31 +73,67 @@ def direct(lat0, lon0, distance, azimuth) -> tuple[np.ndarray, np.ndarray]:
     return np.degrees(lat), np.asarray(lon0, float) + np.degrees(way)
 
 
-def _pair(*names: str) -> T.StructType:
-    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+#: Rounds of the columns' iteration: each makes the error about 300 times smaller, so six leave less than a nanometre.
+ROUNDS = 6
+
+
+def _bigs(u2: Column) -> tuple[Column, Column]:
+    return 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2))), u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
+
+
+def _arc_correction(b: Column, sin_s: Column, cos_s: Column, mid: Column) -> Column:
+    return b * sin_s * (mid + b / 4 * (cos_s * (2 * mid * mid - 1) - b / 6 * mid * (4 * sin_s * sin_s - 3) * (4 * mid * mid - 3)))
 
 
-@F.pandas_udf(_pair("x_m", "y_m"))
-def _to_local(lat: pd.Series, lon: pd.Series, lat0: pd.Series, lon0: pd.Series) -> pd.DataFrame:
-    s, z = inverse(*(x.to_numpy(float) for x in (lat0, lon0, lat, lon)))
-    return pd.DataFrame({"x_m": s * np.sin(z), "y_m": s * np.cos(z)})
+def _over(x: Column, y: Column) -> Column:
+    """x / y; 0 where y isn't above 0."""
+    return F.when(y > 0, x / F.when(y > 0, y).otherwise(1.0)).otherwise(0.0)
 
 
-@F.pandas_udf(_pair("lat", "lon"))
-def _to_globe(x: pd.Series, y: pd.Series, lat0: pd.Series, lon0: pd.Series) -> pd.DataFrame:
-    x, y, lat0, lon0 = (v.to_numpy(float) for v in (x, y, lat0, lon0))
-    lat, lon = direct(lat0, lon0, np.hypot(x, y), np.arctan2(x, y))
-    return pd.DataFrame({"lat": lat, "lon": lon})
+def _flattened(c: Column) -> Column:
+    return FLATTENING / 16 * c * (4 + FLATTENING * (4 - 3 * c))
 
 
 def to_local(df: DataFrame, lat: str, lon: str, lat0: Column, lon0: Column) -> DataFrame:
-    """Adds x_m (east) and y_m (north) of the origin."""
-    return df.withColumn("_p", _to_local(F.col(lat), F.col(lon), lat0, lon0)).withColumns({"x_m": F.col("_p.x_m"), "y_m": F.col("_p.y_m")}).drop("_p")
+    """Adds x_m (east) and y_m (north) of the origin: columns only, a fixed number of rounds.
+
+    Null where a coordinate is, and for a point so nearly opposite the origin that the rounds don't settle.
+    """
+    reduced = lambda x: F.atan((1 - FLATTENING) * F.tan(F.radians(x)))
+    c = lambda n: F.col(f"_{n}")
+    rows = df.withColumns({"_u1": reduced(lat0), "_u2": reduced(F.col(lat)), "_way": F.radians(F.col(lon) - lon0)})
+    rows = rows.withColumns({"_s1": F.sin("_u1"), "_c1": F.cos("_u1"), "_s2": F.sin("_u2"), "_c2": F.cos("_u2"), "_turn": F.col("_way")})
+    for k in range(ROUNDS):
+        rows = rows.withColumns({"_x": c("c2") * F.sin("_turn"), "_y": c("c1") * c("s2") - c("s1") * c("c2") * F.cos("_turn"), "_cs": c("s1") * c("s2") + c("c1") * c("c2") * F.cos("_turn")})
+        rows = rows.withColumn("_ss", F.sqrt(c("x") * c("x") + c("y") * c("y")))
+        rows = rows.withColumns({"_sigma": F.atan2("_ss", "_cs"), "_sa": _over(c("c1") * c("c2") * F.sin("_turn"), c("ss"))})
+        rows = rows.withColumn("_ca", 1 - c("sa") * c("sa"))
+        rows = rows.withColumns({"_mid": F.when(c("ca") > 0, c("cs") - _over(2 * c("s1") * c("s2"), c("ca"))).otherwise(0.0), "_f": _flattened(c("ca"))})
+        new = c("way") + (1 - c("f")) * FLATTENING * c("sa") * (c("sigma") + c("f") * c("ss") * (c("mid") + c("f") * c("cs") * (2 * c("mid") * c("mid") - 1)))
+        rows = rows.withColumns({"_turn": new, "_step": F.abs(new - c("turn"))} if k == ROUNDS - 1 else {"_turn": new})
+    big, small = _bigs(c("ca") * ((A**2 - B**2) / B**2))
+    rows = rows.withColumn("_way", F.when(c("step") < 1e-11, B * big * (c("sigma") - _arc_correction(small, c("ss"), c("cs"), c("mid")))))
+    azimuth = F.atan2("_x", "_y")
+    return rows.withColumns({"x_m": c("way") * F.sin(azimuth), "y_m": c("way") * F.cos(azimuth)}).drop(*(f"_{n}" for n in ("u1", "u2", "way", "s1", "c1", "s2", "c2", "turn", "x", "y", "cs", "ss", "sigma", "sa", "ca", "mid", "f", "step")))
 
 
 def to_globe(df: DataFrame, x: str, y: str, lat0: Column, lon0: Column) -> DataFrame:
-    """Adds lat_deg and lon_deg."""
-    return df.withColumn("_p", _to_globe(F.col(x), F.col(y), lat0, lon0)).withColumns({"lat_deg": F.col("_p.lat"), "lon_deg": F.col("_p.lon")}).drop("_p")
+    """Adds lat_deg and lon_deg: columns only, a fixed number of rounds.  Null where a coordinate is."""
+    c = lambda n: F.col(f"_{n}")
+    rows = df.withColumns({"_u1": F.atan((1 - FLATTENING) * F.tan(F.radians(lat0))), "_z": F.atan2(F.col(x), F.col(y)), "_far": F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))})
+    rows = rows.withColumns({"_s1": F.sin("_u1"), "_c1": F.cos("_u1"), "_sz": F.sin("_z"), "_cz": F.cos("_z"), "_start": F.atan2(F.tan("_u1"), F.cos("_z"))})
+    rows = rows.withColumn("_sa", c("c1") * c("sz")).withColumn("_ca", 1 - c("sa") * c("sa"))
+    big, small = _bigs(c("ca") * ((A**2 - B**2) / B**2))
+    rows = rows.withColumns({"_first": c("far") / (B * big), "_small": small}).withColumn("_sigma", c("first"))
+    for _ in range(ROUNDS):
+        rows = rows.withColumn("_sigma", c("first") + _arc_correction(c("small"), F.sin("_sigma"), F.cos("_sigma"), F.cos(2 * c("start") + c("sigma"))))
+    rows = rows.withColumns({"_ss": F.sin("_sigma"), "_cs": F.cos("_sigma"), "_mid": F.cos(2 * c("start") + c("sigma")), "_f": _flattened(c("ca"))})
+    down = c("s1") * c("ss") - c("c1") * c("cs") * c("cz")
+    lat = F.atan2(c("s1") * c("cs") + c("c1") * c("ss") * c("cz"), (1 - FLATTENING) * F.sqrt(c("sa") * c("sa") + down * down))
+    way = F.atan2(c("ss") * c("sz"), c("c1") * c("cs") - c("s1") * c("ss") * c("cz"))
+    way -= (1 - c("f")) * FLATTENING * c("sa") * (c("sigma") + c("f") * c("ss") * (c("mid") + c("f") * c("cs") * (2 * c("mid") * c("mid") - 1)))
+    found = rows.withColumns({"lat_deg": F.degrees(lat), "lon_deg": lon0 + F.degrees(way)})
+    return found.drop(*(f"_{n}" for n in ("u1", "z", "far", "s1", "c1", "sz", "cz", "start", "sa", "ca", "first", "small", "sigma", "ss", "cs", "mid", "f")))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371000.0) -> Column:

@@ -814,14 +814,30 @@ def haversine_steps(spark, sf_dir):
     return rows.select("event_id", r(haversine(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")), 2).alias("metres"))
 
 
-@query(f"WITH {S} SELECT event_id, round(52 + value / 1000, 7) AS lat_deg, round(20 + k / 100.0::DOUBLE, 7) AS lon_deg FROM s")
+def _geodesic_sql() -> str:
+    """Distance and azimuth by six rounds, a table for each; far points too."""
+    f, b = "(1 / 298.257223563::DOUBLE)", "(6378137.0::DOUBLE * (1 - 1 / 298.257223563::DOUBLE))"
+    step = lambda k: f"""p{k} AS (SELECT *, cos(u2) * sin(lam) AS px, cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam) AS py, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) AS co FROM r{k}),
+ q{k} AS (SELECT *, sqrt(px * px + py * py) AS si, CASE WHEN px * px + py * py > 0 THEN cos(u1) * cos(u2) * sin(lam) / sqrt(px * px + py * py) ELSE 0 END AS al FROM p{k}),
+ m{k} AS (SELECT *, 1 - al * al AS ca, CASE WHEN 1 - al * al > 0 THEN co - 2 * sin(u1) * sin(u2) / (1 - al * al) ELSE 0 END AS mi, {f} / 16 * (1 - al * al) * (4 + {f} * (4 - 3 * (1 - al * al))) AS fc FROM q{k}),
+ r{k + 1} AS (SELECT event_id, u1, u2, l0, l0 + (1 - fc) * {f} * al * (atan2(si, co) + fc * si * (mi + fc * co * (2 * mi * mi - 1))) AS lam FROM m{k})"""
+    rounds = ", ".join(step(k) for k in range(6))
+    return f"""WITH {S}, r0 AS (SELECT event_id, atan((1 - {f}) * tan(radians(52.27::DOUBLE))) AS u1, atan((1 - {f}) * tan(radians(52 + least(value, 300) / 10))) AS u2, radians(20 + k / 10.0::DOUBLE - 20.91::DOUBLE) AS l0, radians(20 + k / 10.0::DOUBLE - 20.91::DOUBLE) AS lam FROM s), {rounds},
+ e AS (SELECT *, ca * (6378137.0::DOUBLE ** 2 - {b} ** 2) / {b} ** 2 AS w FROM m5),
+ g AS (SELECT *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) AS ba, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS bb FROM e),
+ d AS (SELECT event_id, px, py, {b} * ba * (atan2(si, co) - bb * si * (mi + bb / 4 * (co * (2 * mi * mi - 1) - bb / 6 * mi * (4 * si * si - 3) * (4 * mi * mi - 3)))) AS far FROM g)
+SELECT s.event_id, round(far * sin(atan2(px, py)), 3) + 0 AS x_m, round(far * cos(atan2(px, py)), 3) + 0 AS y_m, round(52 + least(value, 300) / 10, 7) AS lat_deg, round(20 + k / 10.0::DOUBLE, 7) AS lon_deg FROM d JOIN s ON s.event_id = d.event_id"""
+
+
+@query(_geodesic_sql())
 def projection_round_trip(spark, sf_dir):
+    """Local coordinates of points up to a thousand kilometres away, and the points again from these."""
     from ..functions import geodesy
 
-    rows = samples(spark, sf_dir).select("event_id", (52 + F.col("value") / 1000).alias("lat"), (20 + F.col("k") / 100.0).alias("lon"))
+    rows = samples(spark, sf_dir).select("event_id", (52 + F.least("value", F.lit(300.0)) / 10).alias("lat"), (20 + F.col("k") / 10.0).alias("lon"))
     local = geodesy.to_local(rows, "lat", "lon", F.lit(52.27), F.lit(20.91))
     back = geodesy.to_globe(local, "x_m", "y_m", F.lit(52.27), F.lit(20.91))
-    return back.select("event_id", r("lat_deg", 7).alias("lat_deg"), r("lon_deg", 7).alias("lon_deg"))
+    return back.select("event_id", r("x_m", 3).alias("x_m"), r("y_m", 3).alias("y_m"), r("lat_deg", 7).alias("lat_deg"), r("lon_deg", 7).alias("lon_deg"))
 
 
 @query(f"""WITH {S}, c AS (SELECT *, count(*) OVER (PARTITION BY flight_id) AS m FROM s), k AS (SELECT o, exp(-0.5 * (o / 1.5::DOUBLE) ** 2) AS w FROM (SELECT unnest(range(-6, 7)) AS o)), w AS (SELECT o, w / sum(w) OVER () AS w FROM k),

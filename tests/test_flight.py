@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loftline.functions import geodesy
 from loftline.operators import cleaning, phases, spline
@@ -356,3 +357,18 @@ def test_flights_stream_through_small_batches(spark):
         found.append((sorted(map(str, cleaning.without_spikes(df, "z", 20.0).collect())), sorted(map(str, labels.collect()))))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     assert found[0] == found[1] and len(found[0][1]) == 600 and 3 < len(found[0][0]) < 600
+
+
+def test_projection_of_columns_equals_that_of_arrays(spark):
+    r = np.random.default_rng(6)
+    lat, lon = np.concatenate([r.uniform(-89, 89, 300), [52.27, -52.27, 0.0, 90.0]]), np.concatenate([r.uniform(-60, 100, 300), [20.91, -159.09, 20.91, 20.91]])
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon, strict=True))] + [(1000, None, 1.0)], "k int, lat double, lon double")
+    local = geodesy.to_local(rows, "lat", "lon", F.lit(52.27), F.lit(20.91))
+    assert local.columns == ["k", "lat", "lon", "x_m", "y_m"]
+    got = geodesy.to_globe(local, "x_m", "y_m", F.lit(52.27), F.lit(20.91)).toPandas().sort_values("k")
+    assert got["x_m"].isna().tolist() == [False] * 301 + [True, False, False, True]  # nearly opposite, and null
+    near = got[got["x_m"].notna()]
+    s, z = geodesy.inverse(np.full(len(near), 52.27), np.full(len(near), 20.91), near["lat"].to_numpy(), near["lon"].to_numpy())
+    assert np.abs(near["x_m"] - s * np.sin(z)).max() < 1e-3 and np.abs(near["y_m"] - s * np.cos(z)).max() < 1e-3
+    assert np.abs(near["lat_deg"] - near["lat"]).max() < 1e-9
+    assert np.abs(near["lon_deg"] - near["lon"])[near["lat"].abs() < 89.9].max() < 1e-7
