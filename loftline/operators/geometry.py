@@ -23,11 +23,13 @@ def directions(df: DataFrame, order: str, flight: str = "flight_id") -> DataFram
 
 
 def ribbon_vertices(df: DataFrame, order: str, span: float, flight: str = "flight_id") -> DataFrame:
-    """Two vertices for each point, half a span to the right and left along the bank: vertex, position, u, v."""
+    """Two vertices for each point, half a span to the right and left along the bank: vertex, u, v, position vx, vy, vz, and
+    the normal nx, ny, nz, square to the way and to the span (zero if these are one line)."""
     rows = directions(df, order, flight)
     rows = rows.withColumn("_i", F.row_number().over(Window.partitionBy(flight).orderBy(order)) - 1)
     rows = fl.with_banked_axes(rows, F.col("dir_x"), -F.col("dir_y"), F.col("dir_z"), F.col("roll_rad"))
-    side = lambda sign, v: F.struct(F.lit(v).alias("v"), *((F.col(f"{a}_m") + sign * span / 2 * F.col(f"r{a}")).alias(f"v{a}") for a in "xyz"))
+    rows = rows.withColumns(fl.normal([F.col(c) for c in ("fx", "fy", "fz")], [F.col(c) for c in ("rx", "ry", "rz")]))
+    side = lambda sign, v: F.struct(F.lit(v).alias("v"), *((F.col(f"{a}_m") + sign * span / 2 * F.col(f"r{a}")).alias(f"v{a}") for a in "xyz"), "nx", "ny", "nz")
     both = F.posexplode(F.array(side(1, 1.0), side(-1, 0.0))).alias("_k", "_s")
     return rows.select(flight, "_i", F.col(order).alias("u"), both).select(flight, (2 * F.col("_i") + F.col("_k")).cast("long").alias("vertex"), "u", "_s.*")
 

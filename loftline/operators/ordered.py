@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from ..functions import flight as fl
+
 
 def stretches(keys: pa.Array) -> Iterator[tuple[object, int, int]]:
     """Key, start and end of each run of one key."""
@@ -261,6 +263,21 @@ def played(left: DataFrame, right: DataFrame, time: str, values: list[str], flig
     return found.withColumns(at).drop("before", "after")
 
 
+def playback(left: DataFrame, right: DataFrame, time: str, values: list[str], rotation: list[str], labels: list[str], flight: str = "flight_id") -> DataFrame:
+    """left with what playback shows at its times: values between the row before and the one at or after the time, the
+    rotation (w, x, y, z) turned the short way between theirs, and labels of the row before.
+
+    Before the first row and after the last one all is as in that row; null for a flight without rows.
+    """
+    found = brackets(left, right, time, [*values, *rotation, *labels], flight, strict=True)
+    before, after = F.col("before"), F.col("after")
+    found = found.withColumn("_part", (F.col(time) - before["t"]) / F.greatest(after["t"] - before["t"], F.lit(1e-4)))
+    found = fl.with_slerp(found, [before[c] for c in rotation], [after[c] for c in rotation], F.col("_part"), [f"_{c}" for c in rotation])
+    shown = lambda v, between: F.when(before.isNull(), after[v]).when(after.isNull(), before[v]).otherwise(between)
+    at = {v: shown(v, before[v] + F.col("_part") * (after[v] - before[v])) for v in values} | {c: shown(c, F.col(f"_{c}")) for c in rotation} | {c: shown(c, before[c]) for c in labels}
+    return found.withColumns(at).drop("before", "after", "_part", *(f"_{c}" for c in rotation))
+
+
 def align_by_position(left: DataFrame, right: DataFrame, time: str, values: list[str], flight: str = "flight_id") -> DataFrame:
     """left with the values of the row of right at the same position, for flights with equal counts in both."""
     w = Window.partitionBy(flight)

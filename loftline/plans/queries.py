@@ -777,12 +777,13 @@ def ribbon_triangles(spark, sf_dir):
 
 @query(f"""WITH {_P}, d AS (SELECT *, coalesce(lead(x) OVER w - x, x - lag(x) OVER w, 0) AS dx, coalesce(lead(y) OVER w - y, y - lag(y) OVER w, 0) AS dy, coalesce(lead(z) OVER w - z, z - lag(z) OVER w, 0) AS dz FROM p WINDOW w AS (PARTITION BY flight_id ORDER BY n)),
  u AS (SELECT *, sqrt(dx * dx + dy * dy + dz * dz) AS nn FROM d), f AS (SELECT *, CASE WHEN nn > 1e-8 THEN dx / nn ELSE 1 END AS fx, CASE WHEN nn > 1e-8 THEN dy / nn ELSE 0 END AS fy FROM u), g AS (SELECT *, sqrt(fx * fx + fy * fy) AS nr FROM f),
- h AS (SELECT *, CASE WHEN nr > 1e-8 THEN -fy / nr ELSE 0 END AS rx, CASE WHEN nr > 1e-8 THEN fx / nr ELSE 1 END AS ry FROM g)
-SELECT flight_id, 2 * (n - 1) + b AS vertex, n AS u, 1.0::DOUBLE - b AS v, round(x + (1 - 2 * b) * 7.5 * rx, 3) AS vx, round(y + (1 - 2 * b) * 7.5 * ry, 3) AS vy, round(z, 3) AS vz FROM h, (VALUES (0), (1)) k(b)""")
+ h AS (SELECT *, CASE WHEN nr > 1e-8 THEN -fy / nr ELSE 0 END AS rx, CASE WHEN nr > 1e-8 THEN fx / nr ELSE 1 END AS ry, CASE WHEN nn > 1e-8 THEN dz / nn ELSE 0 END AS fz FROM g),
+ o AS (SELECT *, nullif(sqrt(power(fz * ry, 2) + power(fz * rx, 2) + power(fx * ry - fy * rx, 2)), 0) AS no FROM h)
+SELECT round(coalesce(-fz * ry / no, 0), 4) + 0 AS nx, round(coalesce(fz * rx / no, 0), 4) + 0 AS ny, round(coalesce((fx * ry - fy * rx) / no, 0), 4) + 0 AS nz, flight_id, 2 * (n - 1) + b AS vertex, n AS u, 1.0::DOUBLE - b AS v, round(x + (1 - 2 * b) * 7.5 * rx, 3) AS vx, round(y + (1 - 2 * b) * 7.5 * ry, 3) AS vy, round(z, 3) AS vz FROM o, (VALUES (0), (1)) k(b)""")
 def ribbon_vertices(spark, sf_dir):
     rows = _positions(spark, sf_dir).withColumn("roll_rad", F.lit(0.0))
     v = geometry.ribbon_vertices(rows, "n", 15.0)
-    return v.select("flight_id", "vertex", "u", "v", *(r(c, 3).alias(c) for c in ("vx", "vy", "vz")))
+    return v.select("flight_id", "vertex", "u", "v", *(r(c, 3).alias(c) for c in ("vx", "vy", "vz")), *(r(c, 4).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query(f"WITH {S} SELECT flight_id, count(*) AS n_points, round(CAST(sum(CAST(value AS DECIMAL(18,2)) * n) AS DOUBLE), 2) AS checksum FROM s GROUP BY 1")
@@ -1013,3 +1014,25 @@ def srt_files(spark, sf_dir):
     files.write_subtitles(samples(spark, sf_dir), "event_type", path, "t")
     read = spark.read.option("pathGlobFilter", "*.srt").text(path, wholetext=True)
     return read.select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.srt$", 1).alias("flight_id"), F.col("value").alias("srt"))
+
+
+_AXIS = (0.6, 0.0, 0.8)
+
+
+@query(f"""WITH {S}, v AS (SELECT *, value AS seen, value / 40 AS half FROM s WHERE event_type = 'view'), c AS (SELECT event_id, flight_id, t FROM s WHERE event_type = 'click'),
+ b AS (SELECT c.*, v.t AS bt, v.seen AS bv, CAST(v.k AS DOUBLE) AS bk, v.half AS bh, v.props AS bp FROM c ASOF LEFT JOIN (SELECT *, 'p' || (k % 5) AS props FROM v) v ON c.flight_id = v.flight_id AND c.t > v.t),
+ a AS (SELECT b.*, v.t AS aft, v.seen AS av, CAST(v.k AS DOUBLE) AS ak, v.half AS ah, 'p' || (v.k % 5) AS ap FROM b ASOF LEFT JOIN v ON b.flight_id = v.flight_id AND b.t <= v.t),
+ p AS (SELECT *, (t - bt) / greatest(aft - bt, 1e-4) AS part, cos(bh - ah) AS d FROM a),
+ w AS (SELECT *, CASE WHEN abs(d) > 0.9999 THEN 1 - part ELSE sin((1 - part) * acos(least(abs(d), 1))) / sin(acos(least(abs(d), 1))) END AS wa, CASE WHEN abs(d) > 0.9999 THEN part ELSE sin(part * acos(least(abs(d), 1))) / sin(acos(least(abs(d), 1))) END * CASE WHEN d < 0 THEN -1 ELSE 1 END AS wb FROM p),
+ m AS (SELECT *, wa * cos(bh) + wb * cos(ah) AS mc, wa * sin(bh) + wb * sin(ah) AS ms FROM w),
+ x AS (SELECT event_id, CASE WHEN bt IS NULL THEN av WHEN aft IS NULL THEN bv ELSE bv + part * (av - bv) END AS value, CASE WHEN bt IS NULL THEN ak WHEN aft IS NULL THEN bk ELSE bk + part * (ak - bk) END AS k, CASE WHEN bt IS NULL THEN ap ELSE bp END AS phase,
+  CASE WHEN bt IS NULL THEN cos(ah) WHEN aft IS NULL THEN cos(bh) ELSE mc / sqrt(mc * mc + ms * ms) END AS qc, CASE WHEN bt IS NULL THEN sin(ah) WHEN aft IS NULL THEN sin(bh) ELSE ms / sqrt(mc * mc + ms * ms) END AS qs FROM m)
+SELECT event_id, round(value, 5) AS value, round(k, 5) AS k, phase, round(qc, 4) + 0 AS qw, round({_AXIS[0]} * qs, 4) + 0 AS qx, round({_AXIS[1]} * qs, 4) + 0 AS qy, round({_AXIS[2]} * qs, 4) + 0 AS qz FROM x""")
+def playback_whole(spark, sf_dir):
+    """Views played back at the times of clicks: two values, a rotation about a slanted axis and a label."""
+    s = samples(spark, sf_dir)
+    half = F.col("value") / 40
+    turned = {"qw": F.cos(half)} | {f"q{a}": F.lit(x) * F.sin(half) for a, x in zip("xyz", _AXIS, strict=True)}
+    rows = s.where("event_type = 'view'").select("flight_id", "t", "value", F.col("k").cast("double").alias("k"), F.concat(F.lit("p"), (F.col("k") % 5).cast("string")).alias("phase"), *(c.alias(n) for n, c in turned.items()))
+    found = ordered.playback(s.where("event_type = 'click'").select("event_id", "flight_id", "t"), rows, "t", ["value", "k"], list(turned), ["phase"])
+    return found.select("event_id", r("value", 5).alias("value"), r("k", 5).alias("k"), "phase", *(r(c, 4).alias(c) for c in turned))
