@@ -49,6 +49,30 @@ def lines(df: DataFrame, order: str, *coordinates: str, flight: str = "flight_id
     return df.groupBy(flight).agg(F.transform(points, lambda p: p["c"]).alias("coordinates"))
 
 
+def closed_spline(df: DataFrame, order: str, columns: list[str], per_edge: int, by: str = "flight_id") -> DataFrame:
+    """(by, order, step, columns): a smooth closed line through the points of each ring, `per_edge` points from each to the next.
+
+    Cubic pieces whose direction in a point is half the way between its neighbours; the last point's next is the first one,
+    so the line is smooth there as well.  A last point that repeats the first one is left out; a single point stays put.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    ring = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda c: F.first(c).over(ring)
+    rows = df.select(by, order, *(F.col(c).cast("double").alias(c) for c in columns))
+    again = F.lead(F.lit(1)).over(w).isNull() & F.lag(F.lit(1)).over(w).isNotNull()
+    for c in columns:
+        again &= F.col(c).eqNullSafe(first(c))
+    rows = rows.withColumn("_again", again).where("NOT _again")
+    after = lambda c: F.coalesce(F.lead(c).over(w), first(c))
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.last(c).over(ring))
+    rows = rows.withColumns({f"_t_{c}": (after(c) - before(c)) / 2 for c in columns})
+    rows = rows.withColumns({f"_n_{c}": after(c) for c in columns} | {f"_u_{c}": after(f"_t_{c}") for c in columns})
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1)))).withColumn("_x", F.col("step") / per_edge)
+    x = F.col("_x")
+    at = lambda c: (2 * x - 3) * x * x * (F.col(c) - F.col(f"_n_{c}")) + F.col(c) + ((x - 2) * x + 1) * x * F.col(f"_t_{c}") + (x - 1) * x * x * F.col(f"_u_{c}")
+    return rows.select(by, order, "step", *(at(c).alias(c) for c in columns))
+
+
 def bounds(df: DataFrame, *columns: str, by: str = "flight_id") -> DataFrame:
     """Least, greatest and middle of each column."""
     return df.groupBy(by).agg(*(e for c in columns for e in (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), ((F.min(c) + F.max(c)) / 2).alias(f"{c}_mid"))))

@@ -1036,3 +1036,14 @@ def playback_whole(spark, sf_dir):
     rows = s.where("event_type = 'view'").select("flight_id", "t", "value", F.col("k").cast("double").alias("k"), F.concat(F.lit("p"), (F.col("k") % 5).cast("string")).alias("phase"), *(c.alias(n) for n, c in turned.items()))
     found = ordered.playback(s.where("event_type = 'click'").select("event_id", "flight_id", "t"), rows, "t", ["value", "k"], list(turned), ["phase"])
     return found.select("event_id", r("value", 5).alias("value"), r("k", 5).alias("k"), "phase", *(r(c, 4).alias(c) for c in turned))
+
+
+@query(f"""WITH {S}, z AS (SELECT *, count(*) OVER (PARTITION BY flight_id) AS m, first_value(value) OVER (PARTITION BY flight_id ORDER BY n) AS v1, first_value(k) OVER (PARTITION BY flight_id ORDER BY n) AS k1 FROM s),
+ p AS (SELECT flight_id, n, value AS x, CAST(k AS DOUBLE) AS y FROM z WHERE NOT (n = m AND m > 1 AND value = v1 AND k = k1)), c AS (SELECT *, max(n) OVER (PARTITION BY flight_id) AS m FROM p),
+ t AS (SELECT c.*, a.x AS ax, a.y AS ay, (a.x - b.x) / 2 AS tx, (a.y - b.y) / 2 AS ty FROM c JOIN p a ON a.flight_id = c.flight_id AND a.n = c.n % c.m + 1 JOIN p b ON b.flight_id = c.flight_id AND b.n = (c.n + c.m - 2) % c.m + 1),
+ e AS (SELECT t.*, u.tx AS ux, u.ty AS uy, j, j / 3.0::DOUBLE AS h FROM t JOIN t u ON u.flight_id = t.flight_id AND u.n = t.n % t.m + 1, (SELECT unnest(range(3)) AS j))
+SELECT flight_id, n, CAST(j AS INT) AS step, round((2 * h ** 3 - 3 * h ** 2 + 1) * x + (h ** 3 - 2 * h ** 2 + h) * tx + (3 * h ** 2 - 2 * h ** 3) * ax + (h ** 3 - h ** 2) * ux, 5) + 0 AS x, round((2 * h ** 3 - 3 * h ** 2 + 1) * y + (h ** 3 - 2 * h ** 2 + h) * ty + (3 * h ** 2 - 2 * h ** 3) * ay + (h ** 3 - h ** 2) * uy, 5) + 0 AS y FROM e""")
+def closed_polygon(spark, sf_dir):
+    """A flight's events as the corners of a ring, with a smooth line through them."""
+    rows = samples(spark, sf_dir).select("flight_id", "n", F.col("value").alias("x"), F.col("k").cast("double").alias("y"))
+    return geometry.closed_spline(rows, "n", ["x", "y"], 3).withColumns({"x": r("x", 5), "y": r("y", 5)})

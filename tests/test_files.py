@@ -271,3 +271,17 @@ def test_looking_ahead_is_linear(spark):
     assert filled.where("w IS NULL").count() == 199_999 - 199_007 and filled.agg(F.min("w")).first()[0] == 7
     assert ordered.rolling_medians(rows.withColumn("x", F.col("t") % 5), {"x": "m"}, "t", span=5.0).where("m <> 2 AND t BETWEEN 2 AND 199997").count() == 0
     assert time.time() - began < 90
+
+
+def test_closed_line_is_smooth(spark):
+    """Also where it closes: no corner, and the same line from whichever point it begins."""
+    points = [(0.0, 0.0), (4.0, 1.0), (5.0, 5.0), (1.0, 6.0), (-2.0, 3.0)]
+    rows = [(name, k, x, y) for name, turn, close in (("a", 0, True), ("b", 2, False)) for k, (x, y) in enumerate([*points[turn:], *points[:turn], *([points[turn]] if close else [])])]
+    df = spark.createDataFrame([*rows, ("one", 0, 7.0, 8.0)], "ring string, k int, x double, y double")
+    out = geometry.closed_spline(df, "k", ["x", "y"], 50, "ring").toPandas().sort_values(["ring", "k", "step"])
+    a, b = (out[out["ring"] == n][["x", "y"]].to_numpy() for n in "ab")
+    assert a.shape == b.shape == (250, 2) and np.allclose(np.roll(b, 100, 0), a) and np.allclose(a[::50], points)
+    ways = np.diff(np.vstack([a, a[:2]]), axis=0)
+    angles = np.diff(np.unwrap(np.arctan2(ways[:, 1], ways[:, 0])))
+    assert np.abs(angles).max() < 0.1
+    assert out[out["ring"] == "one"][["x", "y"]].drop_duplicates().to_numpy().tolist() == [[7.0, 8.0]]
