@@ -27,8 +27,10 @@ from .words import _folded, encoder, forget, slices
 SAMPLE = 2048
 #: Latent dimensions, neighbours that vote, and the power of the cosine that weighs a vote.
 DIMENSIONS, NEIGHBOURS, POWER = 24, 15, 8
-#: Documents compared at once.
+#: Labelled documents that are weighed at once.
 BLOCK = 512
+#: Documents that are counted and compared at once, and bytes of text: what a worker holds beside its batch.  Neither changes a score.
+FEW, BYTES = 64, 1 << 18
 #: Columns for pairs of bytes and for words; gaps between occurrences of a word.
 PAIRS, WORDS, GAPS = 1 << 12, 1 << 11, 5
 COLUMNS = PAIRS + WORDS + 2 * GAPS
@@ -37,41 +39,49 @@ TERM, AXIS, VECTOR = 1 << 14, 1 << 14, 1 << 20
 
 
 def _terms(texts: pa.Array) -> np.ndarray:
-    """One row of term weights for each text, in units of TERM; zeros for a text without words.  At most BLOCK texts at once."""
+    """One row of term weights for each text, in units of TERM; zeros for a text without words."""
     if encoder.cache_info().currsize:
         forget()
     out = np.zeros((len(texts), COLUMNS), np.int16)
-    for lo, part in slices(pc.fill_null(texts, "").cast(pa.large_string()), 1 << 21):
-        n = len(part)
-        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + n + 1]
-        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
-        doc = np.repeat(np.arange(n), np.diff(offsets))
-        if len(data) > 1:
-            inside = doc[1:] == doc[:-1]
-            pair = ((data[:-1] << 8 | data[1:]) * 40503 >> 4) % PAIRS
-            out[lo : lo + n, :PAIRS] = _shares((doc[1:] * PAIRS + pair)[inside], n, PAIRS)
-        cut = pc.split_pattern(_folded(part), " ")
-        many = np.diff(np.asarray(cut.offsets))
-        first = int(np.asarray(cut.offsets)[0])
-        coded = cut.values.slice(first, int(many.sum())).dictionary_encode()
-        size = np.asarray(pc.binary_length(coded.dictionary))
-        column = np.array([crc32(x.as_buffer()) % WORDS for x in coded.dictionary], np.int64)
-        code, doc = np.asarray(coded.indices), np.repeat(np.arange(n), many)
-        word = size[code] > 0 if len(code) else np.zeros(0, bool)
-        code, doc = code[word].astype(np.int64), doc[word]
-        out[lo : lo + n, PAIRS : PAIRS + WORDS] = _shares(doc * WORDS + column[code] if len(code) else code, n, WORDS)
-        key = doc * max(1, len(size)) + code
-        order = np.argsort(key, kind="stable")
-        gap = np.diff(order, prepend=0)
-        gap[np.diff(key[order], prepend=-1) != 0] = 0
-        gap = np.searchsorted([1, 2, 9, 65], gap, side="right") + GAPS * (size[code[order]] >= 6)
-        out[lo : lo + n, PAIRS + WORDS :] = _shares(doc[order] * 2 * GAPS + gap, n, 2 * GAPS)
+    for i in range(0, len(texts), FEW):
+        for lo, part in slices(pc.fill_null(texts.slice(i, FEW), "").cast(pa.large_string()), BYTES):
+            _count(part, out[i + lo : i + lo + len(part)])
     return out
 
 
-def _shares(cells: np.ndarray, rows: int, columns: int) -> np.ndarray:
-    """Of the counts of cells (row * columns + column): square roots of their shares in the row, in units of TERM."""
-    counts = np.bincount(cells, minlength=rows * columns).reshape(rows, columns)
+def _count(texts: pa.Array, out: np.ndarray) -> None:
+    """Fills out, a row for each text."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    ends, pairs = offsets[1:] - offsets[0], np.zeros(n * PAIRS, np.int64)
+    for a in range(0, len(data) - 1, BYTES):  # of a long text too, a stretch at a time
+        some = data[a : a + BYTES + 1].astype(np.int64)
+        doc = np.searchsorted(ends, np.arange(a, a + len(some)), side="right")
+        pair = ((some[:-1] << 8 | some[1:]) * 40503 >> 4) % PAIRS
+        pairs += np.bincount((doc[1:] * PAIRS + pair)[doc[1:] == doc[:-1]], minlength=n * PAIRS)
+    out[:, :PAIRS] = _shares(pairs, n)
+    cut = pc.split_pattern(_folded(texts), " ")
+    many = np.diff(np.asarray(cut.offsets))
+    first = int(np.asarray(cut.offsets)[0])
+    coded = cut.values.slice(first, int(many.sum())).dictionary_encode()
+    size = np.asarray(pc.binary_length(coded.dictionary))
+    column = np.array([crc32(x.as_buffer()) % WORDS for x in coded.dictionary], np.int64)
+    code, doc = np.asarray(coded.indices), np.repeat(np.arange(n), many)
+    word = size[code] > 0 if len(code) else np.zeros(0, bool)
+    code, doc = code[word].astype(np.int64), doc[word]
+    out[:, PAIRS : PAIRS + WORDS] = _shares(np.bincount(doc * WORDS + column[code] if len(code) else code, minlength=n * WORDS), n)
+    key = doc * max(1, len(size)) + code
+    order = np.argsort(key, kind="stable")
+    gap = np.diff(order, prepend=0)
+    gap[np.diff(key[order], prepend=-1) != 0] = 0
+    gap = np.searchsorted([1, 2, 9, 65], gap, side="right") + GAPS * (size[code[order]] >= 6)
+    out[:, PAIRS + WORDS :] = _shares(np.bincount(doc[order] * 2 * GAPS + gap, minlength=n * 2 * GAPS), n)
+
+
+def _shares(counts: np.ndarray, rows: int) -> np.ndarray:
+    """Of the counts of cells, row by row: square roots of their shares in the row, in units of TERM."""
+    counts = counts.reshape(rows, -1)
     return np.rint(TERM * np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))).astype(np.int16)
 
 
@@ -124,14 +134,15 @@ class Model:
         if not len(self.labels):
             return out
         k = min(NEIGHBOURS, len(self.labels))
-        for i in range(0, len(texts), BLOCK):
-            cosine = _unit(self._points(_terms(texts.slice(i, BLOCK)))) @ self.vectors.T
+        for i in range(0, len(texts), FEW):
+            cosine = _unit(self._points(_terms(texts.slice(i, FEW)))) @ self.vectors.T
             # Of equally near neighbours the first counts.
             order = cosine * len(self.labels) - np.arange(len(self.labels))
             near = np.sort(np.argpartition(-order, k - 1, axis=1)[:, :k], axis=1)
             vote = np.maximum(0, np.take_along_axis(cosine, near, 1) / VECTOR**2) ** POWER * self.weights[near]
             total, won = (np.array([sum(row) for row in x.tolist()]) for x in (vote, vote * self.labels[near]))
-            out[i : i + BLOCK] = np.where(total > 0, won / np.maximum(total, 1e-300), self.share)
+            out[i : i + FEW] = np.where(total > 0, won / np.maximum(total, 1e-300), self.share)
+        pa.default_memory_pool().release_unused()  # a worker that waits for later stages keeps little
         return np.clip(out, 0, 1)
 
 

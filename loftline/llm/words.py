@@ -175,3 +175,4 @@ def forget() -> None:
     """Frees what this worker remembers, before it does other work."""
     encoder.cache_clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()

@@ -8,6 +8,7 @@ import random
 import re
 import time
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -395,6 +396,25 @@ def test_equal_texts_have_equal_scores(spark):
     assert all(len(x) == 1 for x in by_text.values()) and len(by_text) < len(one)
 
 
+def test_classifier_holds_little_at_once():
+    """A worker's arrays for 1,500 texts of 3,000 bytes, short ones and one of 2 MB; scores don't depend on what is counted together."""
+    draw = random.Random(5)
+    known = ["".join(draw.choices("abcdefghij", k=draw.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(draw.choices(known, k=500)) for _ in range(1500)] + [None, "", "a", " ", "é" * 9] * 20
+    terms = quality_model._terms(pa.array(texts[:400]))
+    model = quality_model.Model(np.concatenate([terms] * 10), np.arange(4000) % 2, 0.5)
+    long_text = " ".join(draw.choices(known, k=350_000))
+    tracemalloc.start()
+    got = model.scores(pa.array(texts))
+    many = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert many < 32 << 20
+    for i in (0, 63, 64, 511, 512, 1499, 1500, 1501, 1502, 1599):
+        assert model.scores(pa.array([texts[i]], pa.string()))[0] == got[i]
+    want = brute_terms(long_text)
+    assert {c: w for c, w in enumerate(quality_model._terms(pa.array(["b", long_text, "a"]))[1].tolist()) if w} == {c: w for c, w in want.items() if w}
+
+
 def test_classifier_hard_cases(spark, hard, none):
     labels = spark.createDataFrame([(1, 1), (7, 0), (8, 0), (8, None), (99, 1), (None, 1), (10, 1)], "doc_id long, quality int")
     got = quality_model.quality_scores(hard, labels).collect()
