@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table, text_of
-from .words import VOCABULARY, encoder
+from .words import VOCABULARY, encoder, slices
 
 CAPACITY = 2048
 END = 0
+#: Bytes of text that are encoded and cut into pieces at once.
+SLICE = 1 << 22
 #: Ranges of the first round.
 RANGES = 8
 #: kind: a gap (start: its first sequence), pieces without a place (start: their first rank), or a match.
@@ -38,27 +40,30 @@ RUNS = "kind byte, size int, start long, n long, first long, each int, offset in
 
 def _pieces(batches: Iterator[pa.RecordBatch], capacity: int, vocabulary: str, end: int) -> Iterator[pa.RecordBatch]:
     task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-    for b in batches:
-        ids, n = encoder(vocabulary).encode(b["text"])
+    for b, lo, texts in ((b, lo, part) for b in batches for lo, part in slices(b["text"], SLICE)):
+        ids, n = encoder(vocabulary).encode(texts)
         out = np.full(len(ids) + len(n), end, "<u4")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
         sizes = n + 1
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        out[inside] = ids
         parts = -(-sizes // capacity)
         doc = np.repeat(np.arange(len(n)), parts)
         piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
         start = piece * capacity
         length = np.minimum(capacity, sizes[doc] - start)
-        lo = (np.cumsum(sizes) - sizes)[doc] + start
-        data = memoryview(out.tobytes())
-        crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+        first = (np.cumsum(sizes) - sizes)[doc] + start
+        data = memoryview(out).cast("B")
+        crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(first.tolist(), (first + length).tolist(), strict=True)]
         order = np.argsort(length, kind="stable")
         runs = np.flatnonzero(np.diff(length[order], prepend=-1) != 0)
         rank = np.empty(len(doc), np.int64)
         rank[order] = np.arange(len(doc)) - np.repeat(runs, np.diff(np.append(runs, len(doc))))
         rank += seen[length]
         seen += np.bincount(length, minlength=capacity + 1)
-        cols = [pa.array(np.full(len(doc), task, np.int32)), b["doc_id"].take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(rank)]
+        cols = [pa.array(np.full(len(doc), task, np.int32)), b["doc_id"].take(pa.array(lo + doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(rank)]
         yield pa.RecordBatch.from_arrays(cols, ["task", "doc_id", "piece", "start", "length", "ids_crc32", "rank"])
+        pa.default_memory_pool().release_unused()
 
 
 def sweep(runs: list[tuple[int, int, int, int]], capacity: int) -> list[tuple]:

@@ -396,6 +396,26 @@ def test_equal_texts_have_equal_scores(spark):
     assert all(len(x) == 1 for x in by_text.values()) and len(by_text) < len(one)
 
 
+def test_pieces_hold_little_at_once(monkeypatch):
+    """A worker's arrays for a batch of 20 MB; the pieces are those of the documents one by one."""
+    monkeypatch.setattr(packing, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 3})())}))
+    draw = random.Random(6)
+    known = ["".join(draw.choices("abcdefghij", k=draw.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(draw.choices(known, k=draw.choice((0, 3, 600, 3000)))) for _ in range(3700)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = lambda batches: packing._pieces(batches, 2048, packing.VOCABULARY, 0)
+    for _ in run(iter([batch.slice(0, 9)])):  # the vocabulary is read
+        pass
+    rows = []
+    tracemalloc.start()
+    for found in run(iter([batch])):
+        rows.append(found)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    assert pa.Table.from_batches(rows).equals(pa.Table.from_batches(run(batch.slice(i, 1) for i in range(len(texts)))))
+
+
 def test_classifier_holds_little_at_once():
     """A worker's arrays for 1,500 texts of 3,000 bytes, short ones and one of 2 MB; scores don't depend on what is counted together."""
     draw = random.Random(5)
