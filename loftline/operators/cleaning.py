@@ -48,10 +48,10 @@ def repair_flight(pdf: pd.DataFrame) -> pd.DataFrame:
                 continue
             end, at = events[ahead][0], ahead + 1
             rows = np.arange(i, end)
-            share = (t[rows] - t[i - 1]) / (t[end] - t[i - 1])
             for values in columns.values():
                 a, b = float(values[i - 1]), float(values[end])
-                _between(values, rows, a + share * (b - a))
+                # Divided last, so that a whole height isn't missed by a rounded share.
+                _between(values, rows, a + (t[rows] - t[i - 1]) * (b - a) / (t[end] - t[i - 1]))
         else:
             top, ground = float(columns["alt_gps_m"][i]), float(columns["alt_gps_m"][i - 1])
             seconds = max(1.0, (top - ground) / CLIMB)

@@ -34,6 +34,11 @@ def test_single_bad_point_and_two_segments():
     assert repaired([400, 100, 100, 390, 395, 100, 100, 385])["alt_gps_m"].tolist()[5:7] == [391, 388]
 
 
+def test_whole_heights_are_met_on_a_line():
+    out = repaired([40] + [-40] * 13 + [-2])
+    assert out["alt_gps_m"].tolist() == [40 - 3 * i for i in range(15)]
+
+
 def test_drop_without_recovery_stays():
     assert repaired([400, 140, 140, 140])["alt_gps_m"].tolist() == [400, 140, 140, 140]
 
