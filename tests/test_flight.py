@@ -273,6 +273,17 @@ def test_a_trajectory_of_chunks_is_one_trajectory(spark):
         assert np.allclose(a["roll_rad"], spline.gaussian(roll.to_numpy(), 15.0), atol=1e-9)
 
 
+def test_samples_are_not_exchanged(spark):
+    rows = [(f, float(t), float(t % 7), 1.0, 2.0, 1.0, "CRUISING") for f, n in (("a", 80), ("b", 2), ("c", 1), ("d", 30)) for t in range(n)]
+    tracks = spark.createDataFrame(rows, "flight_id string, timestamp_s double, x_m double, y_m double, z_m double, weight double, phase string")
+    for chunk in (100, 1 << 15):
+        found = flight.trajectories(tracks, fps=10.0, chunk=chunk, ahead=("x_m",))
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        out = found.toPandas()
+        assert out.groupby("flight_id").size().to_dict() == {"a": 790, "b": 10, "d": 290}
+        assert all(p["timestamp_s"].is_monotonic_increasing and p["next_x_m"].iloc[:-1].tolist() == p["x_m"].iloc[1:].tolist() and p["next_x_m"].isna().iloc[-1] for _, p in out.groupby("flight_id"))
+
+
 def test_smoothing_by_parts_equals_the_whole():
     x = np.random.default_rng(0).random(500)
     for sigma in (0.1, 2.0, 30.0, 200.0):
