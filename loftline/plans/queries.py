@@ -888,20 +888,23 @@ def spline_values(spark, sf_dir):
 def trajectory_samples(spark, sf_dir):
     """trajectory_60hz by flight: samples, and how many of them are finite, have a speed that fits the velocity, and a next
     position where velocity and acceleration lead."""
-    rows = trajectory_60hz(spark, sf_dir)
-    w = Window.partitionBy("flight_id").orderBy("timestamp_s")
-    ahead = F.lead("x_m").over(w) - (F.col("x_m") + F.col("vx_ms") / 60 + F.col("ax_ms2") / 7200)
+    rows = plan.trajectories(_tracks(spark, sf_dir), ahead=("x_m",))
+    ahead = F.col("next_x_m") - (F.col("x_m") + F.col("vx_ms") / 60 + F.col("ax_ms2") / 7200)
     rows = rows.withColumn("_near", F.coalesce(F.abs(ahead) <= 0.01 + 0.02 * (F.abs("vx_ms") + F.abs("ax_ms2")) / 60, F.lit(True)))
     finite = sum((F.when(F.isnan(c) | F.col(c).isNull() | (F.abs(c) > 1e6), 1).otherwise(0) for c in ("x_m", "y_m", "z_m", "vx_ms", "az_ms2", "load_g", "yaw_rad", "pitch_rad", "roll_rad")), F.lit(0)) == 0
     fits = F.abs(F.col("v_mag_ms") ** 2 - F.col("vx_ms") ** 2 - F.col("vy_ms") ** 2 - F.col("vz_ms") ** 2) <= 1e-6 * (1 + F.col("v_mag_ms") ** 2)
     return rows.groupBy("flight_id").agg(F.count("*").alias("n_samples"), F.min("timestamp_s").alias("first_s"), r(F.max("timestamp_s")).alias("last_s"), *(F.count(F.when(c, 1)).alias(n) for n, c in (("n_finite", finite), ("n_consistent", fits), ("n_near", F.col("_near")))))
 
 
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event's position in its flight stands in for its second."""
+    return samples(spark, sf_dir).select("flight_id", F.col("n").cast("double").alias("timestamp_s"), F.col("value").alias("x_m"), F.col("k").cast("double").alias("y_m"), F.col("value").alias("z_m"), F.lit(1.0).alias("weight"), F.lit(PHASES[3]).alias("phase"))
+
+
 @query()
 def trajectory_60hz(spark, sf_dir):
-    """Sixty samples a second; an event's position in its flight stands in for its second."""
-    rows = samples(spark, sf_dir).select("flight_id", F.col("n").cast("double").alias("timestamp_s"), F.col("value").alias("x_m"), F.col("k").cast("double").alias("y_m"), F.col("value").alias("z_m"), F.lit(1.0).alias("weight"), F.lit(PHASES[3]).alias("phase"))
-    return plan.trajectories(rows)
+    """Sixty samples a second."""
+    return plan.trajectories(_tracks(spark, sf_dir))
 
 
 def _payloads(spark, sf_dir) -> DataFrame:
