@@ -16,6 +16,7 @@ from loftline.plans import flight, sinks
 from loftline.schemas import TRACK_SPEC, TRAJECTORY_COLUMNS, TRAJECTORY_SPEC, asserted, validate
 from loftline.sources import frames, gpmf, igc, video
 from loftline.streaming import phases as streaming
+from tests.oracle import TABLES
 
 
 def repaired(alt, t=None, **more):
@@ -230,6 +231,49 @@ def test_splines_reach_their_target(n, seed, kind, how):
     assert (np.diff(knots) >= 0).all() and len(knots) == len(c) + degree + 1
 
 
+def test_a_sum_next_to_the_target_keeps_the_degree():
+    t, y = np.arange(30.0), np.random.default_rng(2230).integers(0, 100, (30, 2)).astype(float)
+    knots, c, k = spline.fit(t + 1, y, np.ones(30), 5, 15.0)
+    assert k == 5 and 0.998 * 15 <= ((spline.evaluate(t + 1, knots, c, k) - y) ** 2).sum() <= 1.001 * 15
+
+
+def test_short_flights_meet_the_target_as_sql_says(spark, tmp_path):
+    """Seven rows that a polynomial meets, but no straight line."""
+    from loftline.plans.queries import QUERIES, SQL
+    from tests.oracle import compare
+
+    rows = [(u * 100 + n, f"2024-01-01 00:00:{n:02d}", u, "view", float(n * n), f'{{"k": {n % 3}}}') for u in range(1, 12) for n in range(u)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    for t in set(TABLES) - {"events"}:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    for name in ("spline_target", "spline_values"):
+        compare(spark, str(tmp_path), QUERIES[name], SQL[name])
+
+
+def test_values_of_splines_equal_fits_and_evaluation(spark):
+    """Flights longer and shorter than a batch; one exchange."""
+    r = np.random.default_rng(2)
+    rows = [(f, float(t), float(r.normal()), float(r.integers(9)), t + 0.25) for f, n in (("a", 1), ("b", 2), ("c", 90), ("d", 7), ("e", 30), ("f", 3)) for t in range(n)]
+    df = spark.createDataFrame(rows, "flight_id string, timestamp_s double, x double, y double, later double").repartition(3)
+    asked = [spline.Spline(5, 0.5, [(["fx", "fy"], "timestamp_s", 0), (["vx", "vy"], "later", 1)], "inner"), spline.Spline(1, 0.0, [(["gx", "gy"], "later", 0)])]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        found = spline.spline_values(df, ["x", "y"], asked)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        found = found.toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(found) == len(rows) and plan.count("Exchange hashpartitioning") == 1
+    for _, p in found.groupby("flight_id"):
+        p = p.sort_values("timestamp_s")
+        t, y = p["timestamp_s"].to_numpy(), p[["x", "y"]].to_numpy()
+        one, two = (spline.fit(t, y, np.ones(len(t)), k, s * len(t)) for k, s in ((5, 0.5), (1, 0.0)))
+        assert np.allclose(p[["fx", "fy"]], spline.evaluate(t, *one)) and np.allclose(p[["gx", "gy"]], spline.evaluate(t + 0.25, *two))
+        assert np.allclose(p[["vx", "vy"]], spline.evaluate(t + 0.25, *one, derivative=1) if one[2] else 0) and (p["inner"] == len(one[1]) - one[2] - 1).all()
+
+
 def test_smoothest_of_the_close_ones():
     """With s between the polynomial's and no residual the sum is s, and dense equations with that penalty agree."""
     r = np.random.default_rng(4)
