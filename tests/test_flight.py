@@ -274,6 +274,15 @@ def test_values_of_splines_equal_fits_and_evaluation(spark):
         assert np.allclose(p[["vx", "vy"]], spline.evaluate(t + 0.25, *one, derivative=1) if one[2] else 0) and (p["inner"] == len(one[1]) - one[2] - 1).all()
 
 
+def test_interpolation_goes_straight_to_its_knots(monkeypatch):
+    solved, whole = [], spline._least_squares
+    monkeypatch.setattr(spline, "_least_squares", lambda *x: solved.append(x) or whole(*x))
+    t, y = np.arange(67.0), np.random.default_rng(0).random((67, 1)) * 100
+    for k, most in ((5, 1), (4, 1), (1, 0)):
+        solved.clear()
+        assert spline.evaluate(t, *spline.fit(t, y, np.ones(67), k, 0.0)) == pytest.approx(y, abs=1e-9) and len(solved) == most
+
+
 def test_smoothest_of_the_close_ones():
     """With s between the polynomial's and no residual the sum is s, and dense equations with that penalty agree."""
     r = np.random.default_rng(4)
