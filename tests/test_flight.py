@@ -283,6 +283,16 @@ def test_interpolation_goes_straight_to_its_knots(monkeypatch):
         assert spline.evaluate(t, *spline.fit(t, y, np.ones(67), k, 0.0)) == pytest.approx(y, abs=1e-9) and len(solved) == most
 
 
+def test_all_derivatives_at_once():
+    r = np.random.default_rng(0)
+    for n, k in ((60, 5), (60, 3), (9, 2), (2, 1), (1, 0)):
+        t = np.cumsum(r.random(n) + 0.1)
+        fit = spline.fit(t, r.random((n, 2)), np.ones(n), k, 0.01)
+        at = np.linspace(t[0] - 0.1, t[-1] + 0.1, 200)
+        for d, x in enumerate(spline.derivatives(at, *fit, 3)):
+            assert np.allclose(x, spline.evaluate(at, *fit, derivative=d) if d <= fit[2] else 0, rtol=1e-12)
+
+
 def test_smoothest_of_the_close_ones():
     """With s between the polynomial's and no residual the sum is s, and dense equations with that penalty agree."""
     r = np.random.default_rng(4)
